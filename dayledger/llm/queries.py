@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayledger.llm import fingerprints, lines, mixing, secrets
+from dayledger.llm import decontaminate, fingerprints, lines, mixing, neardup, secrets
 from dayledger.llm.common import table
 
 
@@ -28,15 +28,27 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that overlap the benchmark; documents that aren't listed are clean."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_secret_scan": op6_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_line_dedup": lines.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
+    "op9_near_dedup": neardup.ORACLE,
 }
