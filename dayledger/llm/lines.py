@@ -10,14 +10,15 @@ from dayledger.llm.common import ascii_lower, order_id
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, refresh_n_chars: bool = False) -> DataFrame:
     """docs with text replaced by what stays of it, plus n_lines and n_dropped.
 
     A text is split at newlines; a null or empty text is one empty line and stays as it
     is. A line's key has white space stripped and A-Z lower-cased. Keys of min_chars or
     more code points in min_docs or more documents lose all their lines but those in the
     smallest doc_id; repeats within that document stay. Rows of one id are one document;
-    a null id counts as the largest. All columns of docs are kept, whatever their names.
+    a null id counts as the largest. All columns of docs are kept, whatever their names;
+    with refresh_n_chars a column n_chars is the length of what stays of a text.
     """
     names = docs.columns
     base = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), order_id(docs["doc_id"]).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("body"))
@@ -40,7 +41,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
               if(j = size(gone), size(parts), gone[j]) - if(j = 0, 0, gone[j - 1] + 1)))), '\n')"""
     )
     out = whole.withColumn("stays", F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(stays))
-    text = [F.col("stays").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names]
+    length = F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("stays")) if refresh_n_chars and "n_chars" in names else None
+
+    def column(c: str):
+        return F.col("stays") if c == "text" else length.cast(docs.schema[c].dataType) if c == "n_chars" and length is not None else F.col("row")[c]
+
+    text = [column(c).alias(c) for c in names]
     return out.select(*text, "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
