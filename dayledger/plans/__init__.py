@@ -1,0 +1 @@
+"""Views, registered queries and their equivalents in SQL."""
