@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from dayledger.functions.stats import PRESENT, finalize, merge, predicate, within
 from dayledger.functions.text import NULL_MARK, minify, percent, ratio, upper_limit
 
-_ALL = Window.partitionBy()
-_EPOCH = F.lit(date(1970, 1, 1))
+
+def _all():
+    """A window over a whole table; only for tables with a row per key of a closed domain."""
+    return Window.partitionBy()
 
 
 def month(c: str | Column = "start_date") -> Column:
@@ -90,7 +92,7 @@ def monthly_sum(series: DataFrame, day: str, value: str) -> DataFrame:
 
 def rolling_days(series: DataFrame, day: str, value: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the last n days, this one included; days without a row don't count."""
-    over = Window.partitionBy(*by).orderBy(F.datediff(day, _EPOCH)).rangeBetween(-(n - 1), 0)
+    over = Window.partitionBy(*by).orderBy(F.datediff(day, F.lit(date(1970, 1, 1)))).rangeBetween(-(n - 1), 0)
     return series.withColumn("rolling", F.avg(value).over(over))
 
 
@@ -123,7 +125,7 @@ def ranking(table: DataFrame, key: str, value: str = "count") -> DataFrame:
     The table has one row per key of a closed domain; its windows see no more rows.
     """
     order = Window.orderBy(F.desc(value), F.col(key).asc_nulls_last())
-    out = table.where(F.col(value) > 0).withColumn("total", F.sum(value).over(_ALL))
+    out = table.where(F.col(value) > 0).withColumn("total", F.sum(value).over(_all()))
     out = out.withColumn("pct", percent(F.col(value), F.col("total"))).withColumn("rank", F.row_number().over(order))
     running = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("cum_pct", percent(running, F.col("total")))
@@ -132,10 +134,10 @@ def ranking(table: DataFrame, key: str, value: str = "count") -> DataFrame:
 def ranking_tail(ranked: DataFrame, rules=((1, 95.0), (2, 90.0), (3, 75.0))) -> DataFrame:
     """What follows the head of a ranking: the first n keys are its head if they hold more
     than the rule's share and others follow; no row if no rule holds."""
-    size = F.count(F.lit(1)).over(_ALL)
+    size = F.count(F.lit(1)).over(_all())
     cut = F.lit(None).cast("int")
     for n, least in reversed(rules):
-        at = F.max(F.when(F.col("rank") == n, F.col("cum_pct"))).over(_ALL)
+        at = F.max(F.when(F.col("rank") == n, F.col("cum_pct"))).over(_all())
         cut = F.when((size > n) & (at > least), n).otherwise(cut)
     return ranked.withColumn("cut", cut).where(F.col("rank") > F.col("cut"))
 
@@ -147,7 +149,7 @@ def variants(stats: DataFrame, column: str, entity=None, **keys) -> DataFrame:
 def keyword_share(stats: DataFrame, column: str, **keys) -> DataFrame:
     """Variants with their share: the null variant of all rows, any other of rows with a variant."""
     out = variants(stats, column, **keys).withColumnRenamed("variant", "keyword")
-    everything, named = F.sum("count").over(_ALL), F.sum(F.when(F.col("keyword").isNotNull(), F.col("count"))).over(_ALL)
+    everything, named = F.sum("count").over(_all()), F.sum(F.when(F.col("keyword").isNotNull(), F.col("count"))).over(_all())
     return out.withColumn("pct", percent(F.col("count"), F.when(F.col("keyword").isNull(), everything).otherwise(named)))
 
 

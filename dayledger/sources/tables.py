@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df, if its columns and types are exactly those of schema in any order."""
-    want, got = {f.name: f.dataType for f in schema}, {f.name: f.dataType for f in df.schema}
+    """df, if its columns and types are exactly those of schema in any order; nullability doesn't count."""
+    want, got = ({f.name: f.dataType.simpleString() for f in s} for s in (schema, df.schema))
     if want != got or len(df.columns) != len(schema):
         odd = sorted({k for k in want.keys() | got.keys() if want.get(k) != got.get(k)})
         raise TypeError(f"columns differ from the schema: {', '.join(odd)}")
