@@ -48,19 +48,21 @@ def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: s
     lists about four quotients a row. Ties go to the smaller key.
     """
     over = Window.partitionBy(*group)
-    r = rows.withColumn("W", F.sum(weight).over(over)).withColumn("m", F.count(F.lit(1)).over(over))
-    r = r.withColumn("part", F.when(F.col("W") > 0, F.col(weight) / F.col("W")).otherwise(0.0))
-    r = r.withColumn("slack", F.col("part") * F.col("m") / 2 + 1)
-    r = r.withColumn("low", F.greatest(F.lit(0), F.floor(F.col("part") * F.col(seats) - F.col("slack"))).cast("long"))
-    r = r.withColumn("high", F.ceil(F.col("part") * F.col(seats) + F.col("slack")).cast("long"))
-    r = r.withColumn("left", F.col(seats) - F.sum("low").over(over))
-    q = r.select(*group, key, "left", F.explode(F.sequence("low", "high")).alias("s"), F.col(weight).alias("w"))
-    q = q.where("w > 0").withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.col("w") / (2 * F.col("s") + 1)), key, "s")))
-    won = q.where("place <= left").groupBy(*group, key).agg(F.count(F.lit(1)).alias("won"))
-    return r.join(won, [*group, key], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("W", "m", "part", "slack", "low", "high", "left", "won")
-
-
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share_num: int = 3, share_den: int = 2, max_repeat: int = 2, block_words: int = 32, shards: int = 1024, seed: str = "mix-1") -> DataFrame:
+    r = rows.withColumn("__total", F.sum(weight).over(over)).withColumn("__rows", F.count(F.lit(1)).over(over))
+    r = r.withColumn("__part", F.when(F.col("__total") > 0, F.col(weight) / F.col("__total")).otherwise(0.0))
+    r = r.withColumn("__slack", F.col("__part") * F.col("__rows") / 2 + 1)
+    r = r.withColumn("__low", F.greatest(F.lit(0), F.floor(F.col("__part") * F.col(seats) - F.col("__slack"))).cast("long"))
+    r = r.withColumn("__high", F.ceil(F.col("__part") * F.col(seats) + F.col("__slack")).cast("long"))
+    r = r.withColumn("__left", F.col(seats) - F.sum("__low").over(over))
+    q = r.select(*group, key, "__left", F.explode(F.sequence("__low", "__high")).alias("__s"), F.col(weight).alias("__w"))
+    best = Window.partitionBy(*group).orderBy(F.desc(F.col("__w") / (2 * F.col("__s") + 1)), key, "__s")
+    q = q.where("__w > 0").withColumn("__place", F.row_number().over(best))
+    won = q.where("__place <= __left").groupBy(*group, key).agg(F.count(F.lit(1)).alias("__won"))
+    out = r.join(won, [*group, key], "left").withColumn("quota", F.col("__low") + F.coalesce("__won", F.lit(0)))
+    return out.drop("__total", "__rows", "__part", "__slack", "__low", "__high", "__left", "__won")
+
+
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share_num: int = 3, share_den: int = 2, max_repeat: int = 2, block_words: int = 16, shards: int = 1024, seed: str = "mix-1") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
     size counts words (null or empty text: 0, and then taken is 0). Sources follow each
@@ -79,13 +81,14 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share_num: int = 3, share_de
     targets = source_targets(cells.groupBy("src").agg(F.sum("z").alias("source_size")), weights, share_num, share_den, max_repeat)
     every = materialise(cells.join(targets, "src"))
     block = F.ceil(F.col("z") / F.greatest(F.lit(1.0), F.round(F.col("z") / F.lit(block_words)))).cast("long")
-    cells = every.where("z > 0").withColumn("block", block).withColumn("v", F.col("z") / F.col("block") * F.col("target") / F.col("source_size"))
+    cells = every.where("z > 0").withColumn("block", block).withColumn("n", F.ceil(F.col("z") / F.col("block")).cast("long"))
+    cells = cells.withColumn("v", F.col("n") * F.col("target") / F.col("source_size"))
     by_source = cells.groupBy("src").agg(F.round(F.sum(F.col("v").cast("decimal(38,9)")).cast("double"), 6).alias("v")).withColumn("all", F.lit(0))
     total = Window.partitionBy("all")
     by_source = by_source.withColumn("seats", F.round(F.sum(F.col("v").cast("decimal(38,6)")).over(total).cast("double")).cast("long"))
     by_source = apportion(by_source, ["all"], "src", "v", "seats").select("src", F.col("quota").alias("seats"))
     cells = apportion(cells.join(by_source, "src"), ["src"], "shard", "v", "seats")
-    cells = cells.withColumn("n", F.ceil(F.col("z") / F.col("block")).cast("long")).withColumn("quota", F.least(F.col("quota"), F.col("n") * max_repeat))
+    cells = cells.withColumn("quota", F.least(F.col("quota"), F.col("n") * max_repeat))
     start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.col("src"), F.lit("/"), F.col("shard").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.col("n"))
     cells = cells.select("src", "shard", "block", "n", F.expr("quota div n").alias("each"), F.expr("quota % n").alias("more"), start.alias("o"))
     place = Window.partitionBy("src", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,8 +118,8 @@ s2 AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 3.0e0 / 2.0e0 - CAST
 s3 AS (SELECT *, cap * open <= rest * weight AS "full" FROM s2),
 s4 AS (SELECT *, max(CASE WHEN NOT "full" THEN rest / open END) OVER () AS level FROM s3),
 targets AS (SELECT src, source_size, CASE WHEN "full" THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM s4),
-cells1 AS (SELECT *, CAST(ceil(z / greatest(1.0e0, round(z / 32))) AS BIGINT) AS block FROM cells0 WHERE z > 0),
-cells2 AS (SELECT c.*, z / block * target / source_size AS v FROM cells1 c JOIN targets USING (src)),
+cells1 AS (SELECT *, CAST(ceil(z / greatest(1.0e0, round(z / 16))) AS BIGINT) AS block FROM cells0 WHERE z > 0),
+cells2 AS (SELECT c.*, CAST(ceil(z / block) AS BIGINT) * target / source_size AS v FROM cells1 c JOIN targets USING (src)),
 p0 AS (SELECT src, round(CAST(sum(CAST(v AS DECIMAL(38, 9))) AS DOUBLE), 6) AS w FROM cells2 GROUP BY src),
 p1 AS (SELECT *, CAST(round(CAST(sum(CAST(w AS DECIMAL(38, 6))) OVER () AS DOUBLE)) AS BIGINT) AS seats, sum(w) OVER () AS ww, count(*) OVER () AS m FROM p0),
 p2 AS (SELECT *, greatest(0, CAST(floor(w / ww * seats - (w / ww * m / 2 + 1)) AS BIGINT)) AS low, CAST(ceil(w / ww * seats + (w / ww * m / 2 + 1)) AS BIGINT) AS high FROM p1),
