@@ -5,7 +5,8 @@ the mean of vectors of its character n-grams with word ends (hashed). A text is
 over all windows of ``WINDOW`` words that begin every ``STRIDE`` words, the last ending
 with the text; its score is its most toxic window's. Training knows labels of whole
 texts only: a toxic text teaches through its most toxic window, any other through its
-most toxic window and a random one.
+most toxic window and a random one; windows that repeat one word of a clean text are
+shown as clean.
 """
 
 from __future__ import annotations
@@ -248,6 +249,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 14, batch: in
     mean, square, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     pos_weight = (labels == 0).sum() / max(1, labels.sum())
     clean = np.nonzero(labels == 0)[0]
+    harmless = np.unique(np.concatenate([np.zeros(1, np.int64), *[docs[i] for i in clean]]))  # padding and words of clean texts
     for epoch in range(epochs):
         if epoch == 0:
             v = np.concatenate([[-9], net.vectors(words)[0][:, 0]])
@@ -257,13 +259,14 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 14, batch: in
             heat = np.concatenate([net.forward(table, flat[at[a : a + 512, None] + np.arange(WINDOW)]) for a in range(0, len(at), 512)])
         best = np.array([f + int(np.argmax(heat[f : f + c])) for f, c in zip(firsts, counts)])
         chosen = np.concatenate([best, firsts[clean] + rng.integers(0, counts[clean])])
-        target = np.concatenate([labels, np.zeros(len(clean), int)]).astype(np.float32)
+        shown = np.concatenate([flat[at[chosen, None] + np.arange(WINDOW)], np.repeat(rng.choice(harmless, (len(labels) // 12, 1)), WINDOW, axis=1)])
+        target = np.concatenate([labels, np.zeros(len(shown) - len(labels), int)]).astype(np.float32)
         weight = np.where(target > 0, pos_weight, 1.0).astype(np.float32)
-        order = rng.permutation(len(chosen))
+        order = rng.permutation(len(shown))
         lr = rate * (1 - 0.8 * epoch / epochs)
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            used, ids = np.unique(np.append(0, flat[at[chosen[pick], None] + np.arange(WINDOW)]), return_inverse=True)
+            used, ids = np.unique(np.append(0, shown[pick]), return_inverse=True)
             ids = ids[1:].reshape(-1, WINDOW)
             vec, own = np.zeros((len(used), _DIM), np.float32), None
             if len(used) > 1:
