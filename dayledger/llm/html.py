@@ -255,7 +255,7 @@ def labelled_page(rng: random.Random) -> str:
             return f'<div>{text} <a href="/x">{words(1, 3)}</a> {sentence()}</div>'
         return text + "<br>"
 
-    body = "".join(passage() if rng.random() < 0.93 else rng.choice([ad, ad, form, side, notice])() for _ in range(rng.randint(1, 14)))
+    body = "".join(passage() if rng.random() < 0.85 else rng.choice([ad, ad, form, side, notice])() for _ in range(rng.randint(1, 14)))
     title = f"<h1>{words(1, 12)}</h1>"
     if rng.random() < 0.25:
         title = f"<header>{title}" + rng.choice(["", f'<p class="{rng.choice(["byline", "meta", "post-meta", "date"])}" data-label="0">{words(2, 5)}</p>']) + "</header>"
@@ -273,7 +273,7 @@ def labelled_page(rng: random.Random) -> str:
     return page
 
 
-def train(pages: int = 700, rounds: int = 5, seed: int = 17) -> Field:
+def train(pages: int = 900, rounds: int = 5, seed: int = 17) -> Field:
     """Adaptive gradient steps on the labelled pages' likelihood."""
     rng, field, features = random.Random(seed), Field(), Features()
     data = []
