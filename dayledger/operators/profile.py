@@ -1,8 +1,8 @@
 """The profile: statistics of every declared column, for each day and stratum, in one pass.
 
 Scalars are one wide aggregation whose buffers combine before the shuffle and whose
-result unfolds into rows. Values are an array of (column, entity, variant, text) per
-source row, exploded and counted, again with partial counts before the shuffle. Free
+result unfolds into rows. Values are an array of (number of the spec, value) per source
+row, exploded and counted, again with partial counts before the shuffle. Free
 text has a branch of its own, so that its long tail doesn't widen the other.
 """
 
@@ -39,26 +39,27 @@ def _scalars(spec) -> list[tuple[str | None, Column, Column, Column, Column]]:
     return []
 
 
-def _values(spec, text: bool) -> Column | None:
-    """Array of (column, entity, variant, text) that a source row adds to the value counts."""
-    string = F.lit(None).cast("string")
-    row = lambda entity, variant, t: F.struct(F.lit(spec.column).alias("column"), F.lit(entity).cast("string").alias("entity"), variant.alias("variant"), t.alias("text"))
+def _values(spec, text: bool, names: list[tuple[str, str | None]]) -> Column | None:
+    """Array of (k, value) that a source row adds to the value counts; names[k] is (column, entity)."""
+
+    def numbered(entity: str | None = None) -> Column:
+        names.append((spec.column, entity))
+        return F.lit(len(names) - 1)
+
+    one = lambda k, value: F.struct(k.alias("k"), value.alias("value"))
     if isinstance(spec, TextCounts):
-        return F.array(row(None, string, F.col(spec.column))) if text else None
-    if text:
+        return F.array(one(numbered(), F.col(spec.column))) if text else None
+    if text or not isinstance(spec, ValueCounts | ListStats | CountsWith):
         return None
-    if isinstance(spec, ValueCounts):
-        return F.array(row(None, F.col(spec.column).cast("string"), string))
     if isinstance(spec, ListStats) or isinstance(spec, CountsWith) and spec.is_list:
-        items = F.when(F.size(spec.column) > 0, F.col(spec.column)).otherwise(F.array(string))
-        out = F.transform(items, lambda x: row(None, x, string))
-    elif isinstance(spec, CountsWith):
-        items = F.array(F.col(spec.column).cast("string"))
-        out = F.array(row(None, F.col(spec.column).cast("string"), string))
+        items = F.when(F.size(spec.column) > 0, F.col(spec.column)).otherwise(F.array(F.lit(None).cast("string")))
     else:
-        return None
+        items = F.array(F.col(spec.column).cast("string"))
+    k = numbered()
+    out = F.transform(items, lambda x: one(k, x))
     if isinstance(spec, CountsWith):
-        out = F.concat(out, F.when(F.col(spec.other).isNotNull(), F.transform(items, lambda x: row(spec.entity, x, string))).otherwise(F.slice(out, 1, 0)))
+        k2 = numbered(spec.entity)
+        out = F.concat(out, F.when(F.col(spec.other).isNotNull(), F.transform(items, lambda x: one(k2, x))).otherwise(F.slice(out, 1, 0)))
     return out
 
 
@@ -88,10 +89,15 @@ def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column |
         none = F.lit(None).cast("string")
         parts.append(wide.select(*names, F.explode(unfolded).alias("x")).select(*names, "x.*", none.alias("variant"), none.alias("text")))
     for text in (False, True):
-        arrays = [a for s in data.specs if (a := _values(s, text)) is not None]
+        kinds: list[tuple[str, str | None]] = []
+        arrays = [v for s in data.specs if (v := _values(s, text, kinds)) is not None]
         if arrays:
-            long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(F.concat(*arrays)).alias("x")).select(*names, "x.*")
-            parts.append(long.groupBy(*names, "column", "entity", "variant", "text").agg(F.count(F.lit(1)).alias("count")).withColumns({v: F.lit(None).cast("long") for v in ("min", "mean", "max")}))
+            long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(F.concat(*arrays)).alias("x")).select(*names, "x.k", "x.value")
+            counted = long.groupBy(*names, "k", "value").agg(F.count(F.lit(1)).alias("count"))
+            at = lambda i: F.get(F.array(*[F.lit(kind[i]).cast("string") for kind in kinds]), F.col("k"))  # noqa: E731, B023
+            none = F.lit(None).cast("string")
+            value = {"variant": none, "text": F.col("value")} if text else {"variant": F.col("value"), "text": none}
+            parts.append(counted.withColumns({"column": at(0), "entity": at(1), **value, **{v: F.lit(None).cast("long") for v in ("min", "mean", "max")}}).drop("k", "value"))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.withColumn("tag", F.lit(tag).cast("string")).select(*COLUMNS)
 
