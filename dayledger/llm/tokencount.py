@@ -56,7 +56,7 @@ def _pieces(path: str):
     return run
 
 
-def _frequencies(head, max_own: int = 1 << 40):
+def _frequencies(head):
     """A row (key, doc_id, n_bytes, known) for each document, with tokens of frequent pre-tokens
     summed, and a row (key, unit, n) for each other pre-token of it.
 
@@ -95,7 +95,7 @@ def _frequencies(head, max_own: int = 1 << 40):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head: int = 1 << 19) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head: int = 1 << 18) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the library on the whole text without begin, end or added special
@@ -105,8 +105,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     units = texts.select("text").mapInPandas(_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialise(units.mapInPandas(_pieces(tokenizer_path), "unit binary, n long, pieces int"))
-    frequent = units.orderBy(F.desc("n"), "unit").limit(head).select("unit", "pieces").collect()  # at most head rows
-    sent = docs.sparkSession.sparkContext.broadcast({bytes(r.unit): r.pieces for r in frequent})
+    # Units by powers of two of their count: the highest powers that head units have at most.
+    sizes = units.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("units")).collect()  # 64 rows at most
+    held, least = 0, 64
+    for power, count in sorted(sizes, reverse=True):
+        held += count
+        if held > head:
+            break
+        least = power
+    frequent = units.where(F.col("n") >= F.lit(float(2**least))).select("unit", "pieces").toArrow()  # at most head rows
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent["unit"].to_pylist(), frequent["pieces"].to_pylist())))
     rows = texts.mapInPandas(_frequencies(sent), "key long, doc_id long, n_bytes long, known long, unit binary, n long")
     joined = rows.join(units.select("unit", "pieces"), "unit", "left")
     out = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("known") + F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))).alias("n_tokens"))
