@@ -1,4 +1,4 @@
-"""The profile: statistics of every declared column, for each day and stratum, in one pass.
+"""The profile: statistics of every declared column, for each day and stratum, in two aggregations.
 
 Scalars are one wide aggregation whose buffers combine before the shuffle and whose
 result unfolds into rows. Values are an array of (number of the spec, value) per source
