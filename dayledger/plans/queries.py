@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayledger.functions import stats as st
@@ -381,3 +381,36 @@ UNION ALL SELECT tag, 'platform.' || platform || '.start_date', CAST(min(start_d
 add("summary_table", _SUMMARY, views.D, docs_sql(Rows(), ValueCounts("quality"), TextRows("text")))(lambda s, d: rp.summary(docs(s, d, Rows(), ValueCounts("quality"), TextRows("text"))))
 add("report_intro", "SELECT count(*) AS rows, count(DISTINCT platform) AS platforms, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS days FROM E", views.E)(lambda s, d: rp.intro(log(s, d)))
 add("stratification", "SELECT true AS by_category, true AS all_text", views.E)(lambda s, d: checks.stratification(log(s, d, Rows(), category="category")))
+
+
+# Audit of an extract: users of a day stand for its batch files
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    users = views.events(s, d).select("day", "platform").distinct()
+    numbered = users.withColumn("batch", F.row_number().over(Window.partitionBy("day").orderBy("platform")) - 1).where("platform % 13 <> 0 or dayofmonth(day) % 2 = 0")
+    own = (F.col("platform") % 5).cast("string")
+    return numbered.select(F.col("day").alias("release"), "batch", own.alias("digest"), F.when(F.col("platform") % 50 == 1, F.lit("x")).otherwise(own).alias("expected"))
+
+
+def _audited(s: SparkSession, d: str) -> DataFrame:
+    return views.events(s, d).groupBy(F.col("day").alias("release")).agg(F.count_distinct("platform").alias("batch_count")).where(F.dayofmonth("release") % 7 != 0)
+
+
+_FILES = """F AS (SELECT day AS release, batch, CAST(platform % 5 AS VARCHAR) AS digest, CASE WHEN platform % 50 = 1 THEN 'x' ELSE CAST(platform % 5 AS VARCHAR) END AS expected
+  FROM (SELECT day, platform, row_number() OVER (PARTITION BY day ORDER BY platform) - 1 AS batch FROM (SELECT DISTINCT day, platform FROM E)) WHERE platform % 13 <> 0 OR day(day) % 2 = 0),
+M AS (SELECT day AS release, count(DISTINCT platform) AS batch_count FROM E WHERE day(day) % 7 <> 0 GROUP BY day),
+S AS (SELECT release, count(*) AS n FROM F GROUP BY release)"""
+add(
+    "manifest_audit",
+    """SELECT release, 'missing day' AS problem, CAST(NULL AS VARCHAR) AS detail FROM (SELECT CAST(unnest(generate_series(min(release), max(release), INTERVAL 1 DAY)) AS DATE) AS release FROM M EXCEPT SELECT release FROM M)
+UNION ALL SELECT release, 'batch count', CAST(coalesce(n, 0) AS VARCHAR) FROM M LEFT JOIN S USING (release) WHERE coalesce(n, 0) <> batch_count
+UNION ALL SELECT release, 'unknown day', NULL FROM S WHERE release NOT IN (SELECT release FROM M)
+UNION ALL SELECT release, 'missing batch', CAST(p + 1 AS VARCHAR) FROM (SELECT release, batch, lag(batch) OVER (PARTITION BY release ORDER BY batch) AS p FROM F) WHERE batch <> p + 1
+UNION ALL SELECT release, 'digest', CAST(batch AS VARCHAR) FROM F WHERE digest <> expected""",
+    views.E, _FILES,
+)(lambda s, d: checks.audit(_audited(s, d), _files(s, d)))
+add("complete_days", "SELECT release FROM M JOIN S USING (release) WHERE n = batch_count", views.E, _FILES)(lambda s, d: checks.complete_days(_audited(s, d), _files(s, d)))
+add("canonical_order", "SELECT * FROM ST", views.H, ship_sql(Rows()))(
+    lambda s, d: st.canonical_order(ship(s, d, Rows()), table(s, d, "supplier").select(F.col("s_name").alias("platform"), F.col("s_suppkey").alias("ordinal")))
+)
