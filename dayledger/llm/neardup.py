@@ -3,13 +3,14 @@
 1. Each text becomes the set of its distinct word shingles, a digest of that set and a
    signature of minwise tokens. Texts with equal sets are one class from here on.
 2. In each of several independent trees a class walks from the root: at every node some
-   of its tokens are chosen, by a hash of the node and the token's place, and each
-   (node, place, token) is a child that it goes to. Similar sets share children.
-   Nodes of at most ``small`` classes are compared exhaustively. In larger nodes every
-   class is compared with the node's first, and while a class of the node isn't linked
-   to it, the node branches on.
-3. Nodes that are still large at the last level are finished exactly: the classes that
-   aren't linked to the node's first meet all classes of the node.
+   of its tokens are chosen, by a hash of the node and the tokens' places, and each
+   (node, places, tokens) is a child that it goes to. Similar sets share children.
+   Nodes of at most ``SMALL`` classes are compared exhaustively. In larger children of a
+   root every class is compared with the node's centre, the class that agrees most with
+   the commonest tokens of a few of its classes. Large nodes branch on while they hold
+   classes that no links join.
+3. Nodes that are still so at the last level are finished exactly: classes outside the
+   node's largest part meet all classes of the node that no links join them with.
 4. Signatures weed out pairs; what passes is confirmed on the full sets. Pairs that
    links confirmed before connect already need no confirmation.
 5. Components come from label propagation with pointer jumping, all as DataFrames.
@@ -25,15 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import NULL_ID, materialise, order_id
+from dayledger.llm.common import NULL_ID, Scratch, materialise, order_id
 from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
-TREES = 10
-LEVELS = 5
+TREES = 8
+LEVELS = 3
 SMALL = 24
-#: Mean number of tokens chosen at the root and below it.
-CHOSEN = (1.5, 1.3)
+#: Tokens that a branch below the root chooses together, and the places that offer such choices.
+FUSED, OFFERS = 16, 32
+#: Mean number of children at a root, and of those that a pair at the threshold shares below a node.
+#: Such a pair shares about 10 children of roots, 7 below them and 5 at the last level.
+CHOSEN = (1.5, 0.7)
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,75 +70,106 @@ def _describe(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, low = [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(words.of(split_words(text)), width)
                 n.append(len(s))
                 cls.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"], "th": pdf["th"], "n": n, "cls": cls, "sig": sig})
+                tokens = signature(s) if len(s) else None
+                sig.append(None if tokens is None else tokens.tobytes())
+                low.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"], "th": pdf["th"], "n": n, "cls": cls, "sig": sig, "low": low})
 
     return run
 
 
-def _branch(level: int):
-    """(node, cls, sig) for each child of each class; at the root of each tree for level 1."""
-    rate = CHOSEN[0] if level == 1 else CHOSEN[1]
-    limit = np.uint64(int(rate / TOKENS * 2**64))
+def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, cls) for each child of the trees' roots that a class goes to."""
+    limit, places = np.uint64(int(CHOSEN[0] / TOKENS * 2**64)), odd_numbers(TOKENS, 901)
+    roots = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    tree, place = np.nonzero(mixed(roots[:, None] ^ places[None, :]) < limit)
+    while len(set(tree)) < TREES:  # each root has a child at least
+        limit = np.uint64(int(limit) + 2**56)
+        tree, place = np.nonzero(mixed(roots[:, None] ^ places[None, :]) < limit)
+    for pdf in batches:
+        if len(pdf):
+            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS)
+            node = mixed(mixed(roots[tree] + places[place])[None, :] ^ sigs[:, place].astype(np.uint64))
+            yield pd.DataFrame({"node": node.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), len(tree))})
+
+
+def _branches(share: float):
+    """(node, cls) for each child of a node that a class of it goes to, below the roots.
+
+    A node offers OFFERS sets of FUSED places, each with the chance that lets a pair
+    which agrees in ``share`` of its tokens meet in CHOSEN[1] children on average.
+    """
+    chance = min(1.0, CHOSEN[1] / share**FUSED / OFFERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = odd_numbers(TOKENS, 900 + level)
-        roots = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        limit, offers = np.uint64(min(2**64 - 1, int(chance * 2**64))), odd_numbers(OFFERS, 902)
         for pdf in batches:
             if not len(pdf):
                 continue
             sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS)
-            if level == 1:
-                row, node = np.repeat(np.arange(len(pdf)), TREES), np.tile(roots, len(pdf))
-            else:
-                row, node = np.arange(len(pdf)), pdf["node"].to_numpy(np.int64).view(np.uint64)
-            for a in range(0, len(row), 20_000):
-                chosen = mixed(node[a : a + 20_000, None] ^ places[None, :]) < limit
-                i, place = np.nonzero(chosen)
-                token = sigs[row[a : a + 20_000][i], place].astype(np.uint64)
-                child = mixed(mixed(node[a : a + 20_000][i] + places[place]) ^ token)
-                took = pdf.iloc[row[a : a + 20_000][i]]
-                yield pd.DataFrame({"node": child.view(np.int64), "cls": took["cls"].to_numpy(), "sig": took["sig"].to_numpy()})
+            offer = mixed(pdf["node"].to_numpy(np.int64).view(np.uint64)[:, None] ^ offers[None, :])
+            row, k = np.nonzero(mixed(offer) <= limit)
+            child = offer[row, k]
+            for i in range(FUSED):
+                place = mixed(offer[row, k] + np.uint64(i)) & np.uint64(TOKENS - 1)
+                child = mixed(child ^ sigs[row, place.astype(np.int64)])
+            yield pd.DataFrame({"node": child.view(np.int64), "cls": pdf["cls"].to_numpy()[row]})
 
     return run
 
 
+def _lows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, TOKENS)
+
+
 def _near(least: float):
-    """From (classes, sigs) of a small node: the pairs whose signatures agree enough."""
+    """From the classes of a small node: the pairs whose signatures agree enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = [], []
             for members in pdf["members"]:
-                cls = [m["cls"] for m in members]
-                sigs = np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(-1, TOKENS)
-                same = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
-                for i, j in zip(*np.nonzero(np.triu(same >= least, 1))):
-                    x, y = sorted((bytes(cls[i]), bytes(cls[j])))
-                    a.append(x)
-                    b.append(y)
+                members = sorted((bytes(m["cls"]), bytes(m["low"])) for m in members)
+                lows = _lows(m[1] for m in members)
+                i, j = np.triu_indices(len(members), 1)
+                for x, y in np.column_stack([i, j])[(lows[i] == lows[j]).mean(axis=1) >= least]:
+                    a.append(members[x][0])
+                    b.append(members[y][0])
             yield pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
+def _centre_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The commonest token at each place among a node's few sampled classes."""
+    for pdf in batches:
+        out = []
+        for some in pdf["some"]:
+            lows = _lows(bytes(x) for x in some)
+            votes = (lows[:, None, :] == lows[None, :, :]).sum(axis=1)
+            out.append(lows[votes.argmax(axis=0), np.arange(TOKENS)].tobytes())
+        yield pd.DataFrame({"node": pdf["node"], "usual": out})
+
+
+def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            yield pd.DataFrame({"node": pdf["node"], "cls": pdf["cls"], "low": pdf["low"], "same": (_lows(pdf["low"]) == _lows(pdf["usual"])).sum(axis=1)})
+
+
 def _near_pairs(least: float):
-    """From (a, sa, b, sb): the pairs whose signatures agree enough, the smaller class first."""
+    """From (a, la, b, lb): the pairs whose signatures agree enough, the smaller class first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            sa = np.frombuffer(b"".join(pdf["sa"]), np.uint32).reshape(-1, TOKENS)
-            sb = np.frombuffer(b"".join(pdf["sb"]), np.uint32).reshape(-1, TOKENS)
-            good = pdf[(sa == sb).mean(axis=1) >= least]
-            pairs = [sorted((bytes(x), bytes(y))) for x, y in zip(good["a"], good["b"])]
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+            if len(pdf):
+                good = pdf[(_lows(pdf["la"]) == _lows(pdf["lb"])).mean(axis=1) >= least]
+                yield pd.DataFrame([sorted((bytes(x), bytes(y))) for x, y in zip(good["a"], good["b"])], columns=["a", "b"])
 
     return run
 
@@ -181,82 +216,107 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80):
-        self.width, self.percent = width, percent
+        self.width, self.percent, self.spark = width, percent, docs.sparkSession
         # Signatures miss a pair at the threshold with a chance of about 3e-6.
         p = percent / 100
         self.least = p - 4.5 * (p * (1 - p) / TOKENS) ** 0.5
         self.texts = docs.select(docs["doc_id"], order_id(docs["doc_id"]).alias("id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text"))
-        self.all = materialise(self.texts.mapInPandas(_describe(width), "doc_id long, id long, th long, n long, cls binary, sig binary"))
-        self.rows = self.all.drop("sig")
+        every = materialise(self.texts.mapInPandas(_describe(width), "doc_id long, id long, th long, n long, cls binary, sig binary, low binary"))
+        self.rows = every.drop("sig", "low")
+        some = every.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th", "sig", "low")).alias("k"))
+        self.classes = materialise(some.select("cls", "k.*"))
         self.labels = self._labels()
 
     def _labels(self) -> DataFrame:
-        some = self.all.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th", "sig")).alias("k"))
-        classes = materialise(some.select("cls", "k.id", "k.th", "k.sig"))
-        links, pairs = self._join(classes)
-        pairs = materialise(pairs.distinct())
-        linked = links
+        links, pairs = self._join()
+        if pairs.isEmpty():
+            return components(links)
         # A class's pair with its smallest partner first: within a group these form a star.
-        low = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        if not pairs.isEmpty():
-            linked = materialise(linked.unionByName(self._confirmed(classes, low)))
-            labels = components(linked)
-            la, lb = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-            rest = pairs.join(low, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("la is null or lb is null or la <> lb").select("a", "b")
-            rest = materialise(rest)
-            if rest.isEmpty():
-                return labels
-            linked = materialise(linked.unionByName(self._confirmed(classes, rest)))
-        return components(linked)
-
-    def _join(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links confirmed in large nodes, candidate pairs from small nodes)."""
-        schema = "node long, cls binary, sig binary"
-        nodes = classes.select("cls", "sig").mapInPandas(_branch(1), schema)
-        pairs = links = self.all.sparkSession.createDataFrame([], "a binary, b binary")
+        low = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = links.unionByName(self._confirmed(low))
+        labels = components(links)
+        rest = materialise(self._apart(pairs.join(low, ["a", "b"], "left_anti"), labels))
+        if rest.isEmpty():
+            return labels
+        return components(links.unionByName(self._confirmed(rest)))
+
+    @staticmethod
+    def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs that no links join."""
+        known = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias("label_" + x))
+        return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("label_a is null or label_b is null or label_a <> label_b").drop("label_a", "label_b")
+
+    def _near(self, df: DataFrame) -> DataFrame:
+        return df.select("a", "la", "b", "lb").mapInPandas(_near_pairs(self.least), "a binary, b binary").distinct()
+
+    def _star(self, large: DataFrame) -> DataFrame:
+        """The confirmed links between the classes of large nodes and the nodes' centres."""
+        scratch = Scratch(self.spark)
+        # A dozen classes of each node, by a hash that spreads them, stand for it.
+        some = large.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node").agg(F.collect_list("m.low").alias("some"))
+        usual = some.mapInPandas(_centre_tokens, "node long, usual binary")
+        agreeing = scratch(large.join(usual, "node").select("node", "cls", "low", "usual").mapInPandas(_agreement, "node long, cls binary, low binary, same long"))
+        centre = agreeing.groupBy("node").agg(F.max(F.struct("same", "cls", "low")).alias("c")).select("node", F.col("c.cls").alias("a"), F.col("c.low").alias("la"))
+        spokes = agreeing.join(centre, "node").select("a", "la", F.col("cls").alias("b"), F.col("low").alias("lb")).where("a <> b")
+        good = self._confirmed(self._near(spokes))
+        scratch.clear()
+        return good
+
+    def _join(self) -> tuple[DataFrame, DataFrame]:
+        """(links confirmed with centres, candidate pairs)."""
+        signed, lows = self.classes.select("cls", "sig"), self.classes.select("cls", "low")
+        pairs = links = self.spark.createDataFrame([], "a binary, b binary")
+        branch = signed.mapInPandas(_roots, "node long, cls binary")
         for level in range(1, LEVELS + 1):
-            nodes = materialise(nodes.select("node", "cls", "sig").distinct() if level > 1 else nodes)
+            scratch = Scratch(self.spark)
+            nodes = scratch(branch)
             sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            held = materialise(nodes.join(sizes, "node"))
-            few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("members"))
+            held = scratch(nodes.join(sizes, "node").join(lows, "cls"))
+            few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("members"))
             pairs = pairs.unionByName(materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct()))
             large = held.where(F.col("size") > SMALL).drop("size")
             if large.isEmpty():
-                return links, pairs
-            first = large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("f"))
-            spokes = large.join(first, "node").select("node", F.col("f.cls").alias("a"), F.col("f.sig").alias("sa"), F.col("cls").alias("b"), F.col("sig").alias("sb"))
-            spokes = materialise(spokes)
-            near = spokes.select("a", "sa", "b", "sb").where("a <> b").mapInPandas(_near_pairs(self.least), "a binary, b binary").distinct()
-            good = materialise(self._confirmed(classes, near))
-            links = links.unionByName(good)
-            loose = materialise(spokes.where("a <> b").join(good, ["a", "b"], "left_anti").select("node", F.col("b").alias("cls"), F.col("sb").alias("sig")))
-            if loose.isEmpty():
-                return links, pairs
-            open_nodes = loose.select("node").distinct()
+                scratch.clear()
+                break
+            if level == 1:
+                links = self._star(large)
+                labels = components(links)
+            # Nodes whose classes links join already are done.
+            large = large.join(labels, large["cls"] == labels["v"], "left").select("node", "cls", "low", F.coalesce("label", "cls").alias("label"))
+            open_nodes = large.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+            large = materialise(large.join(open_nodes, "node", "left_semi"))
+            scratch.clear()
+            if large.isEmpty():
+                break
             if level < LEVELS:
-                nodes = large.join(open_nodes, "node", "left_semi").mapInPandas(_branch(level + 1), schema)
+                # Sorted by class on both sides, so that a large node's classes branch in all tasks.
+                branch = large.select("node", "cls").hint("merge").join(signed, "cls").mapInPandas(_branches(self.percent / 100), "node long, cls binary")
                 continue
-            # The exact way for nodes that stay large: their loose classes meet all the others.
-            met = loose.select("node", F.col("cls").alias("a"), F.col("sig").alias("sa")).join(large.select("node", F.col("cls").alias("b"), F.col("sig").alias("sb")), "node").where("a <> b")
-            pairs = pairs.unionByName(materialise(met.select("a", "sa", "b", "sb").mapInPandas(_near_pairs(self.least), "a binary, b binary").distinct()))
-        return links, pairs
-
-    def _confirmed(self, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        pairs = materialise(pairs)
+            # The exact way for the rest.
+            parts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+            main = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")).select("node", F.col("m.label").alias("main"))
+            outside = large.join(main, "node").where("label <> main").select("node", F.col("cls").alias("a"), F.col("low").alias("la"), F.col("label").alias("x"))
+            met = outside.join(large.select("node", F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("label").alias("y")), "node").where("x <> y")
+            pairs = pairs.unionByName(materialise(self._near(met)))
+        return links, materialise(pairs.distinct())
+
+    def _confirmed(self, pairs: DataFrame, scratch=None) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough, written."""
+        scratch = scratch or Scratch(self.spark)
+        pairs = scratch(pairs)
         used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        keys = materialise(classes.select("cls", "id", "th").join(used, "cls"))
-        texts = materialise(self.texts.select("id", "th", "text").join(keys, ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
+        keys = scratch(self.classes.select("cls", "id", "th").join(used, "cls"))
+        texts = scratch(self.texts.select("id", "th", "text").join(keys, ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
         ta, tb = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary")
+        return materialise(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary"))
 
     def membership(self) -> DataFrame:
-        """One row per row: doc_id, id, th, n, cls, component (smallest id of the component)."""
+        """One row per row: doc_id, id, th, n, cls, label (a class of the component), component (its smallest id)."""
         first = self.rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"))
         comp = first.join(self.labels, first["cls"] == self.labels["v"], "left").select("cls", F.coalesce("label", "cls").alias("label"), "first")
         comp = materialise(comp)
         lowest = comp.groupBy("label").agg(F.min("first").alias("component"))
-        known = comp.join(lowest, "label").select("cls", "component")
+        known = comp.join(lowest, "label").select("cls", "label", "component")
         return self.rows.join(known, "cls", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -276,8 +336,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component; rows without words all stay; columns as they are."""
     m = materialise(NearDuplicates(docs, width, percent).membership())
-    stay = m.where("cls is not null and component = id").groupBy("component").agg(F.min("th").alias("th"))
-    gone = m.where("cls is not null").select("id", "th").distinct().join(stay.select(F.col("component").alias("id"), "th"), ["id", "th"], "left_anti")
+    stay = m.where("cls is not null and component = id").groupBy("label").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
+    gone = m.where("cls is not null").select("id", "th").distinct().join(stay, ["id", "th"], "left_anti")
     gone = materialise(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")))
     same = lambda keys: (order_id(docs["doc_id"]) == keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__th"])
     left = docs.join(gone, same(gone), "left_anti")
