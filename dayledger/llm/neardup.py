@@ -31,13 +31,13 @@ from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
 TREES = 8
-LEVELS = 3
+LEVELS = 5
 SMALL = 24
 #: Tokens that a branch below the root chooses together, and the places that offer such choices.
 FUSED, OFFERS = 16, 32
 #: Mean number of children at a root, and of those that a pair at the threshold shares below a node.
-#: Such a pair shares about 10 children of roots, 7 below them and 5 at the last level.
-CHOSEN = (1.5, 0.7)
+#: Such a pair shares about 10 children of roots, 9 below them, and 7 four levels down.
+CHOSEN = (1.5, 0.9)
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -228,17 +228,9 @@ class NearDuplicates:
         self.labels = self._labels()
 
     def _labels(self) -> DataFrame:
-        links, pairs = self._join()
-        if pairs.isEmpty():
-            return components(links)
-        # A class's pair with its smallest partner first: within a group these form a star.
-        low = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links = links.unionByName(self._confirmed(low))
-        labels = components(links)
-        rest = materialise(self._apart(pairs.join(low, ["a", "b"], "left_anti"), labels))
-        if rest.isEmpty():
-            return labels
-        return components(links.unionByName(self._confirmed(rest)))
+        links, labels, tried, pairs = self._join()
+        rest = materialise(self._apart(pairs.join(tried, ["a", "b"], "left_anti"), labels))
+        return labels if rest.isEmpty() else components(links.unionByName(self._confirmed(rest)))
 
     @staticmethod
     def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,7 +242,7 @@ class NearDuplicates:
         return df.select("a", "la", "b", "lb").mapInPandas(_near_pairs(self.least), "a binary, b binary").distinct()
 
     def _star(self, large: DataFrame) -> DataFrame:
-        """The confirmed links between the classes of large nodes and the nodes' centres."""
+        """Candidate pairs of the classes of large nodes with the nodes' centres, written."""
         scratch = Scratch(self.spark)
         # A dozen classes of each node, by a hash that spreads them, stand for it.
         some = large.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node").agg(F.collect_list("m.low").alias("some"))
@@ -258,14 +250,14 @@ class NearDuplicates:
         agreeing = scratch(large.join(usual, "node").select("node", "cls", "low", "usual").mapInPandas(_agreement, "node long, cls binary, low binary, same long"))
         centre = agreeing.groupBy("node").agg(F.max(F.struct("same", "cls", "low")).alias("c")).select("node", F.col("c.cls").alias("a"), F.col("c.low").alias("la"))
         spokes = agreeing.join(centre, "node").select("a", "la", F.col("cls").alias("b"), F.col("low").alias("lb")).where("a <> b")
-        good = self._confirmed(self._near(spokes))
+        pairs = materialise(self._near(spokes))
         scratch.clear()
-        return good
+        return pairs
 
-    def _join(self) -> tuple[DataFrame, DataFrame]:
-        """(links confirmed with centres, candidate pairs)."""
+    def _join(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(links confirmed so far, their labels, the pairs tried for them, all candidate pairs)."""
         signed, lows = self.classes.select("cls", "sig"), self.classes.select("cls", "low")
-        pairs = links = self.spark.createDataFrame([], "a binary, b binary")
+        pairs = self.spark.createDataFrame([], "a binary, b binary")
         branch = signed.mapInPandas(_roots, "node long, cls binary")
         for level in range(1, LEVELS + 1):
             scratch = Scratch(self.spark)
@@ -275,11 +267,11 @@ class NearDuplicates:
             few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("members"))
             pairs = pairs.unionByName(materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct()))
             large = held.where(F.col("size") > SMALL).drop("size")
-            if large.isEmpty():
-                scratch.clear()
-                break
             if level == 1:
-                links = self._star(large)
+                # A class's pair with its smallest partner, and those with centres: within a group they form stars.
+                tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+                tried = materialise(tried.unionByName(self._star(large)).distinct())
+                links = self._confirmed(tried)
                 labels = components(links)
             # Nodes whose classes links join already are done.
             large = large.join(labels, large["cls"] == labels["v"], "left").select("node", "cls", "low", F.coalesce("label", "cls").alias("label"))
@@ -298,7 +290,7 @@ class NearDuplicates:
             outside = large.join(main, "node").where("label <> main").select("node", F.col("cls").alias("a"), F.col("low").alias("la"), F.col("label").alias("x"))
             met = outside.join(large.select("node", F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("label").alias("y")), "node").where("x <> y")
             pairs = pairs.unionByName(materialise(self._near(met)))
-        return links, materialise(pairs.distinct())
+        return links, labels, tried, materialise(pairs.distinct())
 
     def _confirmed(self, pairs: DataFrame, scratch=None) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough, written."""
@@ -306,7 +298,8 @@ class NearDuplicates:
         pairs = scratch(pairs)
         used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         keys = scratch(self.classes.select("cls", "id", "th").join(used, "cls"))
-        texts = scratch(self.texts.select("id", "th", "text").join(keys, ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
+        # A shuffle on both sides at any size: the plan that holds when the keys are many.
+        texts = scratch(self.texts.select("id", "th", "text").join(keys.hint("merge"), ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
         ta, tb = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
         return materialise(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary"))
 
