@@ -149,13 +149,11 @@ def test_decontaminate_odd(odd, none, spark):
     assert decontaminate.drop_contaminated(odd, bench).count() == len(ROWS) - 3
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_token_counts(spark, data, odd, none, name):
+def test_token_counts(spark, data, odd, none):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    if name.startswith("byte"):
-        return  # its pre-tokens carry white space: not a vocabulary that this serves
+    name = "word_bpe_49k.json"
     tok = Tokenizer.from_file(P.path(name))
     strange = "a<|endoftext|>b <|startoftext|> É x y\x85z \x1c q İstanbul ΣΑΣ’s don't ́e"
     docs = table(spark, data, "documents").select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(9, strange)], "doc_id long, text string"))
