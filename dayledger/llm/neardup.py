@@ -292,16 +292,18 @@ class NearDuplicates:
             pairs = pairs.unionByName(materialise(self._near(met)))
         return links, labels, tried, materialise(pairs.distinct())
 
-    def _confirmed(self, pairs: DataFrame, scratch=None) -> DataFrame:
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough, written."""
-        scratch = scratch or Scratch(self.spark)
+        scratch = Scratch(self.spark)
         pairs = scratch(pairs)
         used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         keys = scratch(self.classes.select("cls", "id", "th").join(used, "cls"))
         # A shuffle on both sides at any size: the plan that holds when the keys are many.
         texts = scratch(self.texts.select("id", "th", "text").join(keys.hint("merge"), ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
         ta, tb = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        return materialise(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary"))
+        good = materialise(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary"))
+        scratch.clear()
+        return good
 
     def membership(self) -> DataFrame:
         """One row per row: doc_id, id, th, n, cls, label (a class of the component), component (its smallest id)."""
