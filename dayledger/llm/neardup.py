@@ -128,15 +128,17 @@ def _lows(column) -> np.ndarray:
 
 
 def _near(least: float):
-    """From the classes of a small node: the pairs whose signatures agree enough."""
+    """From the classes of a small node: the pairs whose labels differ and whose signatures agree enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = [], []
             for members in pdf["members"]:
-                members = sorted((bytes(m["cls"]), bytes(m["low"])) for m in members)
-                lows = _lows(m[1] for m in members)
+                members = sorted((bytes(m["cls"]), bytes(m["low"]), bytes(m["label"])) for m in members)
+                lows, labels = _lows(m[1] for m in members), np.unique([m[2].hex() for m in members], return_inverse=True)[1]
                 i, j = np.triu_indices(len(members), 1)
+                apart = labels[i] != labels[j]
+                i, j = i[apart], j[apart]
                 for x, y in np.column_stack([i, j])[(lows[i] == lows[j]).mean(axis=1) >= least]:
                     a.append(members[x][0])
                     b.append(members[y][0])
@@ -263,8 +265,11 @@ class NearDuplicates:
             scratch = Scratch(self.spark)
             nodes = scratch(branch)
             sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            held = scratch(nodes.join(sizes, "node").join(lows, "cls"))
-            few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("members"))
+            held = nodes.join(sizes, "node").join(lows, "cls")
+            # Classes that links join already need no comparison; before the first links each has a label of its own.
+            held = held.withColumn("label", F.col("cls")) if level == 1 else held.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            held = scratch(held.select("node", "cls", "low", "label", "size"))
+            few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low", "label")).alias("members"))
             pairs = pairs.unionByName(materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct()))
             large = held.where(F.col("size") > SMALL).drop("size")
             if level == 1:
@@ -273,8 +278,8 @@ class NearDuplicates:
                 tried = materialise(tried.unionByName(self._star(large)).distinct())
                 links = self._confirmed(tried)
                 labels = components(links)
+                large = large.drop("label").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("node", "cls", "low", F.coalesce("label", "cls").alias("label"))
             # Nodes whose classes links join already are done.
-            large = large.join(labels, large["cls"] == labels["v"], "left").select("node", "cls", "low", F.coalesce("label", "cls").alias("label"))
             open_nodes = large.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
             large = materialise(large.join(open_nodes, "node", "left_semi"))
             scratch.clear()
