@@ -31,13 +31,13 @@ from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
 TREES = 8
-LEVELS = 5
+LEVELS = 3
 SMALL = 24
 #: Tokens that a branch below the root chooses together, and the places that offer such choices.
 FUSED, OFFERS = 16, 32
 #: Mean number of children at a root, and of those that a pair at the threshold shares below a node.
-#: Such a pair shares about 10 children of roots, 9 below them, and 7 four levels down.
-CHOSEN = (1.5, 0.9)
+#: Such a pair shares about 10 children of roots, 7 below them and 5 at the last level.
+CHOSEN = (1.5, 0.7)
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
