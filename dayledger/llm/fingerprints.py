@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import WORD, materialise, order_id
+from dayledger.llm.common import NULL_ID, SPACE, materialise, order_id
 
 _UNIT = 2.0**-31
 
@@ -53,10 +53,10 @@ def _heads(base: DataFrame, bits: int) -> DataFrame:
     smallest = first.agg(F.min("bucket").alias("low"))
     pairs = pairs.crossJoin(F.broadcast(smallest)).select(F.col("key").alias("before"), F.coalesce("next", "low").alias("bucket"))  # one row
     heads = first.join(pairs, "bucket").select("before", "id", "th")
-    return base.join(materialise(heads), ["id", "th"]).dropDuplicates(["before"]).select(F.col("before").alias("bucket"), "id", "th", "doc_id", "body")
+    return base.join(materialise(heads), ["id", "th"]).dropDuplicates(["before"]).select(F.col("before").alias("bucket"), "id", "th", "body")
 
 
-def fingerprint(docs: DataFrame, samples: int = 32, bucket_bits: int = 9) -> DataFrame:
+def fingerprint(docs: DataFrame, samples: int = 48, bucket_bits: int = 9) -> DataFrame:
     """Fingerprints of every text and of its edited form; one row per row of docs.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
@@ -70,34 +70,41 @@ def fingerprint(docs: DataFrame, samples: int = 32, bucket_bits: int = 9) -> Dat
     bids taken within those partitions.
     """
     body = F.coalesce(docs["text"], F.lit(""))
-    base = docs.select(docs["doc_id"], order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"), body.alias("body"))
+    base = docs.select(order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"), body.alias("body"))
     base = base.withColumn("bucket", F.shiftright("id", bucket_bits))
-    cols = ["bucket", "id", "th", "doc_id", "body"]
+    cols = ["bucket", "id", "th", "body"]
     rows = base.select(*cols, F.lit(0).alias("ghost")).unionByName(_heads(base, bucket_bits).select(*cols, F.lit(1).alias("ghost")))
     run = Window.partitionBy("bucket").orderBy("ghost", "id", "th")
     rows = rows.withColumn("rn", F.row_number().over(run)).withColumn("next", F.lead("body").over(run))
     rows = rows.withColumn("n_chars", F.char_length("body").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(body, 1, cast(n_chars as int) - q)"), F.expr("substring(coalesce(next, ''), 1, q)"))
     rows = rows.withColumn("edited", edited)
-    meta = rows.where("ghost = 0").select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-
-    words = rows.select("bucket", "rn", "ghost", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("body").alias("s")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("s")))).alias("x"))
-    words = words.select("bucket", "rn", "ghost", F.col("x.e").alias("e"), F.explode(F.split(F.concat(F.lit(" "), F.col("x.s")), r"[\x20\x09-\x0D]+", -1)).alias("w"))
+    sha = F.sha2(F.col("edited"), 256)
+    # What else is known of a text goes with its words, as numbers in hex, so that nothing is joined back.
+    facts = [F.substring(sha, 16 * i + 1, 16) for i in range(4)] + [F.hex("n_chars"), F.hex("id")]
+    sent = F.array(*[F.struct(F.lit(e).alias("e"), s.alias("s")) for e, s in enumerate([F.col("body"), F.col("edited"), *facts])])
+    words = rows.select("bucket", "rn", "ghost", F.explode(sent).alias("x"))
+    words = words.select("bucket", "rn", "ghost", F.col("x.e").alias("e"), F.explode(F.split(F.concat(F.lit(" "), F.col("x.s")), SPACE + "+", -1)).alias("w"))
     one = lambda e: F.sum(((F.col("e") == e) & (F.col("w") != "")).cast("int"))
-    counts = words.groupBy("bucket", "rn", F.xxhash64("w").alias("h")).agg(one(0).alias("o"), one(1).alias("c"), F.max("ghost").alias("ghost"))
-    counts = counts.select("bucket", "rn", "h", "ghost", F.when(F.col("o") > 0, F.log("o")).alias("wo"), F.when(F.col("c") > 0, F.log("c")).alias("we"))
+    h = F.when(F.col("e") < 2, F.xxhash64("w")).otherwise(F.conv(F.nullif("w", F.lit("")), 16, -10).cast("long"))
+    counts = words.groupBy("bucket", "rn", F.greatest(F.col("e") - 1, F.lit(0)).alias("kind"), h.alias("h")).agg(one(0).alias("o"), one(1).alias("c"), F.max("ghost").alias("ghost"))
+    counts = counts.select("bucket", "rn", "kind", "h", "ghost", F.when(F.col("o") > 0, F.log("o")).alias("wo"), F.when(F.col("c") > 0, F.log("c")).alias("we"))
+    fact = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("h"))).alias(name)
     mins = [F.min(bid(F.col("h"), k, F.col(w))).alias(f"{w}{k}") for k in range(samples) for w in ("wo", "we")]
-    signed = counts.groupBy("bucket", "rn").agg(*mins, F.max("ghost").alias("ghost"))
-    signed = signed.select("bucket", "rn", "ghost", *[F.array(*[F.coalesce(f"{w}{k}", F.lit(float("inf"))) for k in range(samples)]).alias(w) for w in ("wo", "we")])
+    facts = [fact(i + 1, f"sha{i}") for i in range(4)] + [fact(5, "n_chars"), fact(6, "id")]
+    signed = counts.groupBy("bucket", "rn").agg(*mins, *facts, F.max("ghost").alias("ghost"))
+    signed = signed.select("bucket", "rn", "ghost", "id", "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"), *[F.array(*[F.coalesce(f"{w}{k}", F.lit(float("inf"))) for k in range(samples)]).alias(w) for w in ("wo", "we")])
     signed = signed.withColumn("wn", F.lead("wo").over(Window.partitionBy("bucket").orderBy("rn")))
     near = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(samples))
     # Each winner is written as 8 hex digits of a hash of its bid.
     text = lambda c: F.when(F.get(c, F.lit(0)) == float("inf"), F.lit("")).otherwise(F.array_join(F.transform(c, lambda v: F.lower(F.lpad(F.hex(F.xxhash64(v).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
-    signed = signed.where("ghost = 0").select("bucket", "rn", text(F.col("wo")).alias("fingerprint"), text(F.col("we")).alias("edited_fingerprint"), near(F.col("wo"), F.col("we")).alias("near_edited"), near(F.col("wo"), F.col("wn")).alias("near_next"))
-    return meta.join(signed, ["bucket", "rn"]).drop("bucket", "rn")
+    return signed.where("ghost = 0").select(
+        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+        text(F.col("wo")).alias("fingerprint"), text(F.col("we")).alias("edited_fingerprint"), near(F.col("wo"), F.col("we")).alias("near_edited"), near(F.col("wo"), F.col("wn")).alias("near_next"),
+    )
 
 
-def likeness(a: Column, b: Column, samples: int = 32) -> Column:
+def likeness(a: Column, b: Column, samples: int = 48) -> Column:
     """Share of equal samples of two fingerprints."""
     same = [(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(samples)]
     return sum(same[1:], same[0]) / F.lit(float(samples))
