@@ -2,15 +2,16 @@
 
 1. Each text becomes the set of its distinct word shingles, a digest of that set and a
    signature of minwise tokens. Texts with equal sets are one class from here on.
-2. In each of several independent trees a class walks from the root: at every node some
-   of its tokens are chosen, by a hash of the node and the tokens' places, and each
-   (node, places, tokens) is a child that it goes to. Similar sets share children.
-   Nodes of at most ``SMALL`` classes are compared exhaustively. In larger children of a
-   root every class is compared with the node's centre, the class that agrees most with
-   the commonest tokens of a few of its classes. Large nodes branch on while they hold
-   classes that no links join.
-3. Nodes that are still so at the last level are finished exactly: classes outside the
-   node's largest part meet all classes of the node that no links join them with.
+2. In each of several independent trees a class walks from the root: some of its tokens
+   are chosen, by a hash of the root and the tokens' places, and each (root, place,
+   token) is a node that it goes to. Similar sets share nodes. Nodes of at most ``SMALL``
+   classes are compared exhaustively. In larger nodes every class is compared with the
+   node's centre, the class that agrees most with the commonest tokens of a few of its
+   classes.
+3. Classes of large nodes that links don't join as a whole are finished by an exact
+   prefix-filter join on the signatures: tokens stand in one order, rarest first, and two
+   signatures that agree enough share one of the first tokens of both, so every pair
+   that the signatures let pass is found.
 4. Signatures weed out pairs; what passes is confirmed on the full sets. Pairs that
    links confirmed before connect already need no confirmation.
 5. Components come from label propagation with pointer jumping, all as DataFrames.
@@ -18,6 +19,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,9 @@ from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
 TREES = 8
-LEVELS = 3
 SMALL = 24
-#: Tokens that a branch below the root chooses together, and the places that offer such choices.
-FUSED, OFFERS = 16, 32
-#: Mean number of children at a root, and of those that a pair at the threshold shares below a node.
-#: Such a pair shares about 10 children of roots, 7 below them and 5 at the last level.
-CHOSEN = (1.5, 0.7)
+#: Mean number of children at a root. A pair at the threshold shares about 10 of them.
+CHOSEN = 1.5
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +83,7 @@ def _describe(width: int):
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, cls) for each child of the trees' roots that a class goes to."""
-    limit, places = np.uint64(int(CHOSEN[0] / TOKENS * 2**64)), odd_numbers(TOKENS, 901)
+    limit, places = np.uint64(int(CHOSEN / TOKENS * 2**64)), odd_numbers(TOKENS, 901)
     roots = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     tree, place = np.nonzero(mixed(roots[:, None] ^ places[None, :]) < limit)
     while len(set(tree)) < TREES:  # each root has a child at least
@@ -98,29 +96,12 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": node.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), len(tree))})
 
 
-def _branches(share: float):
-    """(node, cls) for each child of a node that a class of it goes to, below the roots.
-
-    A node offers OFFERS sets of FUSED places, each with the chance that lets a pair
-    which agrees in ``share`` of its tokens meet in CHOSEN[1] children on average.
-    """
-    chance = min(1.0, CHOSEN[1] / share**FUSED / OFFERS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit, offers = np.uint64(min(2**64 - 1, int(chance * 2**64))), odd_numbers(OFFERS, 902)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS)
-            offer = mixed(pdf["node"].to_numpy(np.int64).view(np.uint64)[:, None] ^ offers[None, :])
-            row, k = np.nonzero(mixed(offer) <= limit)
-            child = offer[row, k]
-            for i in range(FUSED):
-                place = mixed(offer[row, k] + np.uint64(i)) & np.uint64(TOKENS - 1)
-                child = mixed(child ^ sigs[row, place.astype(np.int64)])
-            yield pd.DataFrame({"node": child.view(np.int64), "cls": pdf["cls"].to_numpy()[row]})
-
-    return run
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(cls, t) with one number for each place and its token."""
+    for pdf in batches:
+        if len(pdf):
+            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS).astype(np.int64)
+            yield pd.DataFrame({"cls": pdf["cls"], "t": list((np.arange(TOKENS, dtype=np.int64) << 32) + sigs)})
 
 
 def _lows(column) -> np.ndarray:
@@ -128,17 +109,15 @@ def _lows(column) -> np.ndarray:
 
 
 def _near(least: float):
-    """From the classes of a small node: the pairs whose labels differ and whose signatures agree enough."""
+    """From the classes of a small node: the pairs whose signatures agree enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = [], []
             for members in pdf["members"]:
-                members = sorted((bytes(m["cls"]), bytes(m["low"]), bytes(m["label"])) for m in members)
-                lows, labels = _lows(m[1] for m in members), np.unique([m[2].hex() for m in members], return_inverse=True)[1]
+                members = sorted((bytes(m["cls"]), bytes(m["low"])) for m in members)
+                lows = _lows(m[1] for m in members)
                 i, j = np.triu_indices(len(members), 1)
-                apart = labels[i] != labels[j]
-                i, j = i[apart], j[apart]
                 for x, y in np.column_stack([i, j])[(lows[i] == lows[j]).mean(axis=1) >= least]:
                     a.append(members[x][0])
                     b.append(members[y][0])
@@ -256,45 +235,46 @@ class NearDuplicates:
         scratch.clear()
         return pairs
 
+    def _met(self, large: DataFrame) -> DataFrame:
+        """The pairs of the classes of large nodes that no links join and whose signatures agree enough, written."""
+        scratch, need = Scratch(self.spark), math.ceil(self.least * TOKENS)
+        signed = large.select("cls").join(self.classes.select("cls", "sig"), "cls")
+        flat = scratch(signed.mapInPandas(_tokens, "cls binary, t array<long>")).select("cls", F.explode("t").alias("t"))
+        # A token of one class meets none; such tokens come first in the order, the others by their number of classes.
+        held = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        shared = flat.join(held, "t").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("shared"))
+        # Of the first TOKENS - need + 1 tokens, those that others hold too.
+        heads = shared.withColumn("first", F.size("shared") - (need - 1)).where("first > 0").select("cls", F.explode(F.expr("slice(shared, 1, first)")).alias("x"))
+        heads = scratch(heads.join(large, "cls").select(F.col("x.t").alias("t"), "cls", "label"))
+        one = lambda x: heads.select("t", F.col("cls").alias(x), F.col("label").alias(f"label_{x}"))
+        met = one("a").join(one("b"), "t").where("a < b and label_a <> label_b").select("a", "b").distinct()
+        low = lambda x: self.classes.select(F.col("cls").alias(x), F.col("low").alias("l" + x))
+        pairs = materialise(self._near(met.join(low("a"), "a").join(low("b"), "b")))
+        scratch.clear()
+        return pairs
+
     def _join(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """(links confirmed so far, their labels, the pairs tried for them, all candidate pairs)."""
         signed, lows = self.classes.select("cls", "sig"), self.classes.select("cls", "low")
-        pairs = self.spark.createDataFrame([], "a binary, b binary")
-        branch = signed.mapInPandas(_roots, "node long, cls binary")
-        for level in range(1, LEVELS + 1):
-            scratch = Scratch(self.spark)
-            nodes = scratch(branch)
-            sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            held = nodes.join(sizes, "node").join(lows, "cls")
-            # Classes that links join already need no comparison; before the first links each has a label of its own.
-            held = held.withColumn("label", F.col("cls")) if level == 1 else held.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            held = scratch(held.select("node", "cls", "low", "label", "size"))
-            few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low", "label")).alias("members"))
-            pairs = pairs.unionByName(materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct()))
-            large = held.where(F.col("size") > SMALL).drop("size")
-            if level == 1:
-                # A class's pair with its smallest partner, and those with centres: within a group they form stars.
-                tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-                tried = materialise(tried.unionByName(self._star(large)).distinct())
-                links = self._confirmed(tried)
-                labels = components(links)
-                large = large.drop("label").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("node", "cls", "low", F.coalesce("label", "cls").alias("label"))
-            # Nodes whose classes links join already are done.
-            open_nodes = large.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-            large = materialise(large.join(open_nodes, "node", "left_semi"))
-            scratch.clear()
-            if large.isEmpty():
-                break
-            if level < LEVELS:
-                # Sorted by class on both sides, so that a large node's classes branch in all tasks.
-                branch = large.select("node", "cls").hint("merge").join(signed, "cls").mapInPandas(_branches(self.percent / 100), "node long, cls binary")
-                continue
-            # The exact way for the rest.
-            parts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-            main = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")).select("node", F.col("m.label").alias("main"))
-            outside = large.join(main, "node").where("label <> main").select("node", F.col("cls").alias("a"), F.col("low").alias("la"), F.col("label").alias("x"))
-            met = outside.join(large.select("node", F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("label").alias("y")), "node").where("x <> y")
-            pairs = pairs.unionByName(materialise(self._near(met)))
+        scratch = Scratch(self.spark)
+        nodes = scratch(signed.mapInPandas(_roots, "node long, cls binary"))
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        held = scratch(nodes.join(sizes, "node").join(lows, "cls").select("node", "cls", "low", "size"))
+        few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("members"))
+        pairs = materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct())
+        large = held.where(F.col("size") > SMALL).drop("size")
+        # A class's pair with its smallest partner, and those with centres: within a group they form stars.
+        tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        tried = materialise(tried.unionByName(self._star(large)).distinct())
+        links = self._confirmed(tried)
+        labels = components(links)
+        large = large.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
+        # Nodes whose classes links join already are done.
+        open_nodes = large.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+        large = materialise(large.join(open_nodes, "node", "left_semi").select("cls", "label").distinct())
+        scratch.clear()
+        if not large.isEmpty():
+            pairs = pairs.unionByName(self._met(large))
         return links, labels, tried, materialise(pairs.distinct())
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from dayledger.llm import decontaminate, mixing, neardup, tokencount
 from dayledger.llm.common import table
+from dayledger.llm.words import WordHashes, split_words
 from tests.llm.conftest import ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,26 @@ def test_large_groups(spark, edits):
     assert got == plain_components(texts, 3, 85)
 
 
+def test_pairs_in_a_large_group(spark):
+    """Texts of a large group, below the threshold with the others and above it with one whose signature agrees less than most."""
+    rng, words = random.Random(8), WordHashes()
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    sign = lambda t: neardup.signature(neardup.shingle_set(words.of(split_words(t)), 3))
+    centre, pairs = [word() for _ in range(400)], []
+    for _ in range(800):
+        places = rng.sample(range(400), 13)
+        new = {at: word() for at in places}
+        pair = [" ".join(new[at] if at in own else w for at, w in enumerate(centre)) for own in (places[:8], places[5:])]  # three edits in common
+        pairs.append(((sign(pair[0]) == sign(pair[1])).sum(), pair))
+    pairs.sort(key=lambda x: x[0])
+    texts = dict(enumerate(t for same, pair in [x for x in pairs if x[0] >= 44][:30] for t in pair))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    want = plain_components(texts, 3, 85)
+    assert len({c for _, c in want.values()}) > 10
+    assert got == want
+
+
 def test_near_dedup_data(spark, data):
     docs = table(spark, data, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
