@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 
 _BITS = 14
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: The attribute of labelled pages; no page to extract has it.
+_LABEL = re.compile(r'\bdata-dayledger-label="([01])"')
+_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed sets of HTML: elements whose text isn't shown as such, without end tag, and block-level.
 RAW = frozenset("script style template svg iframe object noembed noframes textarea select title math canvas audio video".split())
@@ -42,7 +44,7 @@ def leaf_blocks(page: str):
     """(text, path, link share, label) of each leaf block with text.
 
     path holds (tag, names) of the open elements, outermost first; label is the nearest
-    data-label, if any. Tags that are cut off at the end of the page, comments and
+    label of a labelled page, if any. Tags that are cut off at the end of the page, comments and
     elements of RAW are no text; unclosed elements end with their parent or the page.
     """
     out, stack, parts = [], [], []
@@ -110,13 +112,11 @@ def leaf_blocks(page: str):
                         break
                     if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body", "dl"):
                         break
-            names, label = [], None
-            for a in _ATTR.finditer(m[3] or m[6] or ""):
-                if a[1].lower() == "data-label":
-                    label = int(a[2].strip("\"'"))
-                else:
-                    names += [w.lower() for w in _NAME_WORD.findall(a[2])]
-            stack.append((tag, tuple(names), label))
+            names, attributes = [], m[3] or m[6] or ""
+            for a in _ATTR.finditer(attributes):
+                names += [w.lower() for w in _NAME_WORD.findall(a[2])]
+            label = _LABEL.search(attributes)
+            stack.append((tag, tuple(names), int(label[1]) if label else None))
         elif tag == "a":
             in_link += 1
     flush()
@@ -212,7 +212,7 @@ _SYLLABLES = "ba con der en fi gor há in ja ke lo men nó or pre qui ra so té
 
 
 def labelled_page(rng: random.Random) -> str:
-    """One page in a random layout; data-label says 1 for blocks of the article and 0 for the others."""
+    """One page in a random layout; data-dayledger-label says 1 for blocks of the article and 0 for the others."""
     word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.randint(1, 3)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentence = lambda: words(4, 18).capitalize() + rng.choice([".", ".", ".", "!", "?"])
@@ -222,7 +222,7 @@ def labelled_page(rng: random.Random) -> str:
     def box(tags: str, names: str, inner: str, label: int) -> str:
         tag = rng.choice(tags.split())
         attr = f' {rng.choice(["class", "class", "id"])}="{rng.choice(names.split("|"))}"' if names and (tag in ("div", "section", "p", "ul") or rng.random() < 0.4) else ""
-        return f'<{tag}{attr} data-label="{label}">{inner}</{tag}>'
+        return f'<{tag}{attr} data-dayledger-label="{label}">{inner}</{tag}>'
 
     nav = lambda: box("nav nav div ul", "nav|menu|main-menu|navbar|topnav|site-nav", f"<ul>{links(3, 9)}</ul>", 0)
     ad = lambda: box("div div aside section ins p", "ad|ads|advert|advertisement|banner-ad|sponsored|promo|ad-slot", rng.choice([sentences(1, 3), words(3, 8)]), 0)
@@ -258,13 +258,13 @@ def labelled_page(rng: random.Random) -> str:
     body = "".join(passage() if rng.random() < 0.85 else rng.choice([ad, ad, form, side, notice])() for _ in range(rng.randint(1, 14)))
     title = f"<h1>{words(1, 12)}</h1>"
     if rng.random() < 0.25:
-        title = f"<header>{title}" + rng.choice(["", f'<p class="{rng.choice(["byline", "meta", "post-meta", "date"])}" data-label="0">{words(2, 5)}</p>']) + "</header>"
+        title = f"<header>{title}" + rng.choice(["", f'<p class="{rng.choice(["byline", "meta", "post-meta", "date"])}" data-dayledger-label="0">{words(2, 5)}</p>']) + "</header>"
     article = rng.choice([title, title, title, ""]) + body
     tail = "".join(x() for x in (comments, side, form) if rng.random() < 0.15)
     names = "content|post|entry|entry-content|article|article-body|story|main-content|post-body|text"
     main = box("article article article div section main", names, article + tail, 1)
     if "<article" not in main and "class=" not in main[:60] and "id=" not in main[:60] and not main.startswith("<main"):
-        main = f'<div class="content" data-label="1">{article}</div>'
+        main = f'<div class="content" data-dayledger-label="1">{article}</div>'
     if rng.random() < 0.3:
         main = box("main div", "main|content|page|wrapper|container", main, 0)
     before = "".join(x() for x in (header, nav, ad, notice, form, side) if rng.random() < 0.4)

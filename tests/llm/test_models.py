@@ -157,3 +157,8 @@ def test_pages_odd(spark, field):
     assert got[5] == "a <b> cde f & g" and got[6] == ("word " * 60_000).strip()
     assert html.extract_main_text(df.limit(0), field).count() == 0
     assert [b[0] for b in html.leaf_blocks(pages[8])] == ["a < b", "c"]
+
+
+def test_labels_of_pages_are_no_training_labels():
+    page = '<table><tr><td data-label="Price">12</td><td data-label=>x</td></tr></table><p data-label="1">text</p>'
+    assert [(b[0], b[3]) for b in html.leaf_blocks(page)] == [("12", None), ("x", None), ("text", None)]
