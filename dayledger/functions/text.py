@@ -46,10 +46,16 @@ def group_lists(c: Column, groups: dict[str, list[str]]) -> Column:
     return out
 
 
+def title_case(c: Column) -> Column:
+    """Capitals after anything that is no letter (digits, dashes, apostrophes), small letters elsewhere."""
+    words = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+
+
 def humanize(c: Column) -> Column:
     """A label from a code: prefix off, underscores to spaces, title case; two-letter capitals stay; null is —None—."""
     plain = F.translate(F.regexp_replace(c, CODE_PREFIX, ""), "_", " ")
-    title = F.initcap(F.lower(plain))
+    title = title_case(plain)
     for old, new in FRAGMENTS.items():
         title = F.replace(title, F.lit(old), F.lit(new))
     for old, new in WHOLE_LABELS.items():
@@ -77,12 +83,12 @@ def minify(c: Column) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def upper_limit(c: Column, leading: int = 2, minimum: int = 100) -> Column:
-    """c, at least minimum, rounded up to ``leading`` leading digits."""
-    n = F.greatest(c.cast("long"), F.lit(minimum).cast("long"))
-    width = F.char_length(n.cast("string"))
-    factor = F.pow(F.lit(10.0), F.greatest(width - leading, F.lit(0))).cast("long")
-    return (F.floor((n + factor - 1) / factor) * factor).cast("long")
+def upper_limit(c: Column, digits: int = 2, floor: int = 100) -> Column:
+    """The least number not under c and floor whose digits after the first ``digits`` are zeros."""
+    at_least = F.when(c > floor, c).otherwise(F.lit(floor)).cast("long")
+    zeros = F.greatest(F.floor(F.log10(at_least.cast("double"))) + 1 - digits, F.lit(0))
+    step = F.rpad(F.lit("1"), (zeros + 1).cast("int"), F.lit("0")).cast("long")
+    return at_least + F.pmod(-at_least, step)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -1,65 +1,33 @@
-"""The profile: statistics of every declared column, for each day and stratum, in two aggregations.
+"""The profile: statistics of every declared column, for each day and stratum, in one pass.
 
-Scalars are one wide aggregation whose buffers combine before the shuffle and whose
-result unfolds into rows. Values are an array of (number of the spec, value) per source
-row, exploded and counted, again with partial counts before the shuffle. Free
-text has a branch of its own, so that its long tail doesn't widen the other.
+A source row becomes an array of elements (number of the slot, value, x), which is
+exploded and counted by slot and value, with partial sums before the shuffle; so the
+source is read once whatever the number of declarations, and what is shuffled is the
+result's size rather than the input's. A second, small aggregation over the result
+gives counters that nothing added to their zero.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.functions.stats import COLUMNS
-from dayledger.functions.text import seconds_between
-from dayledger.operators.spec import CountsWith, Dataset, Duration, ListStats, NullPattern, Rows, TextCounts, TextRows, ValueCounts
-
-
-
-def _scalars(spec) -> list[tuple[str | None, Column, Column, Column, Column]]:
-    """(entity, count, min, mean, max) of each scalar of a spec."""
-    none = F.lit(None).cast("long")
-    if isinstance(spec, Rows):
-        return [(None, F.count(F.lit(1)), none, none, none)]
-    if isinstance(spec, TextRows):
-        return [("rows_of_text", F.count_if(F.char_length(spec.column) > 0), none, none, none)]
-    if isinstance(spec, ListStats):
-        n = F.array_size(spec.column).cast("long")
-        return [("elements", F.coalesce(F.sum(n), F.lit(0)), none, none, none), ("elements_per_row", none, none, none, F.max(n)), ("rows_with_elements", F.count_if(n > 0), none, none, none)]
-    if isinstance(spec, NullPattern):
-        mask = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(spec.columns)])
-        name = lambda k: "_".join(n for i, n in enumerate(spec.names) if k >> i & 1) or "is_null"
-        return [(name(k), F.count_if(mask == k), none, none, none) for k in range(1 << len(spec.columns))]
-    if isinstance(spec, Duration):
-        s = F.when(F.col(spec.start) <= F.col(spec.end), seconds_between(F.col(spec.start), F.col(spec.end)))
-        return [(None, F.count(s), F.min(s), F.avg(s).cast("long"), F.max(s)), ("null_bc_negative", F.count_if(F.col(spec.start) > F.col(spec.end)), none, none, none)]
-    return []
+from dayledger.operators.spec import KINDS, Dataset, Slot, one
 
+_BY_VALUE = KINDS[:3]
 
-def _values(spec, text: bool, names: list[tuple[str, str | None]]) -> Column | None:
-    """Array of (k, value) that a source row adds to the value counts; names[k] is (column, entity)."""
 
-    def numbered(entity: str | None = None) -> Column:
-        names.append((spec.column, entity))
-        return F.lit(len(names) - 1)
-
-    one = lambda k, value: F.struct(k.alias("k"), value.alias("value"))
-    if isinstance(spec, TextCounts):
-        return F.array(one(numbered(), F.col(spec.column))) if text else None
-    if text or not isinstance(spec, ValueCounts | ListStats | CountsWith):
-        return None
-    if isinstance(spec, ListStats) or isinstance(spec, CountsWith) and spec.is_list:
-        items = F.when(F.size(spec.column) > 0, F.col(spec.column)).otherwise(F.array(F.lit(None).cast("string")))
-    else:
-        items = F.array(F.col(spec.column).cast("string"))
-    k = numbered()
-    out = F.transform(items, lambda x: one(k, x))
-    if isinstance(spec, CountsWith):
-        k2 = numbered(spec.entity)
-        out = F.concat(out, F.when(F.col(spec.other).isNotNull(), F.transform(items, lambda x: one(k2, x))).otherwise(F.slice(out, 1, 0)))
+def _slots(data: Dataset) -> list[tuple[str, Slot]]:
+    """(column, slot) of all specs; the first slot counts the rows of a group and has no output."""
+    out = [("", Slot(F.array(one()), ()))]
+    for spec in data.specs:
+        if not callable(getattr(spec, "slots", None)):
+            raise TypeError(f"{spec!r} is no declaration: it has no slots()")
+        for slot in spec.slots():
+            if bad := {kind for _, kind in slot.outputs} - set(KINDS):
+                raise ValueError(f"{spec!r} has outputs of unknown kinds: {', '.join(sorted(bad))}")
+            out.append((spec.column, slot))
     return out
 
 
@@ -76,30 +44,31 @@ def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column |
         "category": F.col(data.category).cast("string") if data.category else F.lit(None).cast("string"),
     }
     rows = df.where(F.col(data.category).isNotNull()) if data.category else df
-    names, parts = list(keys), []
-
-    scalars = [(s.column, *x) for s in data.specs for x in _scalars(s)]
-    if scalars:
-        flat = [c.alias(f"s{i}_{n}") for i, (_, _, *cols) in enumerate(scalars) for n, c in zip("cnax", cols)]
-        wide = rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*flat)
-        unfolded = F.array(*[
-            F.struct(F.lit(c).alias("column"), F.lit(e).cast("string").alias("entity"), *[F.col(f"s{i}_{n}").cast("long").alias(v) for n, v in zip("cnax", ("count", "min", "mean", "max"))])
-            for i, (c, e, *_) in enumerate(scalars)
-        ])
-        none = F.lit(None).cast("string")
-        parts.append(wide.select(*names, F.explode(unfolded).alias("x")).select(*names, "x.*", none.alias("variant"), none.alias("text")))
-    for text in (False, True):
-        kinds: list[tuple[str, str | None]] = []
-        arrays = [v for s in data.specs if (v := _values(s, text, kinds)) is not None]
-        if arrays:
-            long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(F.concat(*arrays)).alias("x")).select(*names, "x.k", "x.value")
-            counted = long.groupBy(*names, "k", "value").agg(F.count(F.lit(1)).alias("count"))
-            at = lambda i: F.get(F.array(*[F.lit(kind[i]).cast("string") for kind in kinds]), F.col("k"))  # noqa: E731, B023
-            none = F.lit(None).cast("string")
-            value = {"variant": none, "text": F.col("value")} if text else {"variant": F.col("value"), "text": none}
-            parts.append(counted.withColumns({"column": at(0), "entity": at(1), **value, **{v: F.lit(None).cast("long") for v in ("min", "mean", "max")}}).drop("k", "value"))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return out.withColumn("tag", F.lit(tag).cast("string")).select(*COLUMNS)
+    names, slots = list(keys), _slots(data)
+    numbered = lambda k: lambda e: F.struct(F.lit(k).alias("k"), e["value"].alias("value"), e["x"].alias("x"))
+    added = F.concat(*[F.transform(slot.elements, numbered(k)) for k, (_, slot) in enumerate(slots)])
+    long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(added).alias("e")).select(*names, "e.k", "e.value", "e.x")
+    sums = [F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    counted = long.groupBy(*names, "k", "value").agg(F.count(F.lit(1)).alias("n"), *sums)
+    # Each group's own counter becomes a zero for every counter that must show.
+    must = [(k, v) for k, (_, slot) in enumerate(slots) for v in (slot.known or (() if all(kind in _BY_VALUE for _, kind in slot.outputs) else (None,)))]
+    if must:
+        zero = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).cast("string").alias("value"), F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("long").alias(c) for c in ("s", "lo", "hi")])
+        own = F.array(F.struct("k", "value", "n", "s", "lo", "hi"))
+        filled = counted.select(*names, F.explode(F.when(F.col("k") == 0, F.array(*[zero(k, v) for k, v in must])).otherwise(own)).alias("e")).select(*names, "e.*")
+        counted = filled.groupBy(*names, "k", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    told = [F.array(*[F.struct(F.lit(column).alias("column"), F.lit(entity).cast("string").alias("entity"), F.lit(kind).alias("kind")) for entity, kind in slot.outputs]) for column, slot in slots[1:]]
+    if not told:
+        told = [F.array(F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("entity"), F.lit("").alias("kind")))]
+    out = counted.where("k > 0").select(*names, "value", "n", "s", "lo", "hi", F.explode(F.get(F.array(*told), F.col("k") - 1)).alias("t"))
+    kind, measured = F.col("t.kind"), F.col("t.kind") == "measure"
+    count = F.when(kind == "sum", F.coalesce("s", F.lit(0))).when(kind != "max", F.col("n"))
+    return out.select(
+        "start_date", "end_date", F.lit(tag).cast("string").alias("tag"), "platform", "category", F.col("t.column").alias("column"),
+        F.when(kind == "entity", F.col("value")).otherwise(F.col("t.entity")).alias("entity"), F.when(kind == "variant", F.col("value")).alias("variant"), F.when(kind == "text", F.col("value")).alias("text"),
+        count.cast("long").alias("count"), F.when(measured, F.col("lo")).alias("min"), F.when(measured & (F.col("n") > 0), (F.col("s") / F.col("n")).cast("long")).alias("mean"),
+        F.when(measured | (kind == "max"), F.col("hi")).alias("max"),
+    ).select(*COLUMNS)
 
 
 def dropped_rows(df: DataFrame, data: Dataset) -> DataFrame:

@@ -154,9 +154,20 @@ def keyword_share(stats: DataFrame, column: str, **keys) -> DataFrame:
 
 
 def text_usage(stats: DataFrame, columns: list[str], **keys) -> DataFrame:
-    """Rows by column and free text; null shows as a mark."""
+    """Rows by column and free text, ranked: columns from last to first, texts by falling count, ties from last to first; null shows as a mark."""
     out = stats.where(predicate(column=columns, entity=None, **keys)).groupBy("column", "text").agg(F.sum("count").alias("count"))
-    return out.withColumn("text", F.coalesce("text", F.lit(NULL_MARK)))
+    return by_count(out.withColumn("text", F.coalesce("text", F.lit(NULL_MARK))), F.desc("column"), ties=("text",))
+
+
+def by_count(table: DataFrame, *first: Column, ties: tuple[str, ...] = ("variant", "text")) -> DataFrame:
+    """The table from its largest count to its smallest within ``first``; ties from last to first, null last. A distributed sort."""
+    return table.orderBy(*first, F.col("count").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ties])
+
+
+def value_counts(stats: DataFrame, column: str, entity=None, **keys) -> DataFrame:
+    """(variant, text, count) of a column over the whole range, largest first."""
+    rows = stats.where(predicate(column=column, entity=entity, **keys)).groupBy("variant", "text").agg(F.sum("count").alias("count"))
+    return by_count(rows)
 
 
 def rows_of_text(stats: DataFrame, columns: list[str]) -> DataFrame:
@@ -237,6 +248,23 @@ def cumulative_distinct(df: DataFrame, period: str, key: str) -> DataFrame:
     return out.withColumn("seen", F.sum("new").over(Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def cumulative_platforms(stats: DataFrame, column: str, keyword: str | None = None, unit: str = "month", **keys) -> DataFrame:
+    """(period, kind, new, seen): platforms seen up to each period, all of them ("all"), those with any
+    variant of the column ("with keywords"), and those with one variant (its name).
+
+    One pass over the statistics finds each platform's first periods; a null platform is none.
+    Periods are those that have rows of the column; the last window sees one row per period and kind.
+    """
+    rows = stats.where(predicate(column=column, entity=None, **keys)).withColumn("period", month() if unit == "month" else F.col("start_date"))
+    kinds = {"all": F.lit(True), "with keywords": F.col("variant").isNotNull()} | ({keyword: F.col("variant") == keyword} if keyword else {})
+    first = rows.where("platform is not null").groupBy("platform").agg(*[F.min(F.when(test, F.col("period"))).alias(kind) for kind, test in kinds.items()])
+    new = first.unpivot(["platform"], list(kinds), "kind", "period").where("period is not null").groupBy("kind", "period").agg(F.count(F.lit(1)).alias("new"))
+    spans = rows.select("period").distinct().select("period", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    out = spans.join(new, ["kind", "period"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    over = Window.partitionBy("kind").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    return out.select("period", "kind", "new", F.sum("new").over(over).alias("seen"))
+
+
 def gaps(days: DataFrame, key: str, day: str) -> DataFrame:
     """Missing days between neighbouring days of a key: (key, before, after, days)."""
     over = Window.partitionBy(key).orderBy(day)
@@ -252,9 +280,9 @@ def outage_summary(days: DataFrame, key: str, day: str, most: float = 0.2) -> Da
 
 
 def outages(days: DataFrame, key: str, day: str, longer_than: int = 1, most: float = 0.2) -> DataFrame:
-    """Gaps of more than so many days of keys with real outages; show by lower(key), before."""
+    """Gaps of more than so many days of keys with real outages, in order of the keys without regard to case, then of time."""
     real = outage_summary(days, key, day, most).where("has_real_outages").select(key)
-    return gaps(days, key, day).where(F.col("duration") > longer_than).join(real, key, "left_semi")
+    return gaps(days, key, day).where(F.col("duration") > longer_than).join(real, key, "left_semi").orderBy(F.lower(F.col(key).cast("string")), key, "before")
 
 
 # Tags and the summary table
@@ -267,25 +295,64 @@ def tag_order(stats: DataFrame) -> DataFrame:
     return tags.withColumn("place", F.row_number().over(Window.orderBy("kind", F.col("tag").asc_nulls_first())))
 
 
-def summary(stats: DataFrame) -> DataFrame:
-    """(tag, variable, value): every count of the table over its whole range, as text.
+#: The counters that open a summary, in their order.
+OPENING = ("batch_count", "extract_rows", "extract_rows_with_keywords", "total_rows", "total_rows_with_keywords")
+
+
+def short_text(c: Column, most: int = 70) -> Column:
+    """A free text as a label: white space as one space, no bars, and a mark where it was cut."""
+    plain = F.replace(F.regexp_replace(c, r"[\x09-\x0D\x20]+", " "), F.lit("|"), F.lit(""))
+    return F.when(F.char_length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
 
-    Durations give their four quantities; platforms give rows and first day.
+
+def summary(stats: DataFrame) -> DataFrame:
+    """(tag, section, ordinal, variable, text, value): every quantity of the table over its whole range, as text.
+
+    Sections: 0 the counters that open it, 1 all other fields, 2 platforms by rows, 3
+    platforms by first day. A field's values come by falling count, ties from last to
+    first. Durations give count, least, mean and largest; other fields their count, and
+    the largest where there is one. A null value of a field that has others is is_null.
+    Each free text is a row of its own: variable shortens it for show, text has it whole. As
+    such rows may be many, they have no ordinal (a window over all of them would be one
+    task); by_count() sorts them.
+    """
+    field = ["tag", "column", "entity"]
+    merged = merge(stats, [*field, "variant", "text"])
+    has = merged.groupBy(*[F.col(c).alias("of_" + c) for c in field]).agg(F.max(F.col("variant").isNotNull() | F.col("text").isNotNull()).alias("by_value"))
+    rows = merged.join(has, [F.col(c).eqNullSafe(F.col("of_" + c)) for c in field])
+    value = F.coalesce(short_text(F.col("text")), F.col("variant"), F.when(F.col("by_value"), F.lit("is_null")))
+    timed = F.col("min").isNotNull()
+    part = lambda test, i, suffix, v: F.when(test, F.struct(F.lit(i).alias("i"), suffix.alias("suffix"), v.cast("string").alias("value")))
+    none = F.lit(None).cast("string")
+    parts = F.array_compact(F.array(
+        part((F.col("count") > 0) | F.col("max").isNull(), 0, F.when(timed, "count").otherwise(none), F.col("count")),
+        part(timed, 1, F.lit("min"), F.col("min")), part(F.col("mean").isNotNull(), 2, F.lit("mean"), F.col("mean")), part(F.col("max").isNotNull(), 3, F.lit("max"), F.col("max")),
+    ))
+    place = F.array_position(F.array(*map(F.lit, OPENING)), F.col("column"))
+    rows = rows.select("tag", F.when(place > 0, 0).otherwise(1).alias("section"), F.when(place > 0, place.cast("string")).otherwise(F.col("column")).alias("a"), F.col("entity").alias("b"), F.col("count").alias("n"), F.col("variant").alias("c"), "text", F.concat_ws(".", "column", "entity", value).alias("name"), F.explode(parts).alias("x"))
+    rows = rows.select("tag", "section", "a", "b", "n", "c", F.col("x.i").alias("i"), "text", F.concat_ws(".", "name", "x.suffix").alias("variable"), "x.value")
+    seen = stats.where(predicate(column="rows", entity=None, platform=PRESENT)).groupBy("tag", "platform").agg(F.sum("count").alias("rows"), F.min("start_date").alias("start_date"))
+    one = lambda section, n, what: F.struct(F.lit(section).alias("section"), n.cast("long").alias("n"), F.concat_ws(".", F.lit("platform"), "platform", F.lit(what)).alias("variable"), F.col(what).cast("string").alias("value"))
+    seen = seen.select("tag", "platform", F.explode(F.array(one(2, F.col("rows"), "rows"), one(3, -F.unix_date("start_date"), "start_date"))).alias("x"))
+    seen = seen.select("tag", "x.section", none.alias("a"), none.alias("b"), "x.n", F.col("platform").alias("c"), F.lit(0).alias("i"), none.alias("text"), "x.variable", "x.value")
+    plain = rows.where("text is null").unionByName(seen)
+    order = Window.partitionBy("tag").orderBy("section", "a", F.col("b").asc_nulls_first(), F.desc("n"), F.col("c").desc_nulls_last(), "i")
+    plain = plain.withColumn("ordinal", F.row_number().over(order))
+    texts = rows.where("text is not null").withColumn("ordinal", F.lit(None).cast("int"))
+    return plain.unionByName(texts).select("tag", "section", "ordinal", "variable", "text", "value")
+
+
+def intro(stats: DataFrame, tag: str | None = None) -> DataFrame:
+    """The quantities that open a report on one tag, in one pass.
+
+    Rows of the extract with the tag and of the whole; platforms and, with the tag,
+    distinct free texts, null counting as one of each; rows of the table with a free text;
+    first and last day and the days between them, both included.
     """
-    merged = merge(stats, ["tag", "column", "entity", "variant", "text"])
-    name = F.concat_ws(".", "column", "entity", F.col("variant"), F.when(F.col("text").isNotNull(), F.substring(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"\|", ""), 1, 70)))
-    values = [F.struct(F.lit(q).alias("q"), F.col(q).alias("v")) for q in ("count", "min", "mean", "max")]
-    rows = merged.select("tag", name.alias("name"), F.explode(F.array(*values)).alias("x")).where("x.v is not null")
-    rows = rows.groupBy("tag", F.when(F.col("x.q") == "count", F.col("name")).otherwise(F.concat_ws(".", "name", "x.q")).alias("variable")).agg(F.sum("x.v").cast("string").alias("value"))
-    seen = stats.where(predicate(column="rows", entity=None, platform=PRESENT)).groupBy("tag", "platform").agg(F.sum("count").alias("n"), F.min("start_date").alias("d"))
-    pair = F.array(F.struct(F.concat_ws(".", F.lit("platform"), "platform", F.lit("rows")).alias("variable"), F.col("n").cast("string").alias("value")), F.struct(F.concat_ws(".", F.lit("platform"), "platform", F.lit("start_date")).alias("variable"), F.col("d").cast("string").alias("value")))
-    return rows.unionByName(seen.select("tag", F.explode(pair).alias("x")).select("tag", "x.*"))
-
-
-def intro(stats: DataFrame) -> DataFrame:
-    """The quantities that open a report, in one pass."""
-    rows = predicate(column="rows", entity=None)
+    tagged = predicate(tag=tag)
+    distinct = lambda test, c: F.count_distinct(F.when(test, F.col(c))) + F.coalesce(F.max((test & F.col(c).isNull()).cast("int")), F.lit(0))
     return stats.agg(
-        F.sum(F.when(rows, F.col("count"))).alias("rows"), F.count_distinct(F.when(rows, F.col("platform"))).alias("platforms"),
-        F.min("start_date").alias("first_day"), F.max("end_date").alias("last_day"), F.count_distinct(F.when(rows, F.col("start_date"))).alias("days"),
+        F.sum(F.when(predicate(column="extract_rows", tag=tag), F.col("count"))).alias("extract_rows"), F.sum(F.when(predicate(column="total_rows", tag=None), F.col("count"))).alias("total_rows"),
+        distinct(F.lit(True), "platform").alias("platforms"), (F.datediff(F.max("end_date"), F.min("start_date")) + 1).cast("long").alias("days"), F.min("start_date").alias("first_day"), F.max("end_date").alias("last_day"),
+        F.count_if(tagged & F.col("text").isNotNull()).alias("text_entries"), distinct(tagged, "text").alias("texts"),
     )

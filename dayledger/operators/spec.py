@@ -1,8 +1,57 @@
-"""Declarations of what a profile computes for each column of a table."""
+"""Declarations of what a profile computes for each column of a table.
+
+A declaration lists slots: what a row adds to a counter, and what the counter's sums say.
+A class of one's own with ``column`` and ``slots()`` is a declaration like those here.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from typing import Protocol
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from dayledger.functions.text import seconds_between
+
+#: What an output takes from the sums of a slot: rows by value (as variant, text or entity),
+#: number of elements, sum of x, largest x, or number, least, mean and largest x.
+KINDS = ("variant", "text", "entity", "count", "sum", "max", "measure")
+
+
+@dataclass(frozen=True)
+class Slot:
+    """elements is an array of one() that a row adds; outputs are (entity, kind).
+
+    Outputs other than rows by value have a row in every group of the profile; values
+    listed in known have one, too.
+    """
+
+    elements: Column
+    outputs: tuple[tuple[str | None, str], ...]
+    known: tuple[str, ...] = ()
+
+
+class Spec(Protocol):
+    column: str
+
+    def slots(self) -> list[Slot]: ...
+
+
+def one(value: Column | None = None, x: Column | None = None) -> Column:
+    """An element with a value to count by and a number to sum."""
+    return F.struct((F.lit(None) if value is None else value).cast("string").alias("value"), (F.lit(None) if x is None else x).cast("long").alias("x"))
+
+
+def only(test: Column, element: Column | None = None) -> Column:
+    """The element in rows that pass the test, and nothing in others."""
+    return F.when(test, F.array(one() if element is None else element)).otherwise(F.slice(F.array(one()), 1, 0))
+
+
+def _items(column: str) -> Column:
+    """An array's elements; one null element if there are none."""
+    return F.when(F.size(column) > 0, F.col(column)).otherwise(F.array(F.lit(None).cast("string")))
 
 
 @dataclass(frozen=True)
@@ -11,6 +60,9 @@ class Rows:
 
     column: str = "rows"
 
+    def slots(self) -> list[Slot]:
+        return [Slot(F.array(one()), ((None, "count"),))]
+
 
 @dataclass(frozen=True)
 class ValueCounts:
@@ -18,6 +70,9 @@ class ValueCounts:
 
     column: str
 
+    def slots(self) -> list[Slot]:
+        return [Slot(F.array(one(F.col(self.column))), ((None, "variant"),))]
+
 
 @dataclass(frozen=True)
 class TextCounts:
@@ -25,6 +80,9 @@ class TextCounts:
 
     column: str
 
+    def slots(self) -> list[Slot]:
+        return [Slot(F.array(one(F.col(self.column))), ((None, "text"),))]
+
 
 @dataclass(frozen=True)
 class TextRows:
@@ -32,6 +90,9 @@ class TextRows:
 
     column: str
 
+    def slots(self) -> list[Slot]:
+        return [Slot(only(F.char_length(self.column) > 0), (("rows_of_text", "count"),))]
+
 
 @dataclass(frozen=True)
 class ListStats:
@@ -42,6 +103,14 @@ class ListStats:
 
     column: str
 
+    def slots(self) -> list[Slot]:
+        n = F.array_size(self.column)
+        return [
+            Slot(F.array(one(x=n)), (("elements", "sum"), ("elements_per_row", "max"))),
+            Slot(only(n > 0), (("rows_with_elements", "count"),)),
+            Slot(F.transform(_items(self.column), one), ((None, "variant"),)),
+        ]
+
 
 @dataclass(frozen=True)
 class NullPattern:
@@ -51,6 +120,11 @@ class NullPattern:
     columns: tuple[str, ...]
     names: tuple[str, ...]
 
+    def slots(self) -> list[Slot]:
+        mask = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(self.columns)])
+        patterns = tuple("_".join(n for i, n in enumerate(self.names) if k >> i & 1) or "is_null" for k in range(1 << len(self.columns)))
+        return [Slot(F.array(one(F.get(F.array(*map(F.lit, patterns)), mask))), ((None, "entity"),), patterns)]
+
 
 @dataclass(frozen=True)
 class Duration:
@@ -60,6 +134,10 @@ class Duration:
     start: str
     end: str
 
+    def slots(self) -> list[Slot]:
+        start, end = F.col(self.start), F.col(self.end)
+        return [Slot(only(start <= end, one(x=seconds_between(start, end))), ((None, "measure"),)), Slot(only(start > end), (("null_bc_negative", "count"),))]
+
 
 @dataclass(frozen=True)
 class CountsWith:
@@ -70,15 +148,16 @@ class CountsWith:
     is_list: bool = False
     entity: str = "with_end_date"
 
-
-Spec = Rows | ValueCounts | TextCounts | TextRows | ListStats | NullPattern | Duration | CountsWith
+    def slots(self) -> list[Slot]:
+        values = F.transform(_items(self.column), one) if self.is_list else F.array(one(F.col(self.column)))
+        return [Slot(values, ((None, "variant"),)), Slot(F.when(F.col(self.other).isNotNull(), values).otherwise(F.slice(values, 1, 0)), ((self.entity, "variant"),))]
 
 
 @dataclass(frozen=True)
 class Dataset:
     """A table to profile: its day, its strata, and the specs of its columns."""
 
-    specs: tuple[Spec, ...]
+    specs: tuple[Spec, ...] = field(default=())
     day: str = "day"
     platform: str | None = "platform"
     category: str | None = None

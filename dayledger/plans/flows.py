@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayledger.functions.stats import SCHEMA
 from dayledger.operators import checks
+from dayledger.operators.profile import profile
 from dayledger.operators.spec import Dataset, Rows, ValueCounts
 from dayledger.plans import oracle, views
-from dayledger.plans.queries import add
+from dayledger.plans.queries import ORACLES, add
 from dayledger.sources import logs, records, tables
 from dayledger.streaming import daily, incremental
 
@@ -112,19 +114,117 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("day date, category string, count long").parquet(out)
 
 
-@add("oplog_metrics", "SELECT CAST(day AS VARCHAR) AS release, metric, count(*) AS n, max(value) AS most FROM (SELECT day, CASE WHEN category = 'error' THEN 'max-rss' ELSE 'latency' END AS metric, CASE WHEN category = 'error' THEN value / 1024.0e0 ELSE value * 60.0e0 END AS value FROM E) GROUP BY ALL", views.E)
-def oplog_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs in the shape of the engine's own, one file a day, made from events, and what they measure."""
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    """Logs in the shape of the engine's own, one file a day, made from events."""
     path, e = tables.shared_path(spark), views.events(spark, sf_dir)
     head = F.concat_ws(logs.SEPARATOR, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.col("platform").cast("string"), F.lit("processor"), F.lit("INFO"))
     batch = F.format_string('summarized batch file="sor-%s-full-00001", latency=%s, unit="min"', F.col("day").cast("string"), F.col("value").cast("string"))
     memory = F.format_string('maximum resident-set-size=%s, unit="MB", release="%s"', F.col("value").cast("string"), F.col("day").cast("string"))
     line = F.concat(head, F.lit(logs.SEPARATOR), F.when(F.col("category") == "error", memory).otherwise(batch), F.when(F.col("event_id") % 5 == 0, "\nTraceback:\n  at line 1").otherwise(""))
-    e.select("day", "ts", line.alias("value")).repartition("day").sortWithinPartitions("day", "ts").select("day", "value").write.partitionBy("day").text(path)
-    series = logs.metrics(logs.entries(logs.read_lines(spark, path)))
+    e.select("day", "event_id", line.alias("value")).repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    return path
+
+
+@add("oplog_metrics", "SELECT CAST(day AS VARCHAR) AS release, metric, count(*) AS n, max(value) AS most FROM (SELECT day, CASE WHEN category = 'error' THEN 'max-rss' ELSE 'latency' END AS metric, CASE WHEN category = 'error' THEN value / 1024.0e0 ELSE value * 60.0e0 END AS value FROM E) GROUP BY ALL", views.E)
+def oplog_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the logs measure."""
+    series = logs.metrics(logs.entries(logs.read_lines(spark, _logs(spark, sf_dir))))
     return series.groupBy("release", "metric").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
 
 
+@add("metrics_csv", ORACLES["oplog_metrics"])
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a file of metrics."""
+    path = tables.shared_path(spark)
+    logs.write_metrics(logs.metrics(logs.entries(logs.read_lines(spark, _logs(spark, sf_dir)))), path)
+    return logs.read_metrics(spark, path).groupBy("release", "metric").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+
+
+@add(
+    "log_workers",
+    """SELECT CAST(day AS VARCHAR) AS release, platform AS pid, CAST(nullif(row_number() OVER (PARTITION BY day ORDER BY first) - 1, 0) AS INT) AS worker FROM (SELECT day, platform, min(event_id) AS first FROM E GROUP BY ALL)""",
+    views.E,
+)
+def log_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of each process in its file, by first appearance; the first one coordinates."""
+    series = logs.metrics(logs.entries(logs.read_lines(spark, _logs(spark, sf_dir))))
+    return series.groupBy("release", "pid").agg(F.max("worker").alias("worker"))
+
+
+@add(
+    "log_properties",
+    """SELECT event_id, category AS kind, event_id AS n, value AS x, event_id % 2 = 0 AS even, event_id % 3 = 0 AS last FROM E""",
+    views.E,
+)
+def log_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values out of messages: text, whole numbers with underscores, numbers, flags, empty text, a repeated key."""
+    e = views.events(spark, sf_dir)
+    n = F.regexp_replace(F.col("event_id").cast("string"), r"(\d)(\d{3})$", "$1_$2")
+    message = F.concat(F.lit("seen kind="), F.lit('"'), "category", F.lit('", n='), n, F.lit(", x="), F.col("value").cast("string"), F.lit(', none="", even="'), (F.col("event_id") % 2 == 0).cast("string"), F.lit('", last="TRUE", last="'), (F.col("event_id") % 3 == 0).cast("string"), F.lit('"'))
+    p = e.select("event_id", logs.typed(message).alias("p")).where("p['none']['text'] is null and p['none']['flag'] is null and map_contains_key(p, 'none')")
+    return p.select("event_id", F.expr("p['kind']['text']").alias("kind"), F.expr("p['n']['whole']").alias("n"), F.expr("coalesce(p['x']['number'], p['x']['whole'])").alias("x"), F.expr("p['even']['flag']").alias("even"), F.expr("p['last']['flag']").alias("last"))
+
+
+@add("manifest_json", "SELECT day AS release, CAST(NULL AS BIGINT) AS batch_count, count(*) AS total_rows, count(*) FILTER (category = 'purchase') AS total_rows_with_keywords FROM E GROUP BY day", views.E)
+def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the events' days, one JSON document, written and read."""
+    path = tables.shared_path(spark)
+    e = views.events(spark, sf_dir).groupBy("day").agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("category") == "purchase").alias("total_rows_with_keywords"))
+    entry = F.struct(F.col("day").cast("string"), F.struct("total_rows", "total_rows_with_keywords"))
+    e.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("releases"))).alias("value")).write.text(path)  # a row per day of the calendar
+    return tables.read_manifest(spark, path).select("release", "batch_count", "total_rows", "total_rows_with_keywords")
+
+
+@add("statistics_copy", "SELECT * FROM ST", views.E, _STATS)
+def statistics_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics written once, not written again as they are, and read with their schema and domain checked."""
+    path, stats = tables.shared_path(spark), profile(views.events(spark, sf_dir), _DATA)
+    if not tables.copy_statistics(stats, path) or tables.copy_statistics(stats, path):
+        raise AssertionError("the first copy is to be written, the second is not")
+    users = views.events(spark, sf_dir).select(F.col("platform").cast("string").alias("value")).distinct()
+    return tables.check_schema(tables.read_statistics(spark, path, domain=users), SCHEMA)
+
+
+@add("statistics_reschema", "SELECT * REPLACE ('all' AS tag) FROM ST", views.E, _STATS)
+def statistics_reschema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored statistics rewritten with a tag."""
+    old, new = tables.shared_path(spark), tables.shared_path(spark)
+    incremental.refresh(views.events(spark, sf_dir), _DATA, old)
+    incremental.reschema(spark, old, new, lambda stats: stats.withColumn("tag", F.lit("all")))
+    return tables.read_statistics(spark, new)
+
+
+@add(
+    "extract_summary",
+    "SELECT * FROM ST", "E0 AS (SELECT CAST(ts AS DATE) AS day, CASE user_id WHEN 1 THEN 'one' WHEN 2 THEN 'one' ELSE CAST(user_id AS VARCHAR) END AS platform, event_type AS category FROM events WHERE event_type IN ('purchase', 'error'))",
+    f"ST AS ({oracle.statistics('E0', _DATA.specs, tag='some')})",
+)
+def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts distilled on demand, then summarised under canonical names; a second run has nothing to do."""
+    extract, path = tables.shared_path(spark), tables.shared_path(spark)
+    e = views.events(spark, sf_dir).select("day", F.col("platform").cast("string").alias("platform"), "category")
+    aliases = spark.createDataFrame([("1", "one"), ("2", "one")], "alias string, canonical string")
+    run = lambda rows: incremental.summarize_extract(rows, F.col("category").isin("purchase", "error"), extract, _DATA, path, "some", aliases)
+    run(e.where(F.dayofmonth("day") % 2 == 0))
+    run(e)
+    if run(e) != ([], []):
+        raise AssertionError("a third run found days to add")
+    return incremental.combined(spark, path)
+
+
+@add("csv_versions", "SELECT day % 2 = 0 AS newer, count(*) AS rows, count(*) FILTER (day % 2 = 0) AS with_ean FROM (SELECT part AS day FROM H) GROUP BY ALL", views.H)
+def csv_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two versions, without and with a product code, as one table."""
+    rows = _statements(spark, sf_dir).drop("day").withColumn("content_id_ean", F.lit("4006381333931"))
+    old, new = tables.shared_path(spark), tables.shared_path(spark)
+    write = lambda df, path: df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    even = F.col("uuid").cast("long") % 2 == 0
+    write(rows.where(~even).drop("content_id_ean"), old)
+    write(rows.where(even), new)
+    read = records.read_all_versions(spark, [old], [new])
+    return read.groupBy(even.alias("newer")).agg(F.count(F.lit(1)).alias("rows"), F.count("content_id_ean").alias("with_ean"))
+
+
 @add("file_digests", None)
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the given tables' files, and how they differ from a list that lacks the empty ones."""

@@ -343,7 +343,10 @@ add("canonical_names", "SELECT CASE source WHEN 'src1' THEN 'One' WHEN 'src2' TH
 add("canonical_lookup", "SELECT n.name, d.n_name AS value FROM (SELECT lower(n_name) AS name FROM nation UNION ALL SELECT n_name || 'x' FROM nation) n LEFT JOIN nation d ON lower(d.n_name) = lower(n.name)")(
     lambda s, d: checks.find_canonical(table(s, d, "nation").select(F.lower("n_name").alias("name")).union(table(s, d, "nation").select(F.concat("n_name", F.lit("x")))), table(s, d, "nation").select(F.col("n_name").alias("value")))
 )
-add("humanized_labels", "SELECT o_orderpriority AS code, CASE o_orderpriority WHEN '1-URGENT' THEN '1-urgent' WHEN '2-HIGH' THEN '2-high' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified' WHEN '5-LOW' THEN '5-low' END AS label, 'CODE_' || replace(replace(o_orderpriority, '-', '_'), ' ', '_') AS tag FROM (SELECT DISTINCT o_orderpriority FROM orders)")(
+_TITLE = "list_aggregate(list_transform(regexp_extract_all(lower(replace(o_orderpriority, '_', ' ')), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')"
+for _old, _new in tx.FRAGMENTS.items():
+    _TITLE = f"replace({_TITLE}, '{_old}', '{_new}')"
+add("humanized_labels", f"SELECT o_orderpriority AS code, {_TITLE} AS label, 'CODE_' || replace(replace(o_orderpriority, '-', '_'), ' ', '_') AS tag FROM (SELECT DISTINCT o_orderpriority FROM orders)")(
     lambda s, d: table(s, d, "orders").select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("code"), tx.humanize(F.col("o_orderpriority")).alias("label"), tx.normalize_code(F.col("o_orderpriority"), "CODE_").alias("tag"))
 )
 add("manifest_from_stats", "SELECT day AS release, CAST(NULL AS BIGINT) AS batch_count, count(*) AS total_rows, count(*) FILTER (category = 'purchase') AS total_rows_with_keywords, count(*) AS extract_rows, count(*) FILTER (category = 'purchase') AS extract_rows_with_keywords FROM E GROUP BY day", views.E)(
@@ -374,13 +377,58 @@ add("broken_sequence", "SELECT platform, event_id, previous FROM (SELECT platfor
 add("bad_list_items", "SELECT * FROM (SELECT day, platform, part, len(list_filter(list_distinct(words), lambda x: x NOT IN ('small', 'ring', 'red'))) AS n_bad FROM H) WHERE n_bad > 0", views.H)(
     lambda s, d: checks.bad_list_items(views.shipments(s, d), "words", ["small", "ring", "red"]).select("day", "platform", "part", F.size("bad_items").cast("long").alias("n_bad"))
 )
-_SUMMARY = """SELECT tag, variable, CAST(CAST(sum(v) AS BIGINT) AS VARCHAR) AS value FROM (
-  SELECT tag, concat_ws('.', "column", entity, variant) AS variable, sum(count) AS v FROM ST GROUP BY tag, "column", entity, variant HAVING sum(count) IS NOT NULL) GROUP BY tag, variable
-UNION ALL SELECT tag, 'platform.' || platform || '.rows', CAST(CAST(sum(count) AS BIGINT) AS VARCHAR) FROM ST WHERE "column" = 'rows' GROUP BY tag, platform
-UNION ALL SELECT tag, 'platform.' || platform || '.start_date', CAST(min(start_date) AS VARCHAR) FROM ST WHERE "column" = 'rows' GROUP BY tag, platform"""
-add("summary_table", _SUMMARY, views.D, docs_sql(Rows(), ValueCounts("quality"), TextRows("text")))(lambda s, d: rp.summary(docs(s, d, Rows(), ValueCounts("quality"), TextRows("text"))))
-add("report_intro", "SELECT count(*) AS rows, count(DISTINCT platform) AS platforms, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS days FROM E", views.E)(lambda s, d: rp.intro(log(s, d)))
-add("stratification", "SELECT true AS by_category, true AS all_text", views.E)(lambda s, d: checks.stratification(log(s, d, Rows(), category="category")))
+_SUMMARY = """,
+M AS (SELECT tag, "column", entity, variant, text, CAST(coalesce(sum(count), 0) AS BIGINT) AS count, min(min) AS min, CAST(sum(CAST(mean AS HUGEINT) * count) // nullif(sum(count) FILTER (mean IS NOT NULL), 0) AS BIGINT) AS mean, max(max) AS max FROM ST GROUP BY ALL),
+K AS (SELECT tag, "column", entity, bool_or(variant IS NOT NULL OR text IS NOT NULL) AS v FROM M GROUP BY ALL),
+N AS (SELECT M.*, v, replace(regexp_replace(text, '[\\x09-\\x0D\\x20]+', ' ', 'g'), '|', '') AS t FROM M JOIN K ON M.tag IS NOT DISTINCT FROM K.tag AND M."column" = K."column" AND M.entity IS NOT DISTINCT FROM K.entity),
+V AS (SELECT *, concat_ws('.', "column", entity, coalesce(CASE WHEN length(t) > 70 THEN t[1:70] || '…' ELSE t END, variant, CASE WHEN v THEN 'is_null' END)) AS name,
+  list_position(['batch_count', 'extract_rows', 'extract_rows_with_keywords', 'total_rows', 'total_rows_with_keywords'], "column") AS place FROM N),
+Q AS (SELECT *, 0 AS i, CASE WHEN min IS NOT NULL THEN name || '.count' ELSE name END AS variable, count AS value FROM V WHERE count > 0 OR max IS NULL
+  UNION ALL SELECT *, 1, name || '.min', min FROM V WHERE min IS NOT NULL UNION ALL SELECT *, 2, name || '.mean', mean FROM V WHERE mean IS NOT NULL UNION ALL SELECT *, 3, name || '.max', max FROM V WHERE max IS NOT NULL),
+P AS (SELECT tag, platform, sum(count) AS n, min(start_date) AS d FROM ST WHERE "column" = 'rows' AND platform IS NOT NULL GROUP BY ALL),
+A AS (SELECT tag, CASE WHEN place > 0 THEN 0 ELSE 1 END AS section, CASE WHEN place > 0 THEN CAST(place AS VARCHAR) ELSE "column" END AS a, entity AS b, count AS n, variant AS c, i, text, variable, CAST(value AS VARCHAR) AS value FROM Q
+  UNION ALL SELECT tag, 2, NULL, NULL, n, platform, 0, NULL, 'platform.' || platform || '.rows', CAST(n AS VARCHAR) FROM P
+  UNION ALL SELECT tag, 3, NULL, NULL, -(d - DATE '1970-01-01'), platform, 0, NULL, 'platform.' || platform || '.start_date', CAST(d AS VARCHAR) FROM P)
+SELECT tag, section, CASE WHEN text IS NULL THEN CAST(row_number() OVER (PARTITION BY tag, text IS NULL ORDER BY section, a, b NULLS FIRST, n DESC, c DESC NULLS LAST, i) AS INT) END AS ordinal, variable, text, value FROM A"""
+_TEXTS = (Rows(), ValueCounts("quality"), TextRows("text"), TextCounts("text"))
+
+
+def _summary(name: str, view: str, sql: str):
+    """Registers a summary; its SQL goes on with the list of views."""
+
+    def put(f):
+        QUERIES[name], ORACLES[name] = f, f"WITH {view}, {sql}{_SUMMARY}"
+        return f
+
+    return put
+
+
+_summary("summary_table", views.D, docs_sql(*_TEXTS))(lambda s, d: rp.summary(docs(s, d, *_TEXTS)))
+_summary("summary_durations", views.H, ship_sql(Rows(), DELAY, WORDS, PATTERN))(lambda s, d: rp.summary(ship(s, d, Rows(), DELAY, WORDS, PATTERN)))
+
+
+def _opened(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of documents with their header, under a tag."""
+    return docs(s, d, Rows(), TextCounts("text"), tag="t").unionByName(header(views.documents(s, d).withColumn("day", F.lit(date(2024, 1, 31))), "day", "quality")).unionByName(
+        header(views.documents(s, d).where("toxic = 'TOXIC'").withColumn("day", F.lit(date(2024, 1, 31))), "day", "quality", "t").where("column not like 'total%'")
+    )
+
+
+add(
+    "report_intro",
+    """SELECT nullif(count(*) FILTER (toxic = 'TOXIC'), 0) AS extract_rows, count(*) AS total_rows, count(DISTINCT platform) + 1 AS platforms, CAST(31 AS BIGINT) AS days, DATE '2024-01-01' AS first_day, DATE '2024-01-31' AS last_day,
+  (SELECT count(*) FROM (SELECT DISTINCT platform, text FROM D WHERE text IS NOT NULL)) AS text_entries, count(DISTINCT text) + 1 AS texts FROM D""",
+    views.D,
+)(lambda s, d: rp.intro(_opened(s, d), "t"))
+add("value_counts", "SELECT brand AS variant, CAST(NULL AS VARCHAR) AS text, count(*) AS count FROM H GROUP BY brand", views.H)(lambda s, d: rp.value_counts(ship(s, d, BRAND), "brand"))
+_SEEN = """P AS (SELECT date_trunc('month', day)::DATE AS period, platform, flag FROM H WHERE flag <> 'A' OR platform NOT LIKE '%1'),
+F AS (SELECT platform, min(period) AS a, min(period) FILTER (flag <> 'N') AS b, min(period) FILTER (flag = 'R') AS c FROM P GROUP BY platform),
+K AS (SELECT 'all' AS kind, a AS period FROM F UNION ALL SELECT 'with keywords', b FROM F UNION ALL SELECT 'R', c FROM F),
+G AS (SELECT period, kind, (SELECT count(*) FROM K one WHERE one.kind = any_.kind AND one.period = span.period) AS new FROM (SELECT DISTINCT period FROM P) span, (SELECT DISTINCT kind FROM K) any_)"""
+add("cumulative_platforms", "SELECT *, CAST(sum(new) OVER (PARTITION BY kind ORDER BY period) AS BIGINT) AS seen FROM G", views.H, _SEEN)(
+    lambda s, d: rp.cumulative_platforms(by_month(views.shipments(s, d).where("flag <> 'A' or platform not like '%1'").withColumn("flag", F.when(F.col("flag") != "N", F.col("flag"))), FLAG), "flag", "R")
+)
+add("stratification", "SELECT coalesce(bool_or(category IS NOT NULL), false) AS by_category, NOT coalesce(bool_or(entity = 'rows_of_text'), false) AS all_text FROM ST", views.D, docs_sql(*_TEXTS))(lambda s, d: checks.stratification(docs(s, d, *_TEXTS)))
 
 
 # Audit of an extract: users of a day stand for its batch files

@@ -12,7 +12,7 @@ _PAIR = r'([-_a-zA-Z0-9]+)=([_0-9]+(?:\.[0-9]+)?|"[^"]*")'
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line, value): lines with their number; a log file is read by one task, as its order matters."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
     return whole.select("file", F.posexplode("lines").alias("line", "value")).where(F.col("value") != "")
 
 
@@ -24,6 +24,28 @@ def properties(message: Column) -> Column:
     return F.aggregate(unique, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
 
 
+def typed(message: Column) -> Column:
+    """Map of a message's key=value pairs with typed values: (text, whole, number, flag), one of them set.
+
+    Quoted true and false in any case are flags, other quoted text is text, and an empty
+    one is null throughout; numbers are whole without a point.
+    """
+    keys, values = F.regexp_extract_all(message, F.lit(_PAIR), F.lit(1)), F.regexp_extract_all(message, F.lit(_PAIR), F.lit(2))
+
+    def value(v: Column) -> Column:
+        quoted, text, digits = v.startswith('"'), F.nullif(F.btrim(v, F.lit('"')), F.lit("")), F.replace(v, F.lit("_"), F.lit(""))
+        flag = F.lower(text).isin("true", "false")
+        return F.struct(
+            F.when(quoted & ~flag, text).alias("text"), F.when(~quoted & ~F.contains(v, F.lit(".")), digits.try_cast("long")).alias("whole"),
+            F.when(~quoted & F.contains(v, F.lit(".")), digits.try_cast("double")).alias("number"), F.when(quoted & flag, F.lower(text) == "true").alias("flag"),
+        )
+
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    # Of a key's pairs the last counts.
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"]), x["k"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], value(x["v"]))))
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """(file, line, timestamp, pid, module, level, prefix, props, trace): lines without the separator belong to the entry before."""
     run = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

@@ -71,6 +71,16 @@ def read_csv(spark: SparkSession, *paths: str, columns: list[str] | None = None)
     return df.select(*text, _CORRUPT, F.col("_metadata.file_path").alias("file"))
 
 
+def batch_path(root: str, release: date | str, index: int | None = None, name: str = "sor-global") -> str:
+    """The pattern of the files of a release, or of one batch of it: name-release-full-index-part.csv."""
+    return f"{root.rstrip('/')}/{name}-{release}-full-{'*' if index is None else f'{index:05d}'}-*.csv"
+
+
+def read_batch(spark: SparkSession, root: str, release: date | str, index: int | None = None, **options) -> DataFrame:
+    """The batches of a release, or one of them by its index, as read_csv() has them."""
+    return read_csv(spark, batch_path(root, release, index), **options)
+
+
 def read_all_versions(spark: SparkSession, old: list[str], new: list[str]) -> DataFrame:
     """Files without and with content_id_ean as one table; the older have null there."""
     without = [c for c in FIELDS if c != "content_id_ean"]

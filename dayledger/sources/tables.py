@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayledger.functions.stats import COLUMNS, SCHEMA
-from dayledger.operators.checks import canonical, same_rows
-
+from dayledger.operators.checks import canonical, same_rows, unknown_values
 
 _own_dirs: dict[str, str] = {}
 
@@ -40,10 +39,22 @@ def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df
 
 
-def read_statistics(spark: SparkSession, *paths: str, aliases: DataFrame | None = None) -> DataFrame:
-    """Statistics files of one schema, as one table, with platforms under their canonical names."""
+def read_statistics(spark: SparkSession, *paths: str, aliases: DataFrame | None = None, domain: DataFrame | None = None) -> DataFrame:
+    """Statistics files of one schema, as one table, with platforms under their canonical names.
+
+    With a domain (a column ``value``), platforms that it lacks are an error.
+    """
     df = spark.read.schema(SCHEMA).parquet(*paths)
-    return canonical(df, "platform", aliases).select(*COLUMNS) if aliases is not None else df
+    df = (canonical(df, "platform", aliases) if aliases is not None else df).select(*COLUMNS)
+    if domain is not None and (odd := unknown_values(df, "platform", domain).orderBy("value").limit(10).collect()):
+        raise ValueError(f"unknown platforms: {', '.join(r.value for r in odd)}")
+    return df
+
+
+def read_extract(spark: SparkSession, path: str, schema: T.StructType, platform: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """A stored extract in the columns of schema, with platforms under their canonical names; columns that its files lack are null."""
+    df = spark.read.schema(schema).parquet(path)
+    return canonical(df, platform, aliases).select(*schema.names) if aliases is not None and platform else df
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:
@@ -74,7 +85,7 @@ def copy_statistics(stats: DataFrame, path: str) -> bool:
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, digest, bytes): SHA-256 of each file, computed where it is read."""
+    """(path, digest, bytes): SHA-256 of each file, computed where it is read. A file is one value, so it can't have 2 GB or more."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
     return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
 

@@ -21,8 +21,8 @@ def test_minify(spark):
 
 
 def test_humanize(spark):
-    values = ["STATEMENT_CATEGORY_SCOPE_OF_PLATFORM_SERVICE", "KEYWORD_AGE_SPECIFIC_RESTRICTIONS_MINORS", "EU", "EEA_NO_IS", None]
-    assert column(spark, values, "string", tx.humanize) == ["Scope of Platform Service", "Age-Specific Restrictions Minors", "EU", "EU+LI+NO", "—None—"]
+    values = ["STATEMENT_CATEGORY_SCOPE_OF_PLATFORM_SERVICE", "KEYWORD_AGE_SPECIFIC_RESTRICTIONS_MINORS", "EU", "EEA_NO_IS", None, "4-NOT SPECIFIED", "a1b ÉTÉ o'neil", ""]
+    assert column(spark, values, "string", tx.humanize) == ["Scope of Platform Service", "Age-Specific Restrictions Minors", "EU", "EU+LI+NO", "—None—", "4-Not Specified", "A1B Été O'Neil", ""]
 
 
 def test_lists(spark):
@@ -32,8 +32,13 @@ def test_lists(spark):
 
 
 def test_upper_limit(spark):
-    assert column(spark, [0, 100, 123, 999, 12345, 120000], "long", tx.upper_limit) == [100, 100, 130, 1000, 13000, 120000]
-    assert column(spark, [123], "long", lambda c: tx.upper_limit(c, 1, 999)) == [1000]
+    values = [None, 0, 7, 100, 101, 110, 998, 1000, 1001, 54321, 10**9 + 1]
+    for digits, floor in ((2, 100), (1, 50), (3, 1)):
+        def plain(v):
+            v = max(v or 0, floor)
+            step = 10 ** max(0, len(str(v)) - digits)
+            return -(-v // step) * step
+        assert column(spark, values, "long", lambda c: tx.upper_limit(c, digits, floor)) == [plain(v) for v in values]
 
 
 def test_normalize(spark):
@@ -103,3 +108,71 @@ def test_audit(spark):
     got = sorted((r.release.day, r.problem) for r in checks.audit(manifest, files).collect())
     assert got == [(1, "digest"), (1, "missing batch"), (2, "missing day"), (3, "batch count"), (9, "unknown day")]
     assert [r.release.day for r in checks.complete_days(manifest, files).collect()] == [1]
+
+
+def test_specs_of_ones_own(spark):
+    """A declaration needs a column and slots; anything else is an error."""
+    import pytest
+
+    from dayledger.operators.spec import Slot, one
+
+    class Longest:
+        column = "t"
+
+        def slots(self):
+            return [Slot(F.array(one(x=F.char_length("t"))), (("longest", "max"), ("letters", "sum")))]
+
+    got = {(r.start_date.day, r.platform, r.entity): (r["count"], r.max) for r in profile(table(spark), Dataset((Longest(),))).collect()}
+    assert got == {(1, "a", "longest"): (None, 1), (1, "a", "letters"): (1, None), (1, None, "longest"): (None, 1), (1, None, "letters"): (1, None), (2, "a", "longest"): (None, 0), (2, "a", "letters"): (0, None)}
+    with pytest.raises(TypeError):
+        profile(table(spark), Dataset(("rows",)))
+    Longest.slots = lambda self: [Slot(F.array(one()), ((None, "median"),))]
+    with pytest.raises(ValueError):
+        profile(table(spark), Dataset((Longest(),)))
+    assert profile(table(spark), Dataset(())).count() == 0
+
+
+def test_one_scan(spark, tmp_path):
+    """The profile reads its source once, however many declarations there are."""
+    table(spark).write.parquet(str(tmp_path / "t"))
+    plan = profile(spark.read.parquet(str(tmp_path / "t")), SPECS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
+def test_summary_keeps_texts_apart(spark):
+    rows = [(date(2024, 1, 1), "a", None, None, "x" * 70 + end, 0, 5, None) for end in ("a", "b", "b", "")] + [(date(2024, 1, 1), "a", None, None, t, 9, 5, None) for t in ("a |  b", None)]
+    got = [tuple(r) for r in rp.summary(profile(table(spark, rows), Dataset((Rows(), TextCounts("t"), Duration("d", "s", "e"))))).collect()]
+    texts = {(r[3], r[4], r[5]) for r in got if r[4] is not None}
+    assert texts == {("t." + "x" * 70 + "…", "x" * 70 + "a", "1"), ("t." + "x" * 70 + "…", "x" * 70 + "b", "2"), ("t." + "x" * 70, "x" * 70, "1"), ("t.a  b", "a |  b", "1")}
+    plain = [(r[2], r[3], r[5]) for r in sorted((r for r in got if r[4] is None), key=lambda r: r[2])]
+    assert plain == [(i + 1, *x) for i, x in enumerate([("d.count", "4"), ("d.min", "5"), ("d.mean", "5"), ("d.max", "5"), ("d.null_bc_negative", "2"), ("rows", "6"), ("t.is_null", "1"), ("platform.a.rows", "6"), ("platform.a.start_date", "2024-01-01")])]
+
+
+def test_orders(spark):
+    """Orders that a comparison of sorted rows can't see."""
+    stats = profile(table(spark, [(date(2024, 1, 1), p, v, None, t, 0, 0, None) for p, v, t in (("b", "x", "m"), ("A", "y", "m"), ("a", "y", "n"), ("a", "z", None), ("a", None, None))]), Dataset((ValueCounts("v"), TextCounts("t"))))
+    assert [(r.variant, r["count"]) for r in rp.value_counts(stats, "v").collect()] == [("y", 2), ("z", 1), ("x", 1), (None, 1)]
+    assert [(r.text, r["count"]) for r in rp.text_usage(stats, ["t"]).collect()] == [("␀", 2), ("m", 2), ("n", 1)]
+    order = spark.createDataFrame([("b", 0), ("A", 1), ("a", 2)], "platform string, ordinal int")
+    assert [r.platform for r in st.canonical_order(stats.where("column = 'v'"), order).collect()] == ["b", "A", "a", "a", "a"]
+    days = spark.createDataFrame([(p, date(2024, 1, d)) for p in ("b", "A", "a") for d in (1, 2, 5, *range(6, 26), 28)], "k string, d date")
+    assert [(r.k, r.before.day) for r in rp.outages(days, "k", "d").collect()] == [("A", 2), ("A", 25), ("a", 2), ("a", 25), ("b", 2), ("b", 25)]
+
+
+def test_cumulative_platforms(spark):
+    rows = [(date(2024, m, 1), p, v, None, None, 0, 0, None) for m, p, v in ((1, "a", None), (1, None, "k"), (2, "a", "j"), (3, "b", "k"), (3, "a", "k"))]
+    got = sorted(tuple(r)[1:] + (r.period.month,) for r in rp.cumulative_platforms(profile(table(spark, rows), Dataset((ValueCounts("v"),))), "v", "k").collect())
+    assert got == sorted([("all", 1, 1, 1), ("all", 0, 1, 2), ("all", 1, 2, 3), ("with keywords", 0, 0, 1), ("with keywords", 1, 1, 2), ("with keywords", 1, 2, 3), ("k", 0, 0, 1), ("k", 0, 0, 2), ("k", 2, 2, 3)])
+
+
+def test_category_text(spark):
+    from dayledger.operators import distill
+
+    df = spark.createDataFrame([("A", None), ("B", '["A_LONG"]'), ("B", '["C"]'), ("B", None)], "category string, category_addition string")
+    assert [r[0] for r in df.select(distill.by_category_text("A")).collect()] == [True, True, False, False]
+    assert checks.single_category(df).first()[0] is None and checks.single_category(df.where("category = 'B'")).first()[0] == "B"
+
+
+def test_names_with_illegal_characters(spark):
+    names, domain = spark.createDataFrame([("one",), ('o"ne',), ("o\\ne",)], "name string"), spark.createDataFrame([("One",), ('O"ne',)], "value string")
+    assert {r.name: r.value for r in checks.find_canonical(names, domain).collect()} == {"one": "One", 'o"ne': None, "o\\ne": None}

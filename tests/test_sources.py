@@ -64,6 +64,14 @@ def test_logs(spark, tmp_path):
     assert sorted(r.value for r in logs.read_metrics(spark, str(tmp_path / "m")).collect()) == [2.0, 90.0]
 
 
+def test_typed_properties(spark):
+    text = 'did it a="True", b="", c=1_000, d=2.50, e="x y", a="false", f=_1'
+    row = spark.createDataFrame([(text,), ("nothing",)], "m string").select(logs.typed(F.col("m")).alias("p")).collect()
+    got = {k: tuple(v) for k, v in row[0].p.items()}
+    assert got == {"a": (None, None, None, False), "b": (None,) * 4, "c": (None, 1000, None, None), "d": (None, None, 2.5, None), "e": ("x y", None, None, None), "f": (None, 1, None, None)}
+    assert row[1].p == {}
+
+
 def test_refresh_fills_holes(spark, tmp_path):
     df = spark.createDataFrame([(date(2024, 1, d), "p") for d in (1, 2, 2, 3)], "day date, platform string")
     data, path = Dataset((Rows(),)), str(tmp_path / "stats")
@@ -75,6 +83,49 @@ def test_refresh_fills_holes(spark, tmp_path):
     assert {r.tag for r in incremental.combined(spark, str(tmp_path / "again")).collect()} == {"t"}
 
 
+def test_refresh_with_empty_and_null_days(spark, tmp_path):
+    """Days of which the filter leaves nothing are done, too; rows without a day are left out."""
+    df = spark.createDataFrame([(date(2024, 1, 1), "p"), (date(2024, 1, 2), "q"), (None, "p")], "day date, platform string")
+    data, path, extract = Dataset((Rows(),)), str(tmp_path / "stats"), str(tmp_path / "extract")
+    both = [date(2024, 1, 1), date(2024, 1, 2)]
+    assert incremental.refresh(df, data, path, filter=F.col("platform") == "p") == both
+    assert incremental.refresh(df, data, path, filter=F.col("platform") == "p") == []
+    assert [(r.start_date.day, r["count"]) for r in incremental.combined(spark, path).collect()] == [(1, 1)]
+    assert incremental.refresh_extract(df, F.col("platform") == "p", extract, "day") == both
+    assert incremental.refresh_extract(df, F.col("platform") == "p", extract, "day") == []
+    late = df.unionByName(spark.createDataFrame([(date(2023, 12, 31), "p")], df.schema))
+    assert incremental.refresh(late, data, path, known_days=late.select("day")) == [date(2023, 12, 31)]
+    assert incremental.refresh(df.limit(0), data, str(tmp_path / "none")) == []
+
+
+def test_summary_of_an_extract(spark, tmp_path):
+    schema = "day date, platform string, more string"
+    df = spark.createDataFrame([(date(2024, 1, 1), "P1", "x"), (date(2024, 1, 1), "P2", "x"), (date(2024, 1, 2), "P3", "y")], schema)
+    aliases = spark.createDataFrame([("P2", "P1")], "alias string, canonical string")
+    extract, path, data = str(tmp_path / "e"), str(tmp_path / "s"), Dataset((Rows(),))
+    assert incremental.summarize_extract(df, F.col("more") == "x", extract, data, path, "t", aliases) == ([date(2024, 1, 1), date(2024, 1, 2)],) * 2
+    assert incremental.summarize_extract(df, F.col("more") == "x", extract, data, path, "t", aliases) == ([], [])
+    assert [(r.platform, r.tag, r["count"]) for r in incremental.combined(spark, path).collect()] == [("P1", "t", 2)]
+    wider = spark.createDataFrame([], schema + ", later string").schema
+    assert {r.later for r in tables.read_extract(spark, extract, wider, "platform", aliases).collect()} == {None}
+    with pytest.raises(ValueError, match="P1"):
+        tables.read_statistics(spark, path, domain=spark.createDataFrame([("Q",)], "value string"))
+
+
+def test_batches_and_malformed_rows(spark, tmp_path):
+    for day, index, part in (("2024-01-01", 0, 0), ("2024-01-01", 0, 1), ("2024-01-01", 1, 0), ("2024-01-02", 0, 0)):
+        write_csv(tmp_path / f"sor-global-{day}-full-{index:05d}-{part:05d}.csv", [BASE | {"uuid": f"{day}/{index}/{part}"}], list(records.FIELDS))
+    uuids = lambda *a: sorted(r.uuid for r in records.read_batch(spark, str(tmp_path), *a).collect())
+    assert uuids(date(2024, 1, 1), 0) == ["2024-01-01/0/0", "2024-01-01/0/1"] and len(uuids("2024-01-01")) == 3 and uuids("2024-01-02", 0) == ["2024-01-02/0/0"]
+    found = records.read_batch(spark, str(tmp_path), "2024-01-02").select(records.day_of_file().alias("d")).first().d
+    assert found is None or found == date(2024, 1, 2)
+    bad = tmp_path / "bad.csv"
+    write_csv(bad, [BASE], list(records.FIELDS))
+    bad.write_text(bad.read_text() + "only,three,fields\n")
+    good, odd = records.ingest(records.read_csv(spark, str(bad)), date(2024, 1, 1))
+    assert good.count() == 1 and [r.reasons for r in odd.collect()] == [["malformed row"]]
+
+
 def test_copy_refuses_other_rows(spark, tmp_path):
     stats = profile(spark.createDataFrame([(date(2024, 1, 1), "p")], "day date, platform string"), Dataset((Rows(),)))
     path = str(tmp_path / "copy")
