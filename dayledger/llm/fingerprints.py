@@ -31,11 +31,19 @@ def bid(h: Column, k: int, log_weight: Column) -> Column:
     return log_c - r * (t - b + F.lit(1.0))
 
 
-def _heads(base: DataFrame, bits: int) -> DataFrame:
+def _run_bits(ids: DataFrame, run: int) -> int:
+    """How many low bits of ids, dealt as they are, number about ``run`` rows."""
+    known = F.when(F.col("id") != NULL_ID, F.col("id"))
+    low, high, n = ids.agg(F.min(known), F.max(known), F.count(known)).first()
+    width = 1 if not n else (high - low + 1) * run // n
+    return min(62, max(0, width.bit_length() - 1))
+
+
+def _heads(base: DataFrame) -> DataFrame:
     """The first row of each bucket, dealt to the bucket before it (the first: to the last).
 
     Buckets are found in rounds of 16 bits of their number, so no window without keys
-    sees more than a few thousand rows.
+    sees more than 2**16 rows.
     """
     first = materialise(base.groupBy("bucket").agg(F.min(F.struct("id", "th")).alias("k")).select("bucket", "k.id", "k.th"))
 
@@ -49,33 +57,36 @@ def _heads(base: DataFrame, bits: int) -> DataFrame:
         later = later.join(groups.select(F.col("g").alias("g2"), "low"), "g2").select("g", "low")
         return keys.join(later, "g", "left").select("key", F.coalesce("next", "low").alias("next"))
 
-    pairs = follow(first.select(F.col("bucket").alias("key")), 3 if bits < 16 else 2)
+    pairs = follow(first.select(F.col("bucket").alias("key")), 3)
     smallest = first.agg(F.min("bucket").alias("low"))
     pairs = pairs.crossJoin(F.broadcast(smallest)).select(F.col("key").alias("before"), F.coalesce("next", "low").alias("bucket"))  # one row
     heads = first.join(pairs, "bucket").select("before", "id", "th")
     return base.join(materialise(heads), ["id", "th"]).dropDuplicates(["before"]).select(F.col("before").alias("bucket"), "id", "th", "body")
 
 
-def fingerprint(docs: DataFrame, samples: int = 48, bucket_bits: int = 9) -> DataFrame:
+def fingerprint(docs: DataFrame, samples: int = 48, run: int = 64) -> DataFrame:
     """Fingerprints of every text and of its edited form; one row per row of docs.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. The edited text has its last floor(n_chars / 4) code points replaced by
     the first as many of the next document by doc_id, the last document followed by the
     first. A null text is empty; a text without words has an empty fingerprint, like
-    another such text (1.0) and unlike all others (0.0). Repeated ids follow each other
-    by a hash of the text, a null id comes last.
+    another such text (1.0) and unlike all others (0.0). Texts of any length are read
+    whole. Repeated ids follow each other by a hash of the text, a null id comes last.
+    Other columns of docs, whatever their names, play no part; an empty table gives none.
 
-    The texts are shuffled once, by runs of 2**bucket_bits ids; words are counted and
-    bids taken within those partitions.
+    The texts are shuffled once, by ranges of ids that hold ``run`` rows on average; words
+    are counted and bids taken within those partitions. A word that weighs the same in
+    both texts bids once for both.
     """
     body = F.coalesce(docs["text"], F.lit(""))
+    bits = _run_bits(docs.select(order_id(docs["doc_id"]).alias("id")), run)
     base = docs.select(order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"), body.alias("body"))
-    base = base.withColumn("bucket", F.shiftright("id", bucket_bits))
+    base = base.withColumn("bucket", F.shiftright("id", bits))
     cols = ["bucket", "id", "th", "body"]
-    rows = base.select(*cols, F.lit(0).alias("ghost")).unionByName(_heads(base, bucket_bits).select(*cols, F.lit(1).alias("ghost")))
-    run = Window.partitionBy("bucket").orderBy("ghost", "id", "th")
-    rows = rows.withColumn("rn", F.row_number().over(run)).withColumn("next", F.lead("body").over(run))
+    rows = base.select(*cols, F.lit(0).alias("ghost")).unionByName(_heads(base).select(*cols, F.lit(1).alias("ghost")))
+    by_id = Window.partitionBy("bucket").orderBy("ghost", "id", "th")
+    rows = rows.withColumn("rn", F.row_number().over(by_id)).withColumn("next", F.lead("body").over(by_id))
     rows = rows.withColumn("n_chars", F.char_length("body").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(body, 1, cast(n_chars as int) - q)"), F.expr("substring(coalesce(next, ''), 1, q)"))
     rows = rows.withColumn("edited", edited)
@@ -88,12 +99,20 @@ def fingerprint(docs: DataFrame, samples: int = 48, bucket_bits: int = 9) -> Dat
     one = lambda e: F.sum(((F.col("e") == e) & (F.col("w") != "")).cast("int"))
     h = F.when(F.col("e") < 2, F.xxhash64("w")).otherwise(F.conv(F.nullif("w", F.lit("")), 16, -10).cast("long"))
     counts = words.groupBy("bucket", "rn", F.greatest(F.col("e") - 1, F.lit(0)).alias("kind"), h.alias("h")).agg(one(0).alias("o"), one(1).alias("c"), F.max("ghost").alias("ghost"))
-    counts = counts.select("bucket", "rn", "kind", "h", "ghost", F.when(F.col("o") > 0, F.log("o")).alias("wo"), F.when(F.col("c") > 0, F.log("c")).alias("we"))
+    # Which texts a weight is of: 0 the text, 1 the edited text, 2 both.
+    weight = lambda of, n: F.struct(F.lit(of).alias("of"), F.log(F.nullif(n, F.lit(0))).alias("weight"))
+    weights = F.when(F.col("o") == F.col("c"), F.array(weight(2, F.col("o")))).when(F.col("c") == 0, F.array(weight(0, F.col("o")))).when(F.col("o") == 0, F.array(weight(1, F.col("c")))).otherwise(F.array(weight(0, F.col("o")), weight(1, F.col("c"))))
+    bidding = counts.select("bucket", "rn", "kind", "h", "ghost", F.explode(weights).alias("x")).select("bucket", "rn", "kind", "h", "ghost", "x.of", "x.weight")
     fact = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("h"))).alias(name)
-    mins = [F.min(bid(F.col("h"), k, F.col(w))).alias(f"{w}{k}") for k in range(samples) for w in ("wo", "we")]
-    facts = [fact(i + 1, f"sha{i}") for i in range(4)] + [fact(5, "n_chars"), fact(6, "id")]
-    signed = counts.groupBy("bucket", "rn").agg(*mins, *facts, F.max("ghost").alias("ghost"))
-    signed = signed.select("bucket", "rn", "ghost", "id", "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"), *[F.array(*[F.coalesce(f"{w}{k}", F.lit(float("inf"))) for k in range(samples)]).alias(w) for w in ("wo", "we")])
+    mins = [F.min(bid(F.col("h"), k, F.col("weight"))).alias(f"m{k}") for k in range(samples)]
+    known = ["ghost", *[f"sha{i}" for i in range(4)], "n_chars", "id"]
+    # Keys, samples and facts are under 100 columns, up to which an aggregation runs in generated code.
+    least = bidding.groupBy("bucket", "rn", "of").agg(*mins, F.max("ghost").alias("ghost"), *[fact(i + 1, name) for i, name in enumerate(known[1:])])
+    least = least.select("bucket", "rn", "of", *known, F.array(*[F.coalesce(f"m{k}", F.lit(float("inf"))) for k in range(samples)]).alias("m"))
+    of = lambda x: F.max(F.when(F.col("of") == x, F.col("m"))).alias(f"m{x}")
+    signed = least.groupBy("bucket", "rn").agg(*[F.max(c).alias(c) for c in known], of(0), of(1), of(2))
+    lower = lambda x: F.coalesce(F.zip_with(f"m{x}", "m2", lambda a, b: F.least(a, b)), F.col(f"m{x}"), F.col("m2"))
+    signed = signed.select("bucket", "rn", "ghost", "id", "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"), lower(0).alias("wo"), lower(1).alias("we"))
     signed = signed.withColumn("wn", F.lead("wo").over(Window.partitionBy("bucket").orderBy("rn")))
     near = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(samples))
     # Each winner is written as 8 hex digits of a hash of its bid.

@@ -118,7 +118,7 @@ def likeness(a, b):
 def test_fingerprints(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = sorted((r.doc_id, r.text) for r in docs.collect())
-    got = {r.doc_id: r for r in fingerprints.fingerprint(docs, bucket_bits=4).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprint(docs, run=9).collect()}
     errors, by_text = [], defaultdict(set)
     for k, (i, t) in enumerate(texts):
         after = texts[(k + 1) % len(texts)][1]
