@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,7 +43,7 @@ def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 class Scratch:
-    """Written tables that go when they are no longer needed."""
+    """Written tables that go at the end of a with block, however it ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -52,15 +53,40 @@ class Scratch:
         self.paths.append(out.__dict__["_dayledger_path"])
         return out
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def clear(self) -> None:
-        """Deletes the tables; call it when nothing reads them any more."""
+        """Deletes the tables. A collection of the driver's garbage then lets Spark drop the shuffle files that made them."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+        if self.paths:
+            gc.collect()
+            jvm.System.gc()
         self.paths.clear()
 
 
+def spread_hot(left: DataFrame, keys: DataFrame, key: str, count: str, by: list[str], each: int = 2_000, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (key, salt) in which no key is hot.
+
+    keys has the number of a key's rows on the left in count. Of keys with
+    over ``each`` rows, the ``most`` most frequent (a fixed bound, so they are broadcast)
+    get a salt for every ``each`` of their rows; all other keys have the salt 0. A left row's
+    salt is a hash of its columns ``by``. keys should be written, as they are read twice.
+    """
+    hot = keys.where(F.col(count) > each).select(key, count).distinct().orderBy(F.desc(count), key).limit(most).select(key, F.ceil(F.col(count) / each).cast("int").alias("__salts"))
+    sent = F.broadcast(hot)
+    salted = lambda df: df.join(sent, key, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    left = salted(left).withColumn("salt", F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int")).drop("__salts")
+    right = salted(keys.drop(count)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return left, right
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. In a text of ASCII alone that is what lower() does, and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -3,29 +3,32 @@
 1. Each text becomes the set of its distinct word shingles, a digest of that set and a
    signature of minwise tokens. Texts with equal sets are one class from here on.
 2. In each of several independent trees a class walks from the root: some of its tokens
-   are chosen, by a hash of the root and the tokens' places, and each (root, place,
-   token) is a node that it goes to. Similar sets share nodes. Nodes of at most ``SMALL``
-   classes are compared exhaustively. In larger nodes every class is compared with the
-   node's centre, the class that agrees most with the commonest tokens of a few of its
-   classes.
-3. Classes of large nodes that links don't join as a whole are finished by an exact
-   prefix-filter join on the signatures: tokens stand in one order, rarest first, and two
-   signatures that agree enough share one of the first tokens of both, so every pair
-   that the signatures let pass is found.
-4. Signatures weed out pairs; what passes is confirmed on the full sets. Pairs that
-   links confirmed before connect already need no confirmation.
-5. Components come from label propagation with pointer jumping, all as DataFrames.
+   are chosen, by a hash of the node and the tokens' places, and each (node, place,
+   token) is a child that it goes to. Similar sets share nodes.
+3. Nodes of at most ``SMALL`` classes are compared exhaustively. They first send the links
+   of a spanning forest, and the other pairs only where confirmed links don't join them.
+4. In a larger node all classes are compared with its centre, a class that agrees most with
+   the commonest tokens of a few of them. Those that agree with it in ``AROUND`` of the
+   tokens are joined exactly among each other: two sets differ by what their differences
+   to the centre differ, so a prefix-filter join over these differences, rarest shingle
+   first, finds every link, and what the whole group has in common meets nobody. The
+   others walk on to children of the node.
+5. What signatures let pass is confirmed on the full sets. Components come from label
+   propagation with pointer jumping, all as DataFrames.
+
+No step makes a row for each pair of a group: a forest has fewer links than classes, and a
+large group is compared by its differences.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayledger.llm.common import NULL_ID, Scratch, materialise, order_id
@@ -36,6 +39,13 @@ TREES = 8
 SMALL = 24
 #: Mean number of children at a root. A pair at the threshold shares about 10 of them.
 CHOSEN = 1.5
+#: Children of a class in a large node below the root, and steps of the walk to each. What
+#: many classes share in half of their tokens leaves a 32nd of a node together.
+BRANCHES, STEPS = 8, 5
+#: Share of its tokens that a class has in common with the centre around which it is joined.
+AROUND = 0.25
+#: Pairs that read one copy of their first text.
+PORTION = 64
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -96,32 +106,63 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": node.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), len(tree))})
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cls, t) with one number for each place and its token."""
+def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, cls) for BRANCHES children of each class's node; a child is STEPS of the tokens, whose places a hash of the node chooses."""
+    places = odd_numbers(TOKENS, 901)
     for pdf in batches:
         if len(pdf):
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS).astype(np.int64)
-            yield pd.DataFrame({"cls": pdf["cls"], "t": list((np.arange(TOKENS, dtype=np.int64) << 32) + sigs)})
+            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
+            node = pdf["node"].to_numpy().view(np.uint64)
+            place = np.argsort(mixed(node[:, None] ^ places[None, :]), axis=1, kind="stable")[:, : BRANCHES * STEPS]
+            token = np.take_along_axis(sigs, place, axis=1)
+            child = np.repeat(node[:, None], BRANCHES, axis=1)
+            for k in range(STEPS):
+                child = mixed(mixed(child + places[place[:, k::STEPS]]) ^ token[:, k::STEPS])
+            yield pd.DataFrame({"node": child.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), BRANCHES)})
 
 
 def _lows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, TOKENS)
 
 
-def _near(least: float):
-    """From the classes of a small node: the pairs whose signatures agree enough."""
+def _forest(least: float):
+    """From the classes of a small node: (node, a, b, same), a spanning forest of the pairs whose signatures agree enough, those that agree most first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = [], []
-            for members in pdf["members"]:
+            out = []
+            for node, members in zip(pdf["node"], pdf["members"]):
                 members = sorted((bytes(m["cls"]), bytes(m["low"])) for m in members)
                 lows = _lows(m[1] for m in members)
                 i, j = np.triu_indices(len(members), 1)
-                for x, y in np.column_stack([i, j])[(lows[i] == lows[j]).mean(axis=1) >= least]:
-                    a.append(members[x][0])
-                    b.append(members[y][0])
-            yield pd.DataFrame({"a": a, "b": b})
+                same = (lows[i] == lows[j]).sum(axis=1)
+                near = np.nonzero(same >= least * TOKENS)[0]
+                tree = list(range(len(members)))
+                for k in near[np.argsort(-same[near], kind="stable")].tolist():
+                    x, y = int(i[k]), int(j[k])
+                    if tree[x] != tree[y]:
+                        old, new = tree[y], tree[x]
+                        tree = [new if t == old else t for t in tree]
+                        out.append((node, members[x][0], members[y][0], int(same[k])))
+            yield pd.DataFrame(out, columns=["node", "a", "b", "same"])
+
+    return run
+
+
+def _apart_pairs(least: float):
+    """From the classes of a small node, with labels and centres: the pairs that agree enough, aren't joined and have no centre in common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for members in pdf["members"]:
+                members = sorted((bytes(m["cls"]), bytes(m["low"]), bytes(m["label"]), set(() if m["centres"] is None else m["centres"])) for m in members)
+                lows = _lows(m[1] for m in members)
+                i, j = np.triu_indices(len(members), 1)
+                for x, y in np.column_stack([i, j])[(lows[i] == lows[j]).mean(axis=1) >= least].tolist():
+                    if members[x][2] != members[y][2] and not members[x][3] & members[y][3]:
+                        out.append((members[x][0], members[y][0]))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -137,35 +178,48 @@ def _centre_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": pdf["node"], "usual": out})
 
 
-def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame({"node": pdf["node"], "cls": pdf["cls"], "low": pdf["low"], "same": (_lows(pdf["low"]) == _lows(pdf["usual"])).sum(axis=1)})
+def _agreement(keep: list[str]):
+    """The columns to keep, and in how many tokens low and usual are the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[keep].assign(same=(_lows(pdf["low"]) == _lows(pdf["usual"])).sum(axis=1))
+
+    return run
 
 
-def _near_pairs(least: float):
-    """From (a, la, b, lb): the pairs whose signatures agree enough, the smaller class first."""
+def _compare(width: int, percent: int):
+    """From rows (a, b, around, text) where the row of a itself, with b null, comes first:
+    (a, b, around, good, na, nb, diff); diff has the shingles that only one of them has, for pairs around a centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, first = WordHashes(), None
         for pdf in batches:
-            if len(pdf):
-                good = pdf[(_lows(pdf["la"]) == _lows(pdf["lb"])).mean(axis=1) >= least]
-                yield pd.DataFrame([sorted((bytes(x), bytes(y))) for x, y in zip(good["a"], good["b"])], columns=["a", "b"])
+            out = []
+            for a, b, around, text in zip(pdf["a"], pdf["b"], pdf["around"], pdf["text"]):
+                s = shingle_set(words.of(split_words(text)), width)
+                if b is None:
+                    first = s
+                    continue
+                both = len(np.intersect1d(first, s, assume_unique=True))
+                good = 100 * both >= percent * (len(first) + len(s) - both)
+                out.append((a, b, around, good, len(first), len(s), np.setxor1d(first, s, assume_unique=True).view(np.int64) if around else None))
+            yield pd.DataFrame(out, columns=["a", "b", "around", "good", "na", "nb", "diff"])
 
     return run
 
 
-def _confirm(width: int, percent: int):
+def _close(percent: int):
+    """From (a, na, da, b, nb, db), sizes and differences to one centre: the pairs (a, b) whose full sets are similar enough."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, last, last_set = WordHashes(), None, None
         for pdf in batches:
             good = []
-            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"]):
-                if a != last:
-                    last, last_set = a, shingle_set(words.of(split_words(ta)), width)
-                other = shingle_set(words.of(split_words(tb)), width)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(last_set) + len(other) - both))
+            for na, da, nb, db in zip(pdf["na"], pdf["da"], pdf["nb"], pdf["db"]):
+                apart = len(np.setxor1d(da, db, assume_unique=True))
+                both = (na + nb - apart) // 2
+                good.append(100 * both >= percent * (na + nb - both))
             yield pdf.loc[good, ["a", "b"]]
 
     return run
@@ -175,18 +229,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's component; edges are (a, b).
 
     Labels fall to a neighbour's smaller one and then to their label's label, until none
-    changes; each round is written to the shared folder.
+    changes; each round is written to the shared folder, and goes when the next is there.
     """
-    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = materialise(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")))
-    while True:
-        low = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("low"))
-        step = labels.join(low, "v").select("v", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
-        jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, "mid", "left").select("v", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        if new.where("label <> old").isEmpty():
-            return new.select("v", "label")
-        labels = new.select("v", "label")
+    with Scratch(edges.sparkSession) as scratch:
+        both = scratch(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+        labels = scratch(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")))
+        while True:
+            low = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("low"))
+            step = labels.join(low, "v").select("v", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
+            jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
+            new = scratch(step.join(jump, "mid", "left").select("v", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
+            labels = new.select("v", "label")
+            if new.where("label <> old").isEmpty():
+                return materialise(labels)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 class NearDuplicates:
@@ -206,12 +265,104 @@ class NearDuplicates:
         self.rows = every.drop("sig", "low")
         some = every.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th", "sig", "low")).alias("k"))
         self.classes = materialise(some.select("cls", "k.*"))
-        self.labels = self._labels()
+        with Scratch(self.spark) as scratch:
+            self.labels = self._labels(scratch)
+
+    def _labels(self, scratch: Scratch) -> DataFrame:
+        few, spokes = self._walk(scratch)
+        # First what joins most: each class's best partner in small nodes, and the pairs with centres.
+        members = F.collect_list(F.struct("cls", "low")).alias("members")
+        forest = scratch(few.groupBy("node").agg(members).mapInPandas(_forest(self.least), "node long, a binary, b binary, same int"))
+        best = forest.groupBy("b").agg(F.max(F.struct("same", "a")).alias("k")).select("k.a", "b").join(spokes, ["a", "b"], "left_anti")
+        tried = scratch(spokes.withColumn("around", F.lit(True)).unionByName(best.withColumn("around", F.lit(False))))
+        compared = scratch(self._compared(tried, scratch))
+        links, around = compared.where("good").select("a", "b"), compared.where("around")
+        labels = components(links)
+        # Then what these links leave apart.
+        more = scratch(self._within(around, labels, scratch))
+        open_nodes = self._apart(forest, labels).select("node").distinct()
+        centres = around.groupBy(F.col("b").alias("cls")).agg(F.collect_set(F.xxhash64("a")).alias("centres"))
+        rest = few.join(open_nodes, "node", "left_semi").join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(centres, "cls", "left")
+        rest = rest.withColumn("label", F.coalesce("label", "cls")).groupBy("node").agg(F.collect_list(F.struct("cls", "low", "label", "centres")).alias("members"))
+        pairs = rest.select("members").mapInPandas(_apart_pairs(self.least), "a binary, b binary").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = scratch(pairs)
+        if not pairs.isEmpty():
+            found = self._compared(pairs.withColumn("around", F.lit(False)), scratch).where("good").select("a", "b")
+            more = scratch(more.unionByName(found))
+        return labels if more.isEmpty() else components(links.unionByName(more))
+
+    def _walk(self, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """(node, cls, low) of the small nodes, and the pairs (a, b) of centres with the classes around them.
+
+        A class that agrees less than AROUND with the centre, and those that agree with the
+        centre little enough to be near such a class, go on to children. The centre stays, so
+        nodes shrink from level to level; few levels have any large node.
+        """
+        lows, few, spokes = self.classes.select("cls", "low"), [], []
+        nodes = self.classes.select("cls", "sig").mapInPandas(_roots, "node long, cls binary")
+        while True:
+            sized = nodes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1")
+            held = scratch(sized.join(lows, "cls").select("node", "cls", "low", "size"))
+            few.append(held.where(F.col("size") <= SMALL).drop("size"))
+            large = held.where(F.col("size") > SMALL).drop("size")
+            if large.isEmpty():
+                return _union(few), _union([*spokes, self.classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)]).distinct()
+            with Scratch(self.spark) as level:
+                met = scratch(self._around(large, level))
+            spokes.append(met.where((F.col("same") >= AROUND * TOKENS) & (F.col("a") != F.col("cls"))).select("a", F.col("cls").alias("b")))
+            loose = met.where(F.col("same") < AROUND * TOKENS).select("node").distinct()
+            on = met.where(F.col("same") < (AROUND + 1 - self.least) * TOKENS).join(loose, "node", "left_semi").select("node", "cls")
+            nodes = on.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInPandas(_children, "node long, cls binary").distinct()
+
+    @staticmethod
+    def _around(large: DataFrame, scratch: Scratch) -> DataFrame:
+        """(node, a, cls, same): the classes of large nodes, the node's centre a and their agreement with it.
 
-    def _labels(self) -> DataFrame:
-        links, labels, tried, pairs = self._join()
-        rest = materialise(self._apart(pairs.join(tried, ["a", "b"], "left_anti"), labels))
-        return labels if rest.isEmpty() else components(links.unionByName(self._confirmed(rest)))
+        Of the classes that agree with a node's commonest tokens nearly as well as any,
+        nodes take the one that most nodes could take: a group then has few centres.
+        """
+        # A dozen classes of each node, by a hash that spreads them, stand for it.
+        some = large.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node").agg(F.collect_list("m.low").alias("some"))
+        usual = some.mapInPandas(_centre_tokens, "node long, usual binary")
+        agreeing = large.join(usual, "node").select("node", "cls", "low", "usual").mapInPandas(_agreement(["node", "cls", "low"]), "node long, cls binary, low binary, same long")
+        agreeing = scratch(agreeing)
+        best = scratch(agreeing.groupBy("node").agg(F.max(F.struct("same", "cls")).alias("c")).select("node", F.col("c.same").alias("most"), F.col("c.cls").alias("own")))
+        able = agreeing.join(best.select(F.col("own").alias("cls")).distinct(), "cls").join(best, "node").where("same >= most - 4")
+        able = able.withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("cls")))
+        centre = able.groupBy("node").agg(F.max(F.struct("nodes", "cls", "low")).alias("c")).select("node", F.col("c.cls").alias("a"), F.col("c.low").alias("usual"))
+        return large.join(centre, "node").select("node", "a", "cls", "low", "usual").mapInPandas(_agreement(["node", "a", "cls"]), "node long, a binary, cls binary, same long")
+
+    def _within(self, around: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+        """The links (a, b) between classes around one centre that labels don't join; exact.
+
+        x and y link if they differ in at most k (nx + ny) shingles. One of them, y, doesn't
+        link with the centre c, so it differs from c in more than k (ny + nc), and their
+        differences to c have over (dx + k (nc - nx)) / 2 shingles in common. With the
+        shingles in one order, rarest first, the first common one is therefore among the
+        first dx - need + 1 of x (its head), and the same holds for y if x doesn't link with c.
+        From there on, both must have at least as many left as the pair needs in common.
+        """
+        k = (100 - self.percent) / (100 + self.percent)
+        rows = around.select(F.col("a").alias("c"), F.col("b").alias("x"), F.col("good").alias("inner"), F.col("na").alias("nc"), F.col("nb").alias("n"), "diff")
+        rows = rows.join(labels.select(F.col("v").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+        open_groups = rows.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("c")
+        rows = scratch(rows.join(open_groups, "c", "left_semi"))
+        need = F.greatest(F.lit(1), F.floor((F.size("diff") + F.lit(k) * (F.col("nc") - F.col("n"))) / 2 - F.lit(1e-9)) + 1).cast("int")
+        # What a class brings to the number that a pair needs in common: half of dx - k nx.
+        owed = ((F.size("diff") - F.lit(k) * F.col("n")) / 2).alias("owed")
+        flat = rows.select("c", "x", "label", "inner", need.alias("need"), owed, F.explode("diff").alias("t"))
+        # A shingle that no other difference has meets none; such shingles come first in the order.
+        held = flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        shared = flat.join(held, ["c", "t"]).groupBy("c", "x").agg(F.first("label").alias("label"), F.first("inner").alias("inner"), F.first("need").alias("need"), F.first("owed").alias("owed"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+        shared = shared.select("c", "x", "label", "inner", "owed", F.size("s").alias("all"), (F.size("s") - F.col("need")).alias("last"), F.posexplode("s").alias("at", "s"))
+        tokens = shared.select("c", F.col("s.t").alias("t"), "x", "label", "inner", "owed", (F.col("all") - F.col("at")).alias("left"), (F.col("at") <= F.col("last")).alias("head"))
+        tokens = scratch(tokens.where("head or not inner"))
+        one = lambda v: tokens.select("c", "t", F.col("x").alias(v), *[F.col(n).alias(n + v) for n in ("label", "inner", "owed", "left", "head")])
+        met = one("a").join(one("b"), ["c", "t"]).where("a < b and labela <> labelb and (heada and (headb or innera) or headb and innerb) and least(lefta, leftb) + 1e-9 >= oweda + owedb")
+        met = met.select("c", "a", "b").distinct()
+        own = lambda v: rows.select("c", F.col("x").alias(v), F.col("n").alias("n" + v), F.col("diff").alias("d" + v))
+        both = met.join(own("a"), ["c", "a"]).join(own("b"), ["c", "b"])
+        return both.select("a", "na", "da", "b", "nb", "db").mapInPandas(_close(self.percent), "a binary, b binary").distinct()
 
     @staticmethod
     def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,76 +370,22 @@ class NearDuplicates:
         known = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias("label_" + x))
         return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("label_a is null or label_b is null or label_a <> label_b").drop("label_a", "label_b")
 
-    def _near(self, df: DataFrame) -> DataFrame:
-        return df.select("a", "la", "b", "lb").mapInPandas(_near_pairs(self.least), "a binary, b binary").distinct()
+    def _compared(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """The written pairs (a, b, around), compared on their full sets as _compare has it.
 
-    def _star(self, large: DataFrame) -> DataFrame:
-        """Candidate pairs of the classes of large nodes with the nodes' centres, written."""
-        scratch = Scratch(self.spark)
-        # A dozen classes of each node, by a hash that spreads them, stand for it.
-        some = large.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node").agg(F.collect_list("m.low").alias("some"))
-        usual = some.mapInPandas(_centre_tokens, "node long, usual binary")
-        agreeing = scratch(large.join(usual, "node").select("node", "cls", "low", "usual").mapInPandas(_agreement, "node long, cls binary, low binary, same long"))
-        centre = agreeing.groupBy("node").agg(F.max(F.struct("same", "cls", "low")).alias("c")).select("node", F.col("c.cls").alias("a"), F.col("c.low").alias("la"))
-        spokes = agreeing.join(centre, "node").select("a", "la", F.col("cls").alias("b"), F.col("low").alias("lb")).where("a <> b")
-        pairs = materialise(self._near(spokes))
-        scratch.clear()
-        return pairs
-
-    def _met(self, large: DataFrame) -> DataFrame:
-        """The pairs of the classes of large nodes that no links join and whose signatures agree enough, written."""
-        scratch, need = Scratch(self.spark), math.ceil(self.least * TOKENS)
-        signed = large.select("cls").join(self.classes.select("cls", "sig"), "cls")
-        flat = scratch(signed.mapInPandas(_tokens, "cls binary, t array<long>")).select("cls", F.explode("t").alias("t"))
-        # A token of one class meets none; such tokens come first in the order, the others by their number of classes.
-        held = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        shared = flat.join(held, "t").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("shared"))
-        # Of the first TOKENS - need + 1 tokens, those that others hold too.
-        heads = shared.withColumn("first", F.size("shared") - (need - 1)).where("first > 0").select("cls", F.explode(F.expr("slice(shared, 1, first)")).alias("x"))
-        heads = scratch(heads.join(large, "cls").select(F.col("x.t").alias("t"), "cls", "label"))
-        one = lambda x: heads.select("t", F.col("cls").alias(x), F.col("label").alias(f"label_{x}"))
-        met = one("a").join(one("b"), "t").where("a < b and label_a <> label_b").select("a", "b").distinct()
-        low = lambda x: self.classes.select(F.col("cls").alias(x), F.col("low").alias("l" + x))
-        pairs = materialise(self._near(met.join(low("a"), "a").join(low("b"), "b")))
-        scratch.clear()
-        return pairs
-
-    def _join(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(links confirmed so far, their labels, the pairs tried for them, all candidate pairs)."""
-        signed, lows = self.classes.select("cls", "sig"), self.classes.select("cls", "low")
-        scratch = Scratch(self.spark)
-        nodes = scratch(signed.mapInPandas(_roots, "node long, cls binary"))
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = scratch(nodes.join(sizes, "node").join(lows, "cls").select("node", "cls", "low", "size"))
-        few = held.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("members"))
-        pairs = materialise(few.select("members").mapInPandas(_near(self.least), "a binary, b binary").distinct())
-        large = held.where(F.col("size") > SMALL).drop("size")
-        # A class's pair with its smallest partner, and those with centres: within a group they form stars.
-        tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        tried = materialise(tried.unionByName(self._star(large)).distinct())
-        links = self._confirmed(tried)
-        labels = components(links)
-        large = large.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
-        # Nodes whose classes links join already are done.
-        open_nodes = large.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-        large = materialise(large.join(open_nodes, "node", "left_semi").select("cls", "label").distinct())
-        scratch.clear()
-        if not large.isEmpty():
-            pairs = pairs.unionByName(self._met(large))
-        return links, labels, tried, materialise(pairs.distinct())
-
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough, written."""
-        scratch = Scratch(self.spark)
-        pairs = scratch(pairs)
+        The text of a travels once for PORTION pairs, so a centre's pairs are dealt over many tasks.
+        """
         used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         keys = scratch(self.classes.select("cls", "id", "th").join(used, "cls"))
         # A shuffle on both sides at any size: the plan that holds when the keys are many.
         texts = scratch(self.texts.select("id", "th", "text").join(keys.hint("merge"), ["id", "th"]).dropDuplicates(["cls"]).select("cls", "text"))
-        ta, tb = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        good = materialise(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_confirm(self.width, self.percent), "a binary, b binary"))
-        scratch.clear()
-        return good
+        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("long").alias("parts"))
+        dealt = scratch(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b", "around"))
+        second = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "around", "text")
+        first = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), F.lit(False).alias("around"), "text")
+        rows = first.unionByName(second).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+        kept = rows.select("a", "b", "around", "text").mapInPandas(_compare(self.width, self.percent), "a binary, b binary, around boolean, good boolean, na long, nb long, diff array<long>")
+        return kept
 
     def membership(self) -> DataFrame:
         """One row per row: doc_id, id, th, n, cls, label (a class of the component), component (its smallest id)."""
