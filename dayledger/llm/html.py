@@ -23,40 +23,94 @@ _BITS = 14
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 #: The attribute of labelled pages; no page to extract has it.
 _LABEL = re.compile(r'\bdata-dayledger-label="([01])"')
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Fixed sets of HTML: elements whose text isn't shown as such, without end tag, and block-level.
-RAW = frozenset("script style template svg iframe object noembed noframes textarea select title math canvas audio video".split())
+#: Fixed sets of HTML: elements whose content is raw text, whose content isn't shown, without end tag, and block-level.
+RAW = frozenset("script style iframe noembed noframes textarea title".split())
+HIDDEN = frozenset("template svg object select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html label legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CUES = frozenset("cookie cookies subscribe newsletter comment comments reply share login log sign privacy terms related advertisement sponsored posted copyright rights reserved menu search".split())
+#: Elements that a start tag closes, up to the nearest element of _STOPS.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_STOPS = ("ul", "ol", "table", "div", "article", "section", "body", "dl")
+#: Block-level elements can't stand in svg, so one of these shows that it wasn't closed.
+_BREAKS = re.compile(r"<(?:p|div|h[1-6]|ul|ol|li|dl|table|article|section|main|body|footer|header|nav|aside)[\s>]", re.I)
 
 
 def _id(name: str) -> int:
     return zlib.crc32(name.encode()) & ((1 << _BITS) - 1)
 
 
-def leaf_blocks(page: str):
+class Path:
+    """An element with all that is open around it. Paths that look the same have the same key.
+
+    fresh has the feature ids that no outer element has, own those of the innermost
+    element, so the features of a path are told without a list for each of its elements.
+    """
+
+    __slots__ = ("parent", "key", "tag", "names", "label", "fresh", "own", "score")
+
+    def __init__(self, parent: Path | None, key: int, tag: str, names: tuple, label: int | None, fresh: list, own: list):
+        self.parent, self.key, self.tag, self.names, self.label, self.fresh, self.own, self.score = parent, key, tag, names, label, fresh, own, None
+
+
+class _Open:
+    """The open elements of a page; each step costs in proportion to what is opened or closed."""
+
+    def __init__(self):
+        self.stack = [Path(None, 0, "", (), None, [_id("bias")], [])]
+        self.places: dict[str, list[int]] = {}
+        self.held: dict[str, int] = {}
+        self.keys: dict = {}
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of that tag, or 0."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def push(self, tag: str, names: tuple, label: int | None) -> None:
+        top = self.stack[-1]
+        features = ["in " + tag, *sorted({"named " + w for w in names})]
+        fresh = [_id(f) for f in features if not self.held.get(f)]
+        for f in features:
+            self.held[f] = self.held.get(f, 0) + 1
+        key = self.keys.setdefault((top.key, tag, names), len(self.keys) + 1)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        own = [_id(f) for f in ("leaf " + tag, *sorted({"own " + w for w in names}))]
+        self.stack.append(Path(top, key, tag, names, top.label if label is None else label, fresh, own))
+
+    def close(self, place: int) -> None:
+        """Closes the element at place and all inside it."""
+        for _ in range(len(self.stack) - place if place else 0):
+            x = self.stack.pop()
+            self.places[x.tag].pop()
+            for f in ("in " + x.tag, *{"named " + w for w in x.names}):
+                self.held[f] -= 1
+
+
+def leaf_blocks(page: str, labelled: bool = False):
     """(text, path, link share, label) of each leaf block with text.
 
-    path holds (tag, names) of the open elements, outermost first; label is the nearest
-    label of a labelled page, if any. Tags that are cut off at the end of the page, comments and
-    elements of RAW are no text; unclosed elements end with their parent or the page.
+    label is the nearest label of a labelled page, if any. Tags that are cut off at the end
+    of the page, comments and the content of elements of RAW and HIDDEN are no text; unclosed
+    elements end with their parent or the page. An element of HIDDEN that is closed by its
+    own tag or never closed hides nothing. Time is in proportion to the page.
     """
-    out, stack, parts = [], [], []
+    out, parts, opened = [], [], _Open()
     linked = total = in_link = 0
+    ends: dict[str, tuple[int, int]] = {}  # of the next end tag by name: where it begins, and where what follows begins
 
     def flush() -> None:
         nonlocal linked, total
         if total:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                label = next((f[2] for f in reversed(stack) if f[2] is not None), None)
-                out.append((text, tuple(stack), linked / total, label))
+                path = opened.stack[-1]
+                out.append((text, path, linked / total, path.label))
         parts.clear()
         linked = total = 0
 
@@ -68,6 +122,14 @@ def leaf_blocks(page: str):
         if in_link:
             linked += n
 
+    def end_of(tag: str, at: int) -> tuple[int, int]:
+        """The next end tag from at on; (size, size) if there is none."""
+        if ends.get(tag, (-1, -1))[0] < at:
+            m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            close = page.find(">", m.end()) if m else -1
+            ends[tag] = (m.start() if m else size, close + 1 if close >= 0 else size)
+        return ends[tag]
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -84,17 +146,14 @@ def leaf_blocks(page: str):
         if m[1] or m[4]:
             if tag in BLOCK:
                 flush()
-            if tag == "a":
+                opened.close(opened.last(tag))
+            elif tag == "a":
                 in_link = max(0, in_link - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
             continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else size
+        if tag in RAW or tag in HIDDEN and not m[0].endswith("/>"):
+            start, after = end_of(tag, at)
+            if tag in RAW or start < size and not (tag == "svg" and _BREAKS.search(page, at, start)):
+                at = after
             add(" ")
             continue
         if tag in VOID:
@@ -106,17 +165,14 @@ def leaf_blocks(page: str):
         if tag in BLOCK:
             flush()
             if tag in _CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body", "dl"):
-                        break
+                place = max(opened.last(t) for t in _CLOSES[tag])
+                if place > max(opened.last(t) for t in _STOPS):
+                    opened.close(place)
             names, attributes = [], m[3] or m[6] or ""
             for a in _ATTR.finditer(attributes):
                 names += [w.lower() for w in _NAME_WORD.findall(a[2])]
-            label = _LABEL.search(attributes)
-            stack.append((tag, tuple(names), int(label[1]) if label else None))
+            label = _LABEL.search(attributes) if labelled else None
+            opened.push(tag, tuple(names), int(label[1]) if label else None)
         elif tag == "a":
             in_link += 1
     flush()
@@ -124,38 +180,42 @@ def leaf_blocks(page: str):
 
 
 class Features:
-    """Feature ids of blocks; those of an ancestor path are remembered."""
-
-    def __init__(self):
-        self.paths: dict = {}
-
-    def path(self, path) -> list[int]:
-        key = tuple(f[:2] for f in path)
-        if (got := self.paths.get(key)) is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            names = {"bias"}
-            for tag, words in key:
-                names.add("in " + tag)
-                names.update("named " + w for w in words)
-            if key:
-                names.add("leaf " + key[-1][0])
-                names.update("own " + w for w in key[-1][1])
-            got = self.paths[key] = [_id(n) for n in sorted(names)]
-        return got
-
-    def __call__(self, block, place: int, count: int) -> list[int]:
-        text, path, links, _ = block
-        words = text.split()
-        n = len(words)
+    """Feature ids of blocks, and their weights' sums."""
+
+    def path(self, path: Path) -> list[int]:
+        out, at = list(path.own), path
+        while at is not None:
+            out += at.fresh
+            at = at.parent
+        return out
+
+    def text(self, block, place: int, count: int) -> list[int]:
+        text, _, links, _ = block
+        words = text.split(None, 25)
+        few = len(words) <= 25
+        n = len(words) if few else text.count(" ") + 1
         names = ["words %d" % min(7, n.bit_length()), "links %d" % math.ceil(links * 4), "place %d" % (4 * place // count)]
         if text[-1] in ".!?…":
             names.append("sentence")
         if "©" in text or "|" in text and n < 12:
             names.append("mark")
-        if n <= 25:
+        if few:
             names += ["cue " + w for w in {w.strip(".,:;!?").lower() for w in words} & CUES]
-        return self.path(path) + [_id(x) for x in names]
+        return [_id(x) for x in names]
+
+    def __call__(self, block, place: int, count: int) -> list[int]:
+        return self.path(block[1]) + self.text(block, place, count)
+
+    def score(self, w: np.ndarray, block, place: int, count: int) -> float:
+        """The sum of w over the block's features; what outer elements add is remembered with them."""
+        path, inner = block[1], []
+        while path is not None and path.score is None:
+            inner.append(path)
+            path = path.parent
+        total = 0.0 if path is None else path.score
+        for x in reversed(inner):
+            total = x.score = total + float(w[x.fresh].sum())
+        return total + float(w[block[1].own + self.text(block, place, count)].sum())
 
 
 class Field:
@@ -166,15 +226,19 @@ class Field:
 
     @staticmethod
     def edges(blocks) -> list[int]:
-        return [int(a[1][:-1] == b[1][:-1]) for a, b in zip(blocks, blocks[1:])]
+        outer = [b[1].parent.key if b[1].parent else -1 for b in blocks]
+        return [int(a == b) for a, b in zip(outer, outer[1:])]
 
     def decode(self, rows: list[list[int]], kinds: list[int]) -> list[int]:
-        """The likeliest labels, by Viterbi."""
-        w, edge = self.w, self.edge.tolist()
+        """The likeliest labels of blocks with these features."""
+        return self.best([float(self.w[row].sum()) for row in rows], kinds)
+
+    def best(self, scores: list[float], kinds: list[int]) -> list[int]:
+        """The likeliest labels of blocks with these scores of label 1, by Viterbi."""
+        edge = self.edge.tolist()
         a = b = 0.0
         back = []
-        for i, row in enumerate(rows):
-            s = float(w[row].sum())
+        for i, s in enumerate(scores):
             if i:
                 e = edge[kinds[i - 1]]
                 a0, a1 = a + e[0][0], b + e[1][0]
@@ -278,7 +342,7 @@ def train(pages: int = 900, rounds: int = 5, seed: int = 17) -> Field:
     rng, field, features = random.Random(seed), Field(), Features()
     data = []
     for _ in range(pages):
-        blocks = leaf_blocks(labelled_page(rng))
+        blocks = leaf_blocks(labelled_page(rng), labelled=True)
         if blocks:
             data.append(([features(b, i, len(blocks)) for i, b in enumerate(blocks)], Field.edges(blocks), [int(b[3] or 0) for b in blocks]))
     gw, ge = np.full(1 << _BITS, 1e-3), np.full((2, 2, 2), 1e-3)
@@ -301,15 +365,17 @@ def extract(field: Field, features: Features, page: str | None) -> str:
     blocks = leaf_blocks(page) if page else []
     if not blocks:
         return ""
-    labels = field.decode([features(b, i, len(blocks)) for i, b in enumerate(blocks)], Field.edges(blocks))
+    labels = field.best([features.score(field.w, b, i, len(blocks)) for i, b in enumerate(blocks)], Field.edges(blocks))
     return " ".join(b[0] for b, y in zip(blocks, labels) if y)
 
 
 def extract_main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    The whole page is parsed; a null or empty page, or one without main text, gives an
-    empty text. White space inside a block becomes one space, blocks join by one space.
+    The whole page is parsed, whatever its length and the depth of its elements; a null or
+    empty page, or one without main text, gives an empty text. White space inside a block
+    becomes one space, blocks join by one space. Repeated rows and repeated or null ids are
+    rows of their own; other columns of pages, whatever their names, play no part.
     """
     field = field or train()
     sent = pages.sparkSession.sparkContext.broadcast((field.w, field.edge))
