@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three base patterns mark spans in every text. The method adds spans: opaque tokens
-are gathered over the corpus by hash, their distinct repositories and owners are
-counted, and tokens that one owner alone holds count as live credentials of theirs,
-while tokens that many owners hold are copied examples. Base spans stay either way.
+and the values of base spans are gathered over the corpus by hash, and their distinct
+repositories and owners are counted. What one owner alone holds, in few repositories,
+counts as a live credential of theirs; what many owners hold, or one owner spreads over
+many repositories, is a copied example. Base spans stay either way.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import materialise, order_id
+from dayledger.llm.common import materialise, order_id, spread_hot
 
 #: The base patterns; letters after (?i: match in either case (ASCII).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,6 +22,7 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 _SPAN = "struct<start:int,kind:int,end:int,token:string>"
+_PORTION = 128
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
 
@@ -44,8 +46,14 @@ def spans(text: Column, kind: int, pattern: str, value_group: int = 0, min_value
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("token"))
         return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= min_value, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(F.expr(_NONE))
+    # Matches are walked in portions, so that no step copies a long array.
+    empty = F.expr(_NONE)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # f of x, with x computed once
+    portions = once(steps, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _PORTION).cast("int")), lambda i: F.slice(s, i * _PORTION + 1, _PORTION)))
+    inner = lambda at, portion: F.aggregate(portion, F.struct(at.alias("at"), empty.alias("out")), step)
+    add = lambda acc, portion: once(inner(acc["at"], portion), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+    walked = F.aggregate(portions, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{_SPAN}>>)").alias("out")), add, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(empty)
 
 
 def _digest(found: Column) -> Column:
@@ -54,13 +62,16 @@ def _digest(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_owned, n_copied, base, spans.
+def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_owned, n_copied, n_base_live, base, spans.
 
-    base and spans are texts ``kind:start:end,...``; a null or empty text has none.
-    Opaque tokens outside base spans that at most max_owners owners hold are spans of
-    kind owned; n_copied counts those that more owners hold. A null owner or repository
-    is one of its own. Rows alike in doc_id and text get the same result each.
+    base and spans are texts ``kind:start:end,...``; a null or empty text has none. A
+    candidate is live if at most max_owners owners and max_repositories repositories hold
+    it. Live opaque tokens outside base spans are spans of kind owned; n_copied counts the
+    other opaque tokens there, n_base_live the base spans whose values are live. A null
+    owner or repository is one of its own. Texts are read whole; one with many matches takes
+    time in proportion to them, but that each opaque token is compared with its base spans. Rows alike in doc_id and text get the same result
+    each; other columns, whatever their names, play no part.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(
@@ -70,17 +81,22 @@ def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int =
         F.filter(spans(text, 3, OPAQUE), lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]")).alias("opaque"),
     )
     rows = materialise(rows)
-    cand = rows.select("id", "th", "owner", "repository", "base", F.explode("opaque").alias("x")).withColumn("h", F.unhex(F.md5(F.col("x.token").cast("binary"))))
-    held = cand.groupBy("h").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    judged = cand.where(~F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))).select("id", "th", "h", "x").join(held, "h")
-    per_row = judged.groupBy("id", "th").agg(F.collect_set(F.struct("x", (F.col("owners") <= max_owners).alias("live"))).alias("more"))
+    inside = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    told = F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("told"))), F.transform("opaque", lambda x: F.struct(x.alias("x"), (~inside(x)).alias("told"))))
+    cand = rows.select("id", "th", "owner", "repository", F.explode(told).alias("c")).select("id", "th", "owner", "repository", "c.x", "c.told").withColumn("h", F.unhex(F.md5(F.col("x.token").cast("binary"))))
+    held = materialise(cand.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories")))
+    judged, held = spread_hot(cand.where("told").select("id", "th", "h", "x"), held, "h", "n", ["id", "th"])
+    judged = judged.join(held, ["h", "salt"]).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    per_row = judged.groupBy("id", "th").agg(F.collect_set(F.struct("x", "live")).alias("more"))
     out = rows.select("doc_id", "id", "th", "base").join(per_row, ["id", "th"], "left")
     none = F.expr(_NONE)
-    live = F.coalesce(F.transform(F.filter("more", lambda m: m["live"]), lambda m: m["x"]), none)
-    n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    which = lambda f: F.coalesce(F.transform(F.filter("more", f), lambda m: m["x"]), none)
+    owned, copied = which(lambda m: (m["x"]["kind"] == 3) & m["live"]), which(lambda m: (m["x"]["kind"] == 3) & ~m["live"])
+    count = lambda c: F.size(c).cast("long")
+    n = lambda k: count(F.filter("base", lambda x: x["kind"] == k))
     return out.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.size(live).cast("long").alias("n_owned"),
-        (F.coalesce(F.size("more"), F.lit(0)) - F.size(live)).cast("long").alias("n_copied"), _digest(F.col("base")).alias("base"), _digest(F.concat("base", live)).alias("spans"),
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), count(owned).alias("n_owned"), count(copied).alias("n_copied"),
+        count(which(lambda m: (m["x"]["kind"] < 3) & m["live"])).alias("n_base_live"), _digest(F.col("base")).alias("base"), _digest(F.concat("base", owned)).alias("spans"),
     )
 
 
@@ -102,13 +118,13 @@ WITH base AS (
     UNION ALL {_sql_kind(1, r"AKIA[A-Z0-9]+", 0, 20)}
     UNION ALL {_sql_kind(2, r"[0-9a-f]+", 0, 24)}),
 cand AS (SELECT * FROM ({_sql_kind(3, r"[A-Za-z0-9_-]+", 0, 20)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
-held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM cand GROUP BY value),
-outside AS (SELECT c.*, owners FROM cand c JOIN held USING (value) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.s + c.n AND c.s < b.s + b.n)),
-every AS (SELECT doc_id, kind, s, n, 1 AS owners FROM base UNION ALL SELECT doc_id, kind, s, n, owners FROM outside),
+held AS (SELECT value, count(DISTINCT coalesce(source, '')) <= 1 AND count(DISTINCT coalesce(doc_id::VARCHAR, '')) <= 3 AS live FROM (FROM base UNION ALL FROM cand) GROUP BY value),
+outside AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.s + c.n AND c.s < b.s + b.n)),
+every AS (SELECT e.*, live FROM (FROM base UNION ALL FROM outside) e JOIN held USING (value)),
 named AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || (s + n) AS span FROM every)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-       count(*) FILTER (kind = 3 AND owners <= 1) AS n_owned, count(*) FILTER (kind = 3 AND owners > 1) AS n_copied,
+       count(*) FILTER (kind = 3 AND live) AS n_owned, count(*) FILTER (kind = 3 AND NOT live) AS n_copied, count(*) FILTER (kind < 3 AND live) AS n_base_live,
        sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
-       coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR owners <= 1), '') AS spans
+       coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans
 FROM documents d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
