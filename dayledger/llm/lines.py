@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import ascii_lower, order_id
+from dayledger.llm.common import ascii_lower, materialise, order_id, spread_hot
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -21,19 +21,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, refresh
     with refresh_n_chars a column n_chars is the length of what stays of a text.
     """
     names = docs.columns
-    base = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), order_id(docs["doc_id"]).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("body"))
-    base = base.withColumn("th", F.xxhash64("body"))
-    lines = base.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+    body = F.coalesce(docs["text"], F.lit(""))
+    base = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"))
+    lines = docs.select(order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(_SPACES)))
     lines = lines.withColumn("key", key).where(F.char_length("key") >= min_chars)
     lines = lines.select("id", "th", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("h"))
     if min_docs == 2:
-        shared = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+        shared = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).where("first < last").drop("last")
     else:
-        shared = lines.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.min("id").alias("first"), F.count("one").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    gone = lines.join(shared, "h").where("id <> first").groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+        shared = lines.groupBy("h", "id").agg(F.count(F.lit(1)).alias("rows")).groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).where(F.col("n") >= min_docs).drop("n")
+    found, shared = spread_hot(lines, materialise(shared), "h", "rows", ["id", "th"])
+    gone = found.join(shared, ["h", "salt"]).where("id <> first").groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     whole = base.join(gone.hint("shuffle_hash"), ["id", "th"], "left")
-    whole = whole.withColumn("parts", F.split("body", "\n", -1)).withColumn("n_lines", F.size("parts").cast("long"))
+    whole = whole.withColumn("parts", F.split(F.coalesce(F.col("row")["text"], F.lit("")), "\n", -1)).withColumn("n_lines", F.size("parts").cast("long"))
     # What lies between dropped lines is sliced out, so a text costs time in proportion to its lines.
     stays = F.expr(
         """array_join(flatten(transform(sequence(0, size(gone)), j ->
