@@ -165,12 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep_out=(
     """Fits on the max_rows labelled rows (a documented bound) with the smallest hashes of doc_id.
 
     keep_out = (n, r): rows with crc32(doc_id as text) mod n == r are never learned from.
-    Rows without a label, and labels without a document, are left out.
+    Rows without a label or id, and labels without a document, are left out; of documents
+    that share an id one is read. A null or empty text is a text without n-grams.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), keep_out[0]) != keep_out[1]))
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality sample"))
     known = materialise(known.select("doc_id", F.col(label).cast("int").alias("label"), h.alias("h")).distinct().orderBy("h", "label").limit(max_rows))
     rows = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).join(known, F.col("id") == F.col("doc_id"))
+    rows = rows.groupBy("doc_id", "label", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.select("label", F.pmod("h", F.lit(5)).alias("part"), "text")
     found = rows.mapInPandas(_indicators, "label int, part long, ids binary").collect()  # at most max_rows
     found.sort(key=lambda r: (bytes(r.ids), r.label))
@@ -191,7 +193,13 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_out=(5, 0), **options) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    A null text, an empty one and one without words score alike; texts are read whole.
+    Rows with a null id count as held out by the crc of an empty text. Repeated rows
+    score alike; an empty table gives no rows. Without labels of both classes all texts
+    have the same score. Other columns of docs and labels play no part.
+    """
     scored = score_quality(docs, train(docs, labels, keep_out=keep_out, **options))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), keep_out[0]) == keep_out[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -199,7 +207,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """docs without the rows that score below threshold; columns as they are.
 
-    The whole row travels through the scoring task, so no join is needed.
+    The whole row travels through the scoring task, so no join is needed. Null and empty
+    texts stay or go by the score of a text without words; repeated rows fare alike.
     """
     model = train(docs, labels, **options)
     sent = docs.sparkSession.sparkContext.broadcast((model.scales.astype(np.float32), model.weights.astype(np.float32), model.bias, model.a, model.b))

@@ -3,7 +3,8 @@
 A step of the network is a word. Its input is the sum of a word vector (hashed word) and
 the mean of vectors of its character n-grams with word ends (hashed). A text is scored
 over all windows of ``WINDOW`` words that begin every ``STRIDE`` words, the last ending
-with the text; its score is its most toxic window's. Training knows labels of whole
+with the text, so every passage of ``WINDOW - STRIDE + 1`` words stands whole in one; its
+score is its most toxic window's. Training knows labels of whole
 texts only: a toxic text teaches through its most toxic window, any other through its
 most toxic window and a random one; windows that repeat one word of a clean text are
 shown as clean.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from dayledger.llm.common import crc_mod, materialise
 from dayledger.llm.words import mixed, split_words
 
-WINDOW, STRIDE = 20, 14
+WINDOW, STRIDE = 20, 10
 _WORDS, _GRAMS, _DIM, _HIDDEN = 1 << 14, 1 << 16, 16, 8
 
 
@@ -296,12 +297,13 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 14, batch: in
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_out=(3, 1), max_rows: int = 3000, **options) -> ToxicityNet:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_out=(3, 1), max_rows: int = 3000, max_chars: int = 40_000, **options) -> ToxicityNet:
     """Fits on max_rows labelled rows at most (a documented bound), half of them toxic if there are as many.
 
-    Rows are chosen by the smallest hashes of doc_id; keep_out as for the quality
-    classifier. Texts come to the driver, so only those of up to 40,000 characters are
-    learned from.
+    Rows are chosen by the smallest hashes of doc_id; keep_out, null ids and labels, and
+    documents that share an id as for the quality classifier. Texts come to the driver, so
+    of the chosen rows, toxic or not, only those of up to max_chars characters (a documented
+    bound, too) are learned from; a null text is an empty one.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), keep_out[0]) != keep_out[1]))
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample"))
@@ -309,7 +311,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_out=(3,
     part = lambda y: known.where(F.col("label") == y).orderBy("h").limit(max_rows // 2)
     chosen = materialise(part(0).unionByName(part(1)))
     rows = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).join(chosen, F.col("id") == F.col("doc_id"))
-    found = rows.where(F.char_length("text") <= 40_000).select("label", "h", "text").collect()  # at most max_rows
+    rows = rows.where(F.coalesce(F.char_length("text"), F.lit(0)) <= max_chars).groupBy("doc_id", "label", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.select("label", "h", "text").collect()  # at most max_rows texts of max_chars
     found.sort(key=lambda r: (r.h, r.label, r.text or ""))
     return fit([r.text for r in found], np.array([r.label for r in found], int), **options)
 
@@ -317,8 +320,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_out=(3,
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep_out=(3, 1), **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Null texts and texts without words are one window of padding and score as the bias.
-    Without labels of both classes every text has the same score.
+    Null texts and texts without words are one window of padding and score as the bias;
+    texts are read whole. Without labels of both classes every text has the same score.
+    Rows with a null id count as held out by the crc of an empty text; repeated rows score
+    alike, an empty table gives no rows, other columns play no part.
     """
     net = train(docs, labels, keep_out=keep_out, **options)
     sent = docs.sparkSession.sparkContext.broadcast(net.p)
