@@ -10,33 +10,40 @@ from dayledger.llm.common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity: doc_id, held_out, score, predicted."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document: doc_id, size, source_size, target, taken."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps of its lines: doc_id, n_lines, n_dropped, kept_sha256 (of an empty text where the text is null)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text: page_id, url, text, n_chars."""
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; the source stands for the owner, the document for the repository."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
     return found.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality: doc_id, held_out, score, predicted."""
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -46,10 +53,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near copies by three-word shingles: doc_id, n_shingles, component_id, kept."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens: doc_id, n_bytes, n_tokens, over_limit."""
     import public_tokenizers
 
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, gradients, edge cases."""
 
+import os
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from dayledger.llm import html, quality, toxicity
 from tests.llm.conftest import ROWS
 
+LARGER = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int, score double"
 BAD = ["moron", "scum", "loser"]
 
@@ -71,11 +73,35 @@ def test_models_odd(made, spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns and quality.keep_good(none, labels).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables")
+def test_given_labels(spark):
+    """Held-out rows of the given tables: what is learned holds there."""
+    docs, known = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    for f, label in ((quality.classify_quality, "quality"), (toxicity.score_toxicity, "toxic")):
+        truth = {r.doc_id: r[label] for r in known.collect()}
+        held = [r for r in f(docs, known).collect() if r.held_out and truth.get(r.doc_id) is not None]
+        right = {y: [r.predicted == y for r in held if truth[r.doc_id] == y] for y in (0, 1)}
+        assert len(held) > 40 and all(right.values())
+        # Toxic words that no training text holds can't be found; more labels hold more of them.
+        least = {0: 0.9, 1: 0.9} if label == "quality" else {0: 0.99, 1: 0.6}
+        assert all(sum(x) >= least[y] * len(x) for y, x in right.items()), (label, {y: (sum(x), len(x)) for y, x in right.items()})
+
+
+def test_long_texts_in_training(spark, made):
+    """Texts over max_chars are not learned from, whatever their label; all are scored."""
+    docs, labels, rows = made
+    long = spark.createDataFrame([(10_000 + i, "scum " * 9_000) for i in range(20)], docs.schema)
+    more = labels.unionByName(spark.createDataFrame([(10_000 + i, 1, 0, None) for i in range(20)], LABELS))
+    plain = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.unionByName(long), more).collect()}
+    assert {i: got[i] for i in plain} == plain and len(got) == len(plain) + 20 and min(got[10_000 + i] for i in range(20)) > 0.5
+
+
 def test_windows_cover_all():
     for n in range(0, 200):
         at = toxicity.windows(n)
         assert at[0] == 0 and set(range(n)) <= {p for a in at for p in range(a, a + toxicity.WINDOW)}
-        assert all(b - a < toxicity.WINDOW for a, b in zip(at, at[1:]))
+        assert all(b - a <= toxicity.WINDOW // 2 for a, b in zip(at, at[1:]))
 
 
 def test_network_gradient():
@@ -121,7 +147,7 @@ def field():
 def test_extraction_of_other_pages(field):
     features, rng, right = html.Features(), random.Random(1234), 0
     for _ in range(100):
-        blocks = html.leaf_blocks(html.labelled_page(rng))
+        blocks = html.leaf_blocks(html.labelled_page(rng), labelled=True)
         labels = field.decode([features(b, i, len(blocks)) for i, b in enumerate(blocks)], html.Field.edges(blocks)) if blocks else []
         right += labels == [int(b[3] or 0) for b in blocks]
     assert right >= 90
@@ -161,4 +187,28 @@ def test_pages_odd(spark, field):
 
 def test_labels_of_pages_are_no_training_labels():
     page = '<table><tr><td data-label="Price">12</td><td data-label=>x</td></tr></table><p data-label="1">text</p>'
-    assert [(b[0], b[3]) for b in html.leaf_blocks(page)] == [("12", None), ("x", None), ("text", None)]
+    page += '<p data-dayledger-label="1" data-id="ad sidebar" aria-id=menu>more</p>'
+    blocks = html.leaf_blocks(page)
+    assert [(b[0], b[3]) for b in blocks] == [("12", None), ("x", None), ("text", None), ("more", None)]
+    assert blocks[3][1].names == ()
+
+
+def test_depth_costs_little(field):
+    """Elements that are never closed, of one look and each of its own look, and unmatched end tags."""
+    import time
+
+    for page in ("<div>x" * 100_000, "".join(f"<div class=c{'abcdefghij'[i % 10]}{chr(97 + i % 26)}>x" for i in range(60_000)), "<blockquote>" * 50_000 + "<li>x</p>" * 50_000, "<svg>x" * 50_000 + "<select>y"):
+        began = time.process_time()
+        html.extract(field, html.Features(), page)
+        assert time.process_time() - began < 20
+
+
+def test_hidden_elements():
+    blocks = lambda page: [b[0] for b in html.leaf_blocks(page)]
+    assert blocks('<p>a <svg class="icon"/> b</p><p>c</p>') == ["a b", "c"]
+    assert blocks("<p>a <svg><path/><title>t</title></svg> b</p>") == ["a b"]
+    assert blocks("<p>a <svg class=icon> b</p><p>c <svg>x</svg> d</p>") == ["a b", "c d"]
+    assert blocks("<p>a <select><option>x</select> b <video>old</video> c</p>") == ["a b c"]
+    assert blocks("<p>a <canvas> b</p>") == ["a b"]
+    assert blocks("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>") == ["x y=2 z"]
+    assert blocks("<p>a</p><script>if (a</b) {'<p>no</p>'}</script><p>b</p><style>p {") == ["a", "b"]

@@ -158,6 +158,15 @@ def test_fingerprints_sparse_ids(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
 
 
+def test_bids_run_in_generated_code(spark, data):
+    """Over 100 columns the aggregation of the bids would leave generated code."""
+    plan = fingerprints.fingerprint(spark.read.parquet(f"{data}/documents.parquet"))
+    plan._jdf.collectToPython()
+    codegen = plan._jdf.queryExecution().executedPlan().toString()
+    lines_ = [x for x in codegen.splitlines() if "HashAggregate" in x and "min(" in x and "of#" in x]
+    assert any("*(" in x for x in lines_)
+
+
 BASE = [
     (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6, "assign"),
     (re.compile(r"AKIA[A-Z0-9]+"), 0, 20, "access"),
@@ -182,6 +191,23 @@ def test_secrets(spark):
     assert by[5].n_owned == 1 and by[5].spans == "owned:0:27" and by[6].n_copied == by[7].n_copied == 1 and by[6].spans == ""
 
 
+def test_copied_and_owned(spark):
+    """One owner in few repositories is live; many owners, or many repositories of one, are copies."""
+    token = lambda n: f"tok{n}-0123456789abcdefghij"
+    rows = [(1, "a", "r1", token(1)), (2, "a", "r2", token(1)), (3, "a", "r1", token(2)), (4, "b", "r9", token(2))] + [(10 + i, "c", f"r{i}", f"{token(3)} password=hunter{i % 2}x") for i in range(4)]
+    df = spark.createDataFrame([(i, t, o, r, "clash") for i, o, r, t in rows], "doc_id long, text string, owner string, repo string, h string")
+    got = {r.doc_id: (r.n_owned, r.n_copied, r.n_base_live) for r in secrets.scan_secrets(df, "owner", "repo").collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 3: (0, 1, 0), 4: (0, 1, 0)} | {10 + i: (0, 1, 1) for i in range(4)}
+
+
+def test_many_matches(spark):
+    """A long text with 20,000 matches."""
+    text = "é token=abcdef%d " * 20_000 % tuple(range(20_000))
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string"), "source", "doc_id").first()
+    found = [f"assign:{m.start()}:{m.end()}" for m in BASE[0][0].finditer(text)]
+    assert row.n_assign == 20_000 and row.base == ",".join(found)
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan_secrets(odd, "source", "lang").count() == len(ROWS)
     assert secrets.scan_secrets(none, "source", "lang").count() == 0

@@ -1,9 +1,12 @@
 """Near-duplicates, decontamination, token counts and the pipeline."""
 
+import math
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -67,6 +70,15 @@ def test_large_groups(spark, edits):
     assert got == plain_components(texts, 3, 85)
 
 
+def test_group_around_the_threshold(spark):
+    """A thousand near copies of one text, many of them just above or below the threshold with each other."""
+    texts = grown(11, 1000, 150, 12)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    want = plain_components(texts, 3, 85)
+    assert got == want and 20 < len({c for i, (_, c) in want.items() if i < 1000}) < 980
+
+
 def test_pairs_in_a_large_group(spark):
     """Texts of a large group, below the threshold with the others and above it with one whose signature agrees less than most."""
     rng, words = random.Random(8), WordHashes()
@@ -107,6 +119,15 @@ def test_near_dedup_odd(odd, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 
+def test_stages_odd(spark, odd, none, data):
+    """Every stage on nulls, empty and long texts, repeats, clashing columns and an empty table."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, none):
+            out = stage(spark, docs, data)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count() == len(ROWS) and corpus_pipeline.STAGES[-1][1](spark, none, data).count() == 0
+
+
 def test_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f G"), (None, "a b c d e f g"), (7, "x y"), (7, "x y"), (8, "y x")]
     stay = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -121,17 +142,18 @@ def test_paths_reach_far(spark):
 
 def plain_overlaps(text, items, window=13, share=0.8):
     """Every alignment of every item: those with a window that agrees enough."""
-    d, out = WORD.findall(lower(text)), set()
+    d, out = np.array(WORD.findall(lower(text)), object), set()
     for item, t in items.items():
         w = WORD.findall(lower(t))
         size = min(window, len(w))
-        for shift in range(-len(w) + size, len(d) - size + 1):
-            same = [0]
-            for i in range(max(0, shift), min(len(d), shift + len(w))):
-                same.append(same[-1] + (d[i] == w[i - shift]))
-            if size and any(same[k + size] - same[k] >= share * size for k in range(len(same) - size)):
-                out.add(item)
-                break
+        if not size or len(d) < size:
+            continue
+        # same[i, j]: whether word i of the item stands at place j + i of the text, for each alignment j.
+        padded = np.concatenate([np.full(len(w), None), d, np.full(len(w), None)])
+        same = np.array([padded[i : i + len(d) + len(w)] == x for i, x in enumerate(w)])
+        run = np.concatenate([np.zeros((1, same.shape[1]), int), np.cumsum(same, axis=0)])
+        if (run[size:] - run[:-size]).max() >= share * size:
+            out.add(item)
     return out
 
 
@@ -139,9 +161,8 @@ def test_decontaminate_data(spark, data):
     docs, bench = table(spark, data, "documents"), table(spark, data, "benchmark")
     got = {r.doc_id: set(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()}
     items = {r.item_id: r.text for r in bench.collect()}
-    want = {r.doc_id: found for r in docs.collect() if len(r.text) < 20_000 and (found := plain_overlaps(r.text, items))}
-    assert {k: v for k, v in got.items() if k in want} == want and want
-    assert all(len(r.text) >= 20_000 for r in docs.collect() if r.doc_id in got.keys() - want.keys())
+    want = {r.doc_id: found for r in docs.collect() if (found := plain_overlaps(r.text, items))}
+    assert got == want and want
     clean = decontaminate.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - got.keys()
 
@@ -156,14 +177,44 @@ def test_decontaminate_substitutions(spark):
         for p in range(i % 5, 30, 10):  # one word in ten
             w[p] = word()
         docs.append((i, " ".join([word() for _ in range(i)] + w + [word() for _ in range(7)])))
-    docs += [(100 + i, " ".join(word() for _ in range(60))) for i in range(20)] + [(200, " ".join(item[:8])), (201, None), (None, " ".join(item))]
+    docs += [(100 + i, " ".join(word() for _ in range(60))) for i in range(20)] + [(200, " ".join(item[:8])), (201, None), (None, " ".join(item)), (202, "it is too short")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, seed int")
     bench = spark.createDataFrame([(1, " ".join(item), 0), (2, None, 0), (3, "too short", 0), (None, "", 0), (1, " ".join(item), 0)], "item_id long, text string, at int")
     got = {r.doc_id for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {*range(40), None}
+    assert got == {*range(40), None, 202}
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_masks_leave_out_no_pattern():
+    """For items of 1 to 30 words: whatever words of a window the rule lets differ, a mask fits beside them."""
+    for n in range(1, 31):
+        size = min(n, 13)
+        wrong = size - math.ceil(0.8 * size)
+        for gone in (set(g) for k in range(wrong + 1) for g in combinations(range(size), k)):
+            assert any(all(c == "0" or i + at not in gone for i, c in enumerate(m)) for m in decontaminate.masks(n) for at in range(size - len(m) + 1)), (n, gone)
+
+
+def test_short_items(spark):
+    """Items of 1 to 14 words in texts with as many substitutions as the rule allows, and with one more."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = {n: [word() for _ in range(n)] for n in range(1, 15)}
+    docs, want = [], {}
+    for n, words in items.items():
+        wrong = min(n, 13) - math.ceil(0.8 * min(n, 13))
+        for k in range(12):
+            w = list(words)
+            for p in rng.sample(range(min(n, 13)), min(n, wrong + k % 2)):
+                w[p] = word()
+            text = " ".join([word() for _ in range(k)] + w + [word() for _ in range(3)])
+            docs.append((len(docs), text))
+            if found := plain_overlaps(text, {i: " ".join(x) for i, x in items.items()}):
+                want[docs[-1][0]] = found
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want and len(want) > 60
+
+
 def test_decontaminate_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "shared line of text here other words stand in this one")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.contaminated(odd, bench).collect()] == [2]
@@ -184,6 +235,17 @@ def test_token_counts(spark, data, odd, none):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
         assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
     assert tokencount.count_tokens(none, P.path(name)).count() == 0
+    want = sorted((str(r.doc_id), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokencount.count_tokens(odd, P.path(name), head=5).collect()) == want
+
+
+def test_tokenizers_that_join_words_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = str(tmp_path / "t.json")
+    Tokenizer(models.WordLevel({"a b": 0, "a": 1, "b": 2, "?": 3}, unk_token="?")).save(path)
+    with pytest.raises(ValueError, match="white space"):
+        tokencount.check_tokenizer(path)
 
 
 def test_pipeline(spark, data):
@@ -211,8 +273,7 @@ def test_pipeline(spark, data):
             assert set(after) == {i for i, (_, c) in plain_components(rows, 5, 80).items() if i == c}
         if k == 3:
             items = {r.item_id: r.text for r in table(spark, data, "benchmark").collect()}
-            short = {i for i, t in rows.items() if len(t or "") < 8000}
-            assert {i for i in short if i not in after} == {i for i in short if plain_overlaps(rows[i], items)}
+            assert rows.keys() - after.keys() == {i for i, t in rows.items() if plain_overlaps(t, items)}
     sizes = {r.doc_id: r["size"] for r in before.select("doc_id", mixing.count_words("text").alias("size")).collect()}
     assert {r.doc_id: r["size"] for r in kept.collect()} == sizes
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, data).collect()) == sorted(tuple(r) for r in kept.collect())
