@@ -3,6 +3,10 @@
 Quality classifier, line dedup, near-duplicate removal, benchmark decontamination, and
 the source mix of what is left. All but the last return the columns of documents; a
 stage's decisions rest on all rows that its predecessor kept.
+
+In all stages a null text counts as an empty one, texts are read whole, rows that share an
+id or repeat each other are told apart by their text or fare alike, a null id is an id of
+its own, columns that the stage doesn't know pass through, and an empty table gives one.
 """
 
 from __future__ import annotations
@@ -14,27 +18,27 @@ from dayledger.llm.common import materialise, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score under 0.3) go."""
+    """Documents that the classifier rejects (score under 0.3) go; texts without words, null ones too, all stay or all go by their common score."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all documents but the first; n_chars follows the text."""
+    """Repeated lines go from all documents but the one of the smallest id; n_chars follows the text. Null and empty texts stay as they are."""
     return lines.dedup_lines(docs, refresh_n_chars=True).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays, that of the smallest id: five-word shingles, similarity 0.8 or more. Texts without words all stay."""
     return neardup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go, with all rows of their id; texts without words stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes from each document that is left."""
+    """How many words the mix takes from each document that is left: none of a text without words."""
     return mixing.mix_sources(docs)
 
 

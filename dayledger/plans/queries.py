@@ -15,7 +15,7 @@ from dayledger.operators import reports as rp
 from dayledger.operators.profile import dropped_rows, header, profile
 from dayledger.operators.spec import CountsWith, Dataset, Duration, ListStats, NullPattern, Rows, TextCounts, TextRows, ValueCounts
 from dayledger.plans import oracle, views
-from dayledger.sources.tables import table
+from dayledger.sources.tables import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,7 +159,9 @@ FROM (SELECT CAST(date_trunc('month', start_date) AS DATE) AS start_date, platfo
 
 def _roll_up(s: SparkSession, d: str) -> DataFrame:
     members = table(s, d, "supplier").select(F.col("s_name").alias("platform"), F.col("s_nationkey").cast("string").alias("group"))
-    nations = rp.roll_up(ship(s, d, FLAG, DELAY), members)
+    path = shared_path(s)
+    rp.roll_up(ship(s, d, FLAG, DELAY), members).write.parquet(path)  # the level above reads it again
+    nations = s.read.schema(st.SCHEMA).parquet(path)
     return nations.unionByName(rp.roll_up(nations))
 
 
