@@ -13,22 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayledger.functions.stats import COLUMNS
-from dayledger.operators.spec import KINDS, Dataset, Slot, one
+from dayledger.operators.spec import KINDS, Dataset, Rows, Slot
 
 _BY_VALUE = KINDS[:3]
 
 
 def _slots(data: Dataset) -> list[tuple[str, Slot]]:
-    """(column, slot) of all specs; the first slot counts the rows of a group and has no output."""
-    out = [("", Slot(F.array(one()), ()))]
-    for spec in data.specs:
+    """(column, slot) of all specs. The first slot counts all rows of a group; it has no output if no spec has it."""
+    rows = [spec for spec in data.specs if isinstance(spec, Rows)][:1]
+    out = []
+    for spec in rows + [spec for spec in data.specs if not any(spec is r for r in rows)]:
         if not callable(getattr(spec, "slots", None)):
             raise TypeError(f"{spec!r} is no declaration: it has no slots()")
         for slot in spec.slots():
             if bad := {kind for _, kind in slot.outputs} - set(KINDS):
                 raise ValueError(f"{spec!r} has outputs of unknown kinds: {', '.join(sorted(bad))}")
             out.append((spec.column, slot))
-    return out
+    return out if rows else [("", Slot(())), *out]
 
 
 def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column | None = None) -> DataFrame:
@@ -45,22 +46,24 @@ def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column |
     }
     rows = df.where(F.col(data.category).isNotNull()) if data.category else df
     names, slots = list(keys), _slots(data)
-    numbered = lambda k: lambda e: F.struct(F.lit(k).alias("k"), e["value"].alias("value"), e["x"].alias("x"))
-    added = F.concat(*[F.transform(slot.elements, numbered(k)) for k, (_, slot) in enumerate(slots)])
-    long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(added).alias("e")).select(*names, "e.k", "e.value", "e.x")
+    null = F.lit(None)
+    element = lambda k, value, x: F.struct(F.lit(k).alias("k"), (null if value is None else value).cast("string").alias("value"), (null if x is None else x).cast("long").alias("x"))
+    single = [element(k, s.value, s.x) if s.when is None else F.when(s.when, element(k, s.value, s.x)) for k, (_, s) in enumerate(slots) if s.many is None]
+    numbered = lambda k: lambda v: element(k, v, None)
+    added = F.concat(F.array(*single), *[F.transform(s.many, numbered(k)) for k, (_, s) in enumerate(slots) if s.many is not None])
+    long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(added).alias("e")).where("e is not null").select(*names, "e.k", "e.value", "e.x")
     sums = [F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")]
     counted = long.groupBy(*names, "k", "value").agg(F.count(F.lit(1)).alias("n"), *sums)
     # Each group's own counter becomes a zero for every counter that must show.
-    must = [(k, v) for k, (_, slot) in enumerate(slots) for v in (slot.known or (() if all(kind in _BY_VALUE for _, kind in slot.outputs) else (None,)))]
+    must = [(k, v) for k, (_, slot) in enumerate(slots) if k for v in (slot.known or (() if all(kind in _BY_VALUE for _, kind in slot.outputs) else (None,)))]
     if must:
         zero = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).cast("string").alias("value"), F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("long").alias(c) for c in ("s", "lo", "hi")])
         own = F.array(F.struct("k", "value", "n", "s", "lo", "hi"))
-        filled = counted.select(*names, F.explode(F.when(F.col("k") == 0, F.array(*[zero(k, v) for k, v in must])).otherwise(own)).alias("e")).select(*names, "e.*")
+        filled = counted.select(*names, F.explode(F.when(F.col("k") == 0, F.concat(own, F.array(*[zero(k, v) for k, v in must]))).otherwise(own)).alias("e")).select(*names, "e.*")
         counted = filled.groupBy(*names, "k", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    told = [F.array(*[F.struct(F.lit(column).alias("column"), F.lit(entity).cast("string").alias("entity"), F.lit(kind).alias("kind")) for entity, kind in slot.outputs]) for column, slot in slots[1:]]
-    if not told:
-        told = [F.array(F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("entity"), F.lit("").alias("kind")))]
-    out = counted.where("k > 0").select(*names, "value", "n", "s", "lo", "hi", F.explode(F.get(F.array(*told), F.col("k") - 1)).alias("t"))
+    tell = lambda column, entity, kind: F.struct(F.lit(column).alias("column"), F.lit(entity).cast("string").alias("entity"), F.lit(kind).alias("kind"))
+    told = F.array(*[F.array(*[tell(column, *output) for output in slot.outputs]) if slot.outputs else F.slice(F.array(tell("", None, "")), 1, 0) for column, slot in slots])
+    out = counted.select(*names, "value", "n", "s", "lo", "hi", F.explode(F.get(told, F.col("k"))).alias("t"))
     kind, measured = F.col("t.kind"), F.col("t.kind") == "measure"
     count = F.when(kind == "sum", F.coalesce("s", F.lit(0))).when(kind != "max", F.col("n"))
     return out.select(

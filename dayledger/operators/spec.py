@@ -22,14 +22,18 @@ KINDS = ("variant", "text", "entity", "count", "sum", "max", "measure")
 
 @dataclass(frozen=True)
 class Slot:
-    """elements is an array of one() that a row adds; outputs are (entity, kind).
+    """What a row adds: one element, in rows that pass ``when`` (all, if None), with a value to count
+    by and a number x; or one for each value of the array ``many``. outputs are (entity, kind).
 
     Outputs other than rows by value have a row in every group of the profile; values
     listed in known have one, too.
     """
 
-    elements: Column
     outputs: tuple[tuple[str | None, str], ...]
+    value: Column | None = None
+    x: Column | None = None
+    when: Column | None = None
+    many: Column | None = None
     known: tuple[str, ...] = ()
 
 
@@ -39,16 +43,6 @@ class Spec(Protocol):
     def slots(self) -> list[Slot]: ...
 
 
-def one(value: Column | None = None, x: Column | None = None) -> Column:
-    """An element with a value to count by and a number to sum."""
-    return F.struct((F.lit(None) if value is None else value).cast("string").alias("value"), (F.lit(None) if x is None else x).cast("long").alias("x"))
-
-
-def only(test: Column, element: Column | None = None) -> Column:
-    """The element in rows that pass the test, and nothing in others."""
-    return F.when(test, F.array(one() if element is None else element)).otherwise(F.slice(F.array(one()), 1, 0))
-
-
 def _items(column: str) -> Column:
     """An array's elements; one null element if there are none."""
     return F.when(F.size(column) > 0, F.col(column)).otherwise(F.array(F.lit(None).cast("string")))
@@ -61,7 +55,7 @@ class Rows:
     column: str = "rows"
 
     def slots(self) -> list[Slot]:
-        return [Slot(F.array(one()), ((None, "count"),))]
+        return [Slot(((None, "count"),))]
 
 
 @dataclass(frozen=True)
@@ -71,7 +65,7 @@ class ValueCounts:
     column: str
 
     def slots(self) -> list[Slot]:
-        return [Slot(F.array(one(F.col(self.column))), ((None, "variant"),))]
+        return [Slot(((None, "variant"),), value=F.col(self.column))]
 
 
 @dataclass(frozen=True)
@@ -81,7 +75,7 @@ class TextCounts:
     column: str
 
     def slots(self) -> list[Slot]:
-        return [Slot(F.array(one(F.col(self.column))), ((None, "text"),))]
+        return [Slot(((None, "text"),), value=F.col(self.column))]
 
 
 @dataclass(frozen=True)
@@ -91,7 +85,7 @@ class TextRows:
     column: str
 
     def slots(self) -> list[Slot]:
-        return [Slot(only(F.char_length(self.column) > 0), (("rows_of_text", "count"),))]
+        return [Slot((("rows_of_text", "count"),), when=F.char_length(self.column) > 0)]
 
 
 @dataclass(frozen=True)
@@ -105,11 +99,7 @@ class ListStats:
 
     def slots(self) -> list[Slot]:
         n = F.array_size(self.column)
-        return [
-            Slot(F.array(one(x=n)), (("elements", "sum"), ("elements_per_row", "max"))),
-            Slot(only(n > 0), (("rows_with_elements", "count"),)),
-            Slot(F.transform(_items(self.column), one), ((None, "variant"),)),
-        ]
+        return [Slot((("elements", "sum"), ("elements_per_row", "max")), x=n), Slot((("rows_with_elements", "count"),), when=n > 0), Slot(((None, "variant"),), many=_items(self.column))]
 
 
 @dataclass(frozen=True)
@@ -123,7 +113,7 @@ class NullPattern:
     def slots(self) -> list[Slot]:
         mask = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(self.columns)])
         patterns = tuple("_".join(n for i, n in enumerate(self.names) if k >> i & 1) or "is_null" for k in range(1 << len(self.columns)))
-        return [Slot(F.array(one(F.get(F.array(*map(F.lit, patterns)), mask))), ((None, "entity"),), patterns)]
+        return [Slot(((None, "entity"),), value=F.get(F.array(*map(F.lit, patterns)), mask), known=patterns)]
 
 
 @dataclass(frozen=True)
@@ -136,7 +126,7 @@ class Duration:
 
     def slots(self) -> list[Slot]:
         start, end = F.col(self.start), F.col(self.end)
-        return [Slot(only(start <= end, one(x=seconds_between(start, end))), ((None, "measure"),)), Slot(only(start > end), (("null_bc_negative", "count"),))]
+        return [Slot(((None, "measure"),), x=seconds_between(start, end), when=start <= end), Slot((("null_bc_negative", "count"),), when=start > end)]
 
 
 @dataclass(frozen=True)
@@ -149,8 +139,11 @@ class CountsWith:
     entity: str = "with_end_date"
 
     def slots(self) -> list[Slot]:
-        values = F.transform(_items(self.column), one) if self.is_list else F.array(one(F.col(self.column)))
-        return [Slot(values, ((None, "variant"),)), Slot(F.when(F.col(self.other).isNotNull(), values).otherwise(F.slice(values, 1, 0)), ((self.entity, "variant"),))]
+        both, own, set_ = ((None, "variant"),), ((self.entity, "variant"),), F.col(self.other).isNotNull()
+        if self.is_list:
+            items = _items(self.column)
+            return [Slot(both, many=items), Slot(own, many=F.when(set_, items).otherwise(F.slice(items, 1, 0)))]
+        return [Slot(both, value=F.col(self.column)), Slot(own, value=F.col(self.column), when=set_)]
 
 
 @dataclass(frozen=True)

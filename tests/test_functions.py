@@ -114,19 +114,19 @@ def test_specs_of_ones_own(spark):
     """A declaration needs a column and slots; anything else is an error."""
     import pytest
 
-    from dayledger.operators.spec import Slot, one
+    from dayledger.operators.spec import Slot
 
     class Longest:
         column = "t"
 
         def slots(self):
-            return [Slot(F.array(one(x=F.char_length("t"))), (("longest", "max"), ("letters", "sum")))]
+            return [Slot((("longest", "max"), ("letters", "sum")), x=F.char_length("t"))]
 
     got = {(r.start_date.day, r.platform, r.entity): (r["count"], r.max) for r in profile(table(spark), Dataset((Longest(),))).collect()}
     assert got == {(1, "a", "longest"): (None, 1), (1, "a", "letters"): (1, None), (1, None, "longest"): (None, 1), (1, None, "letters"): (1, None), (2, "a", "longest"): (None, 0), (2, "a", "letters"): (0, None)}
     with pytest.raises(TypeError):
         profile(table(spark), Dataset(("rows",)))
-    Longest.slots = lambda self: [Slot(F.array(one()), ((None, "median"),))]
+    Longest.slots = lambda self: [Slot(((None, "median"),))]
     with pytest.raises(ValueError):
         profile(table(spark), Dataset((Longest(),)))
     assert profile(table(spark), Dataset(())).count() == 0
