@@ -40,8 +40,8 @@ SMALL = 24
 #: Mean number of children at a root. A pair at the threshold shares about 10 of them.
 CHOSEN = 1.5
 #: Children of a class in a large node below the root, and steps of the walk to each. What
-#: many classes share in half of their tokens leaves a 32nd of a node together.
-BRANCHES, STEPS = 8, 5
+#: many classes share in half of their tokens leaves a 16th of a node together.
+BRANCHES, STEPS = 4, 4
 #: Share of its tokens that a class has in common with the centre around which it is joined.
 AROUND = 0.25
 #: Pairs that read one copy of their first text.
