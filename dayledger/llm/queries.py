@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayledger.llm import decontaminate, fingerprints, html, lines, mixing, neardup, quality, secrets, tokencount, toxicity
+from dayledger.llm import codes, decontaminate, fingerprints, html, jaccard, lines, mixing, neardup, quality, secrets, spelling, tokencount, toxicity
 from dayledger.llm.common import table
 
 
@@ -64,6 +64,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component by the Jaccard similarity of five-word shingles: doc_id, n_shingles, component_id."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector's product code: vec_id, code, error, label_error, codebooks_sha256."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words and frequent form: word, form, root, n, n_near, form_n."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=199)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -82,4 +100,7 @@ ORACLES = {
     "op3_line_dedup": lines.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
     "op9_near_dedup": neardup.ORACLE,
+    "op11_jaccard_join": jaccard.ORACLE,
+    "op12_vector_codes": codes.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
