@@ -3,6 +3,7 @@ cumulative distinct counts and outages. Every function is DataFrame in, DataFram
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from dayledger.functions.stats import PRESENT, finalize, merge, predicate, within
 from dayledger.functions.text import NULL_MARK, minify, percent, ratio, upper_limit
+from dayledger.operators.ordered import numbered
+from dayledger.sources.tables import written
 
 
 def _all():
@@ -305,16 +308,15 @@ def short_text(c: Column, most: int = 70) -> Column:
     return F.when(F.char_length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
 
 
-def summary(stats: DataFrame) -> DataFrame:
+def summary(stats: DataFrame, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(tag, section, ordinal, variable, text, value): every quantity of the table over its whole range, as text.
 
     Sections: 0 the counters that open it, 1 all other fields, 2 platforms by rows, 3
     platforms by first day. A field's values come by falling count, ties from last to
     first. Durations give count, least, mean and largest; other fields their count, and
     the largest where there is one. A null value of a field that has others is is_null.
-    Each free text is a row of its own: variable shortens it for show, text has it whole. As
-    such rows may be many, they have no ordinal (a window over all of them would be one
-    task); by_count() sorts them.
+    Each free text is a row of its own: variable shortens it for show, text has it whole. Rows are numbered by
+    ranges of their order, so they may be many.
     """
     field = ["tag", "column", "entity"]
     merged = merge(stats, [*field, "variant", "text"])
@@ -335,11 +337,10 @@ def summary(stats: DataFrame) -> DataFrame:
     one = lambda section, n, what: F.struct(F.lit(section).alias("section"), n.cast("long").alias("n"), F.concat_ws(".", F.lit("platform"), "platform", F.lit(what)).alias("variable"), F.col(what).cast("string").alias("value"))
     seen = seen.select("tag", "platform", F.explode(F.array(one(2, F.col("rows"), "rows"), one(3, -F.unix_date("start_date"), "start_date"))).alias("x"))
     seen = seen.select("tag", "x.section", none.alias("a"), none.alias("b"), "x.n", F.col("platform").alias("c"), F.lit(0).alias("i"), none.alias("text"), "x.variable", "x.value")
-    plain = rows.where("text is null").unionByName(seen)
-    order = Window.partitionBy("tag").orderBy("section", "a", F.col("b").asc_nulls_first(), F.desc("n"), F.col("c").desc_nulls_last(), "i")
-    plain = plain.withColumn("ordinal", F.row_number().over(order))
-    texts = rows.where("text is not null").withColumn("ordinal", F.lit(None).cast("int"))
-    return plain.unionByName(texts).select("tag", "section", "ordinal", "variable", "text", "value")
+    # By code points; a null variant comes last of a field's, and so does a null text.
+    order = [F.col("section"), F.col("a"), F.col("b").asc_nulls_first(), F.desc("n"), F.coalesce("text", "c").desc_nulls_last(), F.col("i"), F.col("variable")]
+    out = numbered(rows.unionByName(seen), order, "ordinal", ["tag"], write)
+    return out.select("tag", "section", "ordinal", "variable", "text", "value")
 
 
 def intro(stats: DataFrame, tag: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from dayledger.operators.spec import Dataset, Rows, ValueCounts
 from dayledger.plans import oracle, views
 from dayledger.plans.queries import ORACLES, add
 from dayledger.sources import logs, records, tables
-from dayledger.streaming import daily, incremental
+from dayledger.streaming import daily, incremental, sightings
 
 _DATA = Dataset((Rows(), ValueCounts("category")))
 _STATS = f"ST AS ({oracle.statistics('E', _DATA.specs)})"
@@ -72,7 +72,7 @@ def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("incremental_refresh", "SELECT * FROM ST", views.E, _STATS)
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third day first, then the holes, then a run with nothing to do."""
+    """Every third day first, then the holes, then a run with nothing to do, which reads no data."""
     path, e = tables.shared_path(spark), views.events(spark, sf_dir)
     incremental.refresh(e.where(F.dayofmonth("day") % 3 == 0), _DATA, path)
     incremental.refresh(e, _DATA, path)
@@ -89,7 +89,7 @@ def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.shared_path(spark)
     e = views.events(spark, sf_dir).withColumn("keyword", F.when(F.col("category") == "purchase", 1))
     incremental.refresh_extract(e, F.col("category").isin("purchase", "error"), path, "day")
-    return recount(spark.read.parquet(path), "day", "keyword").withColumnRenamed("release", "day")
+    return recount(tables.read_extract(spark, path, e.schema), "day", "keyword").withColumnRenamed("release", "day")
 
 
 @add("stream_statistics", "SELECT * FROM ST", views.E, _STATS)
@@ -231,3 +231,46 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.file_digests(spark, f"{sf_dir}/*.parquet")
     differing = checks.digest_differences(found, found.where("bytes > 4096")).select("path", F.lit(True).alias("unlisted"))
     return found.join(differing, "path", "left").select(F.element_at(F.split("path", "/"), -1).alias("file"), "digest", "bytes", F.coalesce("unlisted", F.lit(False)).alias("unlisted"))
+
+
+@add(
+    "written_digests",
+    """SELECT day, sha256(string_agg(event_id || ',' || category || chr(10), '' ORDER BY event_id)) AS digest, CAST(sum(strlen(event_id || ',' || category) + 1) AS BIGINT) AS bytes FROM E GROUP BY day""",
+    views.E,
+)
+def written_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of files written from the events, a file a day: every second one (by size) as a value, the others piece by piece."""
+    path = tables.shared_path(spark)
+    lines = views.events(spark, sf_dir).select("day", "event_id", F.concat_ws(",", F.col("event_id").cast("string"), "category").alias("value"))
+    lines.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.median("length").cast("long")).first()[0] or 0
+    found = tables.file_digests(spark, path, large=sizes)
+    return found.select(F.regexp_extract("path", r"day=(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("day"), "digest", "bytes")
+
+
+@add(
+    "sightings_cumulative",
+    "SELECT 'platform' AS kind, period, new, CAST(sum(new) OVER (ORDER BY period) AS BIGINT) AS seen FROM (SELECT period, count(*) AS new FROM (SELECT platform, min(day) AS period FROM E GROUP BY platform) GROUP BY period)",
+    views.E,
+)
+def sightings_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users by day, from first sightings that each refresh of the statistics adds to: late days, holes, and a compaction between."""
+    path, seen, e = tables.shared_path(spark), tables.shared_path(spark), views.events(spark, sf_dir)
+    for part in (F.dayofmonth("day") % 3 == 0, F.dayofmonth("day") % 3 != 1, F.lit(True)):
+        days = incremental.refresh(e.where(part), _DATA, path)
+        if sightings.refresh_sightings(spark, path, seen) != [str(d) for d in days]:
+            raise AssertionError("sightings read other days than those that came")
+        if len(days) % 2:
+            sightings.compact_sightings(spark, seen)
+    return sightings.cumulative(sightings.read_sightings(spark, seen).where("kind = 'platform'"))
+
+
+@add("sightings_distinct", "SELECT 'platform' AS kind, count(DISTINCT platform) AS n, true AS near FROM E", views.E)
+def sightings_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users exactly, and whether sketches of days that were merged come within 5 % of it."""
+    path, seen, e = tables.shared_path(spark), tables.shared_path(spark), views.events(spark, sf_dir)
+    incremental.refresh(e, _DATA, path)
+    sightings.refresh_sightings(spark, path, seen)
+    near = sightings.approximate_counts(sightings.sketches(e, "day", {"platform": "platform"})).select(F.col("kind").alias("of"), F.col("n").alias("about"))
+    counts = sightings.distinct_values(sightings.read_sightings(spark, seen).where("kind = 'platform'"))
+    return counts.join(near, counts["kind"] == near["of"]).select("kind", "n", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near"))

@@ -391,7 +391,7 @@ P AS (SELECT tag, platform, sum(count) AS n, min(start_date) AS d FROM ST WHERE
 A AS (SELECT tag, CASE WHEN place > 0 THEN 0 ELSE 1 END AS section, CASE WHEN place > 0 THEN CAST(place AS VARCHAR) ELSE "column" END AS a, entity AS b, count AS n, variant AS c, i, text, variable, CAST(value AS VARCHAR) AS value FROM Q
   UNION ALL SELECT tag, 2, NULL, NULL, n, platform, 0, NULL, 'platform.' || platform || '.rows', CAST(n AS VARCHAR) FROM P
   UNION ALL SELECT tag, 3, NULL, NULL, -(d - DATE '1970-01-01'), platform, 0, NULL, 'platform.' || platform || '.start_date', CAST(d AS VARCHAR) FROM P)
-SELECT tag, section, CASE WHEN text IS NULL THEN CAST(row_number() OVER (PARTITION BY tag, text IS NULL ORDER BY section, a, b NULLS FIRST, n DESC, c DESC NULLS LAST, i) AS INT) END AS ordinal, variable, text, value FROM A"""
+SELECT tag, section, CAST(row_number() OVER (PARTITION BY tag ORDER BY section, a, b NULLS FIRST, n DESC, coalesce(text, c) DESC NULLS LAST, i, variable) AS INT) AS ordinal, variable, text, value FROM A"""
 _TEXTS = (Rows(), ValueCounts("quality"), TextRows("text"), TextCounts("text"))
 
 

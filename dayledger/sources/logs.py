@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dayledger.operators.ordered import last_known, running_sums
+
 SEPARATOR = "︙"
 #: Fixed pattern: key=number or key="text" in a message.
 _PAIR = r'([-_a-zA-Z0-9]+)=([_0-9]+(?:\.[0-9]+)?|"[^"]*")'
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, line, value): lines with their number; a log file is read by one task, as its order matters."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line", "value")).where(F.col("value") != "")
+    """(file, block, at, value): the lines of log files and their places; a large file is as many blocks as Spark reads it in.
+
+    Rows with a larger at come later in the same block. Lines may be empty.
+    """
+    lines = spark.read.option("lineSep", "\n").text(list(paths))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _last(pairs: Column) -> Column:
+    """Of a key's pairs the last."""
+    return F.filter(pairs, lambda x, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"]), x["k"]))
 
 
 def properties(message: Column) -> Column:
     """Map of a message's key=value pairs; quotes off, underscores out of numbers."""
     keys, values = F.regexp_extract_all(message, F.lit(_PAIR), F.lit(1)), F.regexp_extract_all(message, F.lit(_PAIR), F.lit(2))
     plain = F.transform(values, lambda v: F.when(v.startswith('"'), F.btrim(v, F.lit('"'))).otherwise(F.replace(v, F.lit("_"), F.lit(""))))
-    unique = F.filter(F.arrays_zip(keys.alias("k"), plain.alias("v")), lambda x: x["k"].isNotNull())
-    return F.aggregate(unique, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
+    return F.map_from_entries(_last(F.arrays_zip(keys.alias("k"), plain.alias("v"))))
 
 
 def typed(message: Column) -> Column:
@@ -41,23 +50,26 @@ def typed(message: Column) -> Column:
         )
 
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    # Of a key's pairs the last counts.
-    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"]), x["k"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], value(x["v"]))))
+    return F.map_from_entries(F.transform(_last(pairs), lambda x: F.struct(x["k"], value(x["v"]))))
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """(file, line, timestamp, pid, module, level, prefix, props, trace): lines without the separator belong to the entry before."""
-    run = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("start", F.contains("value", F.lit(SEPARATOR))).withColumn("entry", F.sum(F.col("start").cast("int")).over(run))
-    grouped = marked.where("entry > 0").groupBy("file", "entry").agg(
-        F.min("line").alias("line"), F.max(F.when(F.col("start"), F.col("value"))).alias("head"),
+    """(file, block, line, timestamp, pid, module, level, prefix, props, trace): lines without the separator belong to the entry before.
+
+    line is the number of an entry's first line in its file, block where it is. An entry
+    that a block leaves open goes on in the next, so a file is read by as many tasks as it has blocks.
+    """
+    start = F.contains("value", F.lit(SEPARATOR))
+    counted = running_sums(lines, ["file"], "block", ["at"], {"line": F.lit(1), "entry": start.cast("int")})
+    marked = counted.where("entry > 0 and value <> ''").withColumn("start", start)
+    grouped = marked.groupBy("file", "entry").agg(
+        F.min("line").alias("line"), F.min("block").alias("block"), F.max(F.when(F.col("start"), F.col("value"))).alias("head"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("start"), F.struct("line", "value")))), lambda x: x["value"]), "\n").alias("trace"),
     )
     parts = F.split("head", SEPARATOR)
     message = F.get(parts, F.lit(4))
     return grouped.select(
-        "file", "line", F.try_to_timestamp(F.get(parts, F.lit(0))).alias("timestamp"), F.get(parts, F.lit(1)).try_cast("long").alias("pid"), F.get(parts, F.lit(2)).alias("module"),
+        "file", "block", "line", F.try_to_timestamp(F.get(parts, F.lit(0))).alias("timestamp"), F.get(parts, F.lit(1)).try_cast("long").alias("pid"), F.get(parts, F.lit(2)).alias("module"),
         F.get(parts, F.lit(3)).alias("level"), F.btrim(F.regexp_replace(message, _PAIR + r"(,\s*)?", "")).alias("prefix"), properties(message).alias("props"), F.nullif("trace", F.lit("")).alias("trace"),
     )
 
@@ -91,13 +103,11 @@ def metrics(log: DataFrame) -> DataFrame:
     worker; the others are numbered as they appear. A process works on the release that
     it named last.
     """
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    e = log.withColumn("kind", kind(log)).withColumn("run", F.sum((F.coalesce(F.col("kind") == "task start", F.lit(False))).cast("int")).over(order))
-    last = e.groupBy("file").agg(F.max("run").alias("run"))
-    e = e.join(last, ["file", "run"], "left_semi")
-    own = Window.partitionBy("file", "pid").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    e = log.withColumn("kind", kind(log))
+    began = e.where("kind = 'task start'").groupBy(F.col("file").alias("of")).agg(F.max("line").alias("began"))
+    e = e.join(began, e["file"] == began["of"], "left").where("began is null or line >= began").drop("of", "began")
     named = F.coalesce(F.col("props")["release"], F.nullif(F.regexp_extract(F.coalesce(F.col("props")["file"], F.lit("")), r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    e = e.withColumn("release", F.last(named, ignorenulls=True).over(own))
+    e = last_known(e, ["file", "pid"], "block", ["line"], "release", named)
     workers = e.groupBy("file", "pid").agg(F.min("line").alias("seen"))
     workers = workers.withColumn("worker", F.dense_rank().over(Window.partitionBy("file").orderBy("seen")) - 1)
     e = e.join(workers, ["file", "pid"]).withColumn("worker", F.when(F.col("worker") > 0, F.col("worker")))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayledger.functions.stats import COLUMNS, SCHEMA
 from dayledger.operators.checks import canonical, same_rows, unknown_values
+from dayledger.sources.commits import read_days, replace_days
 
 _own_dirs: dict[str, str] = {}
 
@@ -22,10 +27,19 @@ def shared_path(spark: SparkSession) -> str:
         sc = spark.sparkContext
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="dayledger-"))
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="dayledger-")
+        root = _own_dirs[sc.applicationId]
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df by way of Parquet files in the shared folder, so it is computed once and its lineage ends."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,35 +54,39 @@ def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_statistics(spark: SparkSession, *paths: str, aliases: DataFrame | None = None, domain: DataFrame | None = None) -> DataFrame:
-    """Statistics files of one schema, as one table, with platforms under their canonical names.
+    """Statistics tables of one schema, as one table, with platforms under their canonical names.
 
-    With a domain (a column ``value``), platforms that it lacks are an error.
+    Paths are tables of write_statistics() or plain Parquet files. With a domain (a column ``value``), platforms that it lacks are an error.
     """
-    df = spark.read.schema(SCHEMA).parquet(*paths)
+    df = reduce(lambda a, b: a.unionByName(b), [read_days(spark, path, SCHEMA, "day") for path in paths])
     df = (canonical(df, "platform", aliases) if aliases is not None else df).select(*COLUMNS)
     if domain is not None and (odd := unknown_values(df, "platform", domain).orderBy("value").limit(10).collect()):
         raise ValueError(f"unknown platforms: {', '.join(r.value for r in odd)}")
     return df
 
 
-def read_extract(spark: SparkSession, path: str, schema: T.StructType, platform: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, schema: T.StructType, platform: str | None = None, aliases: DataFrame | None = None, day: str = "day") -> DataFrame:
     """A stored extract in the columns of schema, with platforms under their canonical names; columns that its files lack are null."""
-    df = spark.read.schema(schema).parquet(path)
+    df = read_days(spark, path, schema, day)
     return canonical(df, platform, aliases).select(*schema.names) if aliases is not None and platform else df
 
 
-def write_statistics(stats: DataFrame, path: str) -> None:
-    """Replaces the days that stats holds and leaves the others; partitioned by start_date.
+def by_day(stats: DataFrame) -> DataFrame:
+    """Statistics with the column that their tables are partitioned by."""
+    return stats.select(*COLUMNS, F.col("start_date").alias("day"))
+
 
-    Rows are dealt by day, so that a day is one file; days are small after aggregation.
+def write_statistics(stats: DataFrame, path: str, done: list[str] = (), source: str | None = None) -> list[str]:
+    """Replaces the days that stats holds and leaves the others; readers see all of it or none (see commits). Returns the days.
+
+    A day is as many files as its size asks for. done are days to be marked even if they have no row.
     """
-    out = stats.select(*COLUMNS).withColumn("day", F.col("start_date")).repartition("day")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return replace_days(by_day(stats), path, "day", done, source)
 
 
-def write_extract(df: DataFrame, path: str, day: str) -> None:
-    """A filtered extract, partitioned by day; days are replaced, not the table."""
-    df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def write_extract(df: DataFrame, path: str, day: str, done: list[str] = (), source: str | None = None) -> list[str]:
+    """A filtered extract, by day: days are replaced, not the table, in one step; a large day is dealt over many tasks."""
+    return replace_days(df, path, day, done, source)
 
 
 def copy_statistics(stats: DataFrame, path: str) -> bool:
@@ -84,10 +102,32 @@ def copy_statistics(stats: DataFrame, path: str) -> bool:
     return True
 
 
-def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, digest, bytes): SHA-256 of each file, computed where it is read. A file is one value, so it can't have 2 GB or more."""
+def _streamed_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of files read piece by piece."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            store, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as stream:
+                while piece := stream.read(1 << 24):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": pdf["path"], "digest": digests, "bytes": pdf["bytes"]})
+
+
+def file_digests(spark: SparkSession, pattern: str, large: int = 1 << 30) -> DataFrame:
+    """(path, digest, bytes): SHA-256 of each file, computed where it is read.
+
+    A file of ``large`` bytes or more, which as one value would end at 2 GB, is read in pieces of 16 MB by
+    one Python task; its store must be one that pyarrow opens (local files, HDFS, S3, GCS).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
-    return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+    small = files.where(F.col("length") < large).select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+    listed = files.select("path", F.col("length").alias("bytes")).where(F.col("bytes") >= large)
+    return small.unionByName(listed.repartition("path").mapInPandas(_streamed_digests, "path string, digest string, bytes long"))
 
 
 def text_row_counts(spark: SparkSession, pattern: str, keyword: str = "KEYWORD_") -> DataFrame:

@@ -7,28 +7,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dayledger.functions.stats import merge
+from dayledger.functions.stats import COLUMNS, KEYS, SCHEMA, merge
 from dayledger.operators.profile import profile
 from dayledger.operators.spec import Dataset
-from dayledger.sources.tables import read_statistics, write_statistics
+from dayledger.sources import commits
+from dayledger.sources.tables import by_day
 
 
 def stream_statistics(records: DataFrame, data: Dataset, path: str, checkpoint: str) -> StreamingQuery:
-    """Profiles new record files once and writes each micro-batch's statistics under its own folder.
+    """Profiles new record files once and commits each micro-batch's statistics to the table at path.
 
-    A batch that is run again replaces its folder, so results are exactly once. Counts of
-    one day from several batches add up when they are read with streamed().
+    A batch that is run again replaces its rows, or is passed over if a compaction has
+    taken it in, so results are exactly once. Counts of one day from several batches add
+    up when they are read with streamed().
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_statistics(profile(batch, data), f"{path}/batch={number}")
+        now = commits.state(batch.sparkSession, path)
+        if number > now.through:
+            now.batches[number] = commits.write_days(by_day(profile(batch, data)), path, "day")
+            commits.commit(batch.sparkSession, path, now)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def streamed(spark: SparkSession, path: str) -> DataFrame:
     """Statistics of all batches, merged; means are weighted by count."""
-    return merge(read_statistics(spark, f"{path}/batch=*"), ["start_date", "end_date", "tag", "platform", "category", "column", "entity", "variant", "text"])
+    return merge(commits.read_days(spark, path, SCHEMA, "day", batches=True), KEYS)
+
+
+def compact(spark: SparkSession, path: str) -> list[str]:
+    """Merges the batches so far into the days that they touch, in one step; returns these days.
+
+    Merging is associative, so reading the table gives the same before and after. Other days aren't
+    read. Means stay those of the merge, floored once more at each compaction.
+    """
+    now = commits.state(spark, path)
+    if not now.batches:
+        return []
+    days = sorted({d for folder in now.batches.values() for d in commits.written_days(spark, path, folder, "day")})
+    touched = commits.read_days(spark, path, SCHEMA, "day", batches=True).where(F.col("start_date").isin([F.lit(d).cast("date") for d in days]))
+    folder = commits.write_days(by_day(merge(touched, KEYS).select(*COLUMNS)), path, "day")
+    now.days |= {d: folder for d in commits.written_days(spark, path, folder, "day")}
+    now.through, now.batches = max(now.through, *now.batches), {}
+    commits.commit(spark, path, now)
+    return days
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 100) -> DataFrame:

@@ -6,8 +6,10 @@ from dayledger.functions import stats as st
 from dayledger.functions import text as tx
 from dayledger.operators import checks
 from dayledger.operators import reports as rp
+from dayledger.operators.ordered import last_known, numbered, running_sums
 from dayledger.operators.profile import profile
 from dayledger.operators.spec import CountsWith, Dataset, Duration, ListStats, NullPattern, Rows, TextCounts, ValueCounts
+from dayledger.sources.tables import written
 
 
 def column(spark, values, kind, f):
@@ -144,8 +146,40 @@ def test_summary_keeps_texts_apart(spark):
     got = [tuple(r) for r in rp.summary(profile(table(spark, rows), Dataset((Rows(), TextCounts("t"), Duration("d", "s", "e"))))).collect()]
     texts = {(r[3], r[4], r[5]) for r in got if r[4] is not None}
     assert texts == {("t." + "x" * 70 + "…", "x" * 70 + "a", "1"), ("t." + "x" * 70 + "…", "x" * 70 + "b", "2"), ("t." + "x" * 70, "x" * 70, "1"), ("t.a  b", "a |  b", "1")}
-    plain = [(r[2], r[3], r[5]) for r in sorted((r for r in got if r[4] is None), key=lambda r: r[2])]
-    assert plain == [(i + 1, *x) for i, x in enumerate([("d.count", "4"), ("d.min", "5"), ("d.mean", "5"), ("d.max", "5"), ("d.null_bc_negative", "2"), ("rows", "6"), ("t.is_null", "1"), ("platform.a.rows", "6"), ("platform.a.start_date", "2024-01-01")])]
+    got.sort(key=lambda r: r[2])
+    assert [r[2] for r in got] == list(range(1, 14))
+    plain = [("d.count", "4"), ("d.min", "5"), ("d.mean", "5"), ("d.max", "5"), ("d.null_bc_negative", "2"), ("rows", "6")]
+    by_count = [("t." + "x" * 70 + "…", "2"), ("t." + "x" * 70 + "…", "1"), ("t." + "x" * 70, "1"), ("t.a  b", "1"), ("t.is_null", "1")]
+    assert [(r[3], r[5]) for r in got] == plain + by_count + [("platform.a.rows", "6"), ("platform.a.start_date", "2024-01-01")]
+
+
+def test_numbers_over_ranges(spark):
+    """Rows are numbered over several ranges and uneven groups, with ties and null groups."""
+    rows = [(None if i % 3 == 0 else "ab"[i % 7 == 0], (i * 37) % 100) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(5)
+    parts = []
+
+    def keep(placed):
+        parts.append(placed.select("__part").distinct().count())
+        return written(placed)
+
+    got = numbered(df, [F.desc("x")], "k", ["g"], keep).collect()
+    for g in (None, "a", "b"):
+        own = sorted((r.k, r.x) for r in got if r.g == g)
+        assert [k for k, _ in own] == list(range(1, len(own) + 1)) and [x for _, x in own] == sorted((x for h, x in rows if h == g), reverse=True)
+    assert len(got) == 500 and written(df).count() == 500
+
+
+def test_running_values_by_blocks(spark):
+    rows = [("f", b, i, (b * 10 + i) if i % 4 == 1 and b != 2 else None) for b in range(4) for i in range(6)] + [(None, 0, 0, None), (None, 5, 0, 3)]
+    df = spark.createDataFrame(rows, "k string, b long, i int, v int").repartition(3)
+    sums = {(r.k, r.b, r.i): (r.n, r.s) for r in running_sums(df, ["k"], "b", ["i"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    last = {(r.k, r.b, r.i): r.was for r in last_known(df, ["k"], "b", ["i"], "was", F.col("v")).collect()}
+    for key in ("f", None):
+        n, s, was = 0, 0, None
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            n, s, was = n + 1, s + (r[3] or 0), was if r[3] is None else r[3]
+            assert sums[r[:3]] == (n, s) and last[r[:3]] == was
 
 
 def test_orders(spark):

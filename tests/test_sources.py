@@ -1,15 +1,17 @@
 import hashlib
 import json
+import os
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from dayledger.functions.stats import SCHEMA
+from dayledger.functions.stats import SCHEMA, finalize
 from dayledger.operators.profile import profile
-from dayledger.operators.spec import Dataset, Rows
-from dayledger.sources import logs, records, tables
-from dayledger.streaming import incremental
+from dayledger.operators.spec import Dataset, ListStats, Rows, TextCounts
+from dayledger.sources import commits, logs, records, tables
+from dayledger.sources.tables import written
+from dayledger.streaming import daily, incremental, sightings
 
 
 def write_csv(path, rows, columns):
@@ -64,6 +66,37 @@ def test_logs(spark, tmp_path):
     assert sorted(r.value for r in logs.read_metrics(spark, str(tmp_path / "m")).collect()) == [2.0, 90.0]
 
 
+def test_log_of_many_blocks(spark, tmp_path):
+    """One log in many blocks uses many tasks; entries and what a process named last go on over their bounds."""
+    head = lambda t, pid, text: f"2024-01-02T00:00:{t % 60:02d}︙{pid}︙m︙INFO︙{text}"
+    lines, want, release, workers = [head(0, 1, 'maximum resident-set-size=1, unit="GB"'), head(0, 1, 'running multiprocessor with pid=1, task="t"')], [], {}, {1: None}
+    for i in range(3000):
+        pid = 2 + i % 3
+        workers.setdefault(pid, pid - 1)
+        if i % 400 == pid:
+            release[pid] = f"2024-01-{1 + i // 400:02d}"
+            lines.append(head(i, pid, f'running task="t", release="{release[pid]}", filter="f", worker={pid}'))
+        elif i % 5 == 0:
+            lines.append(head(i, pid, "failed") + "\n\nTraceback\n" + "\n".join(f"  line {k}" for k in range(i % 70)))
+        else:
+            lines.append(head(i, pid, f'maximum resident-set-size={i}, unit="GB"'))
+            want.append((pid, workers[pid], release.get(pid), float(i)))
+    (tmp_path / "x.log").write_text("\n".join(lines) + "\n")
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "8k")
+    try:
+        read = logs.read_lines(spark, str(tmp_path / "x.log"))
+        assert read.rdd.getNumPartitions() > 20
+        entries = written(logs.entries(read))
+        text = "\n".join(lines).split("\n")
+        assert {r.line for r in entries.select("line").collect()} == {i + 1 for i, x in enumerate(text) if "︙" in x}
+        assert {(len(r.trace.split("\n")) - 1) for r in entries.where("prefix = 'failed'").collect()} == {i % 70 for i in range(0, 3000, 5) if i % 400 != 2 + i % 3}
+        got = [(r.pid, r.worker, r.release, r.value) for r in logs.metrics(entries).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset(size)
+
+
 def test_typed_properties(spark):
     text = 'did it a="True", b="", c=1_000, d=2.50, e="x y", a="false", f=_1'
     row = spark.createDataFrame([(text,), ("nothing",)], "m string").select(logs.typed(F.col("m")).alias("p")).collect()
@@ -118,7 +151,7 @@ def test_batches_and_malformed_rows(spark, tmp_path):
     uuids = lambda *a: sorted(r.uuid for r in records.read_batch(spark, str(tmp_path), *a).collect())
     assert uuids(date(2024, 1, 1), 0) == ["2024-01-01/0/0", "2024-01-01/0/1"] and len(uuids("2024-01-01")) == 3 and uuids("2024-01-02", 0) == ["2024-01-02/0/0"]
     found = records.read_batch(spark, str(tmp_path), "2024-01-02").select(records.day_of_file().alias("d")).first().d
-    assert found is None or found == date(2024, 1, 2)
+    assert found == date(2024, 1, 2)
     bad = tmp_path / "bad.csv"
     write_csv(bad, [BASE], list(records.FIELDS))
     bad.write_text(bad.read_text() + "only,three,fields\n")
@@ -138,6 +171,112 @@ def test_digests_and_manifest(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.bin").write_bytes(b"x")
     assert tables.file_digests(spark, str(tmp_path / "f")).first().digest == hashlib.sha256(b"x").hexdigest()
+    with open(tmp_path / "f" / "large.bin", "wb") as f:  # more than one value can hold; a hole on the disk
+        f.seek((1 << 31) + 5)
+        f.write(b"end")
+    want = hashlib.sha256()
+    for _ in range(1 << 7):
+        want.update(bytes(1 << 24))
+    want.update(bytes(5) + b"end")
+    found = {r.bytes: r.digest for r in tables.file_digests(spark, str(tmp_path / "f")).collect()}
+    assert found == {1: hashlib.sha256(b"x").hexdigest(), (1 << 31) + 8: want.hexdigest()}
+    (tmp_path / "f" / "large.bin").unlink()
     (tmp_path / "m.json").write_text(json.dumps({"releases": {"2024-01-02": {"batch_count": 3, "total_rows": 9}}}))
     row = tables.read_manifest(spark, str(tmp_path / "m.json")).first()
     assert (row.release, row.batch_count, row.total_rows, row.sha256) == (date(2024, 1, 2), 3, 9, None)
+
+
+def test_refresh_shows_at_once(spark, tmp_path, monkeypatch):
+    """A run that stops after its write leaves readers with what was there; the next one goes on."""
+    df = spark.createDataFrame([(date(2024, 1, d), "p") for d in (1, 2, 3)], "day date, platform string")
+    data, path = Dataset((Rows(),)), str(tmp_path / "stats")
+    days = lambda: sorted(r.start_date.day for r in incremental.combined(spark, path).collect())
+    incremental.refresh(df.where("day = date'2024-01-01'"), data, path)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(commits, "commit", stop)
+    with pytest.raises(RuntimeError, match="stopped"):
+        incremental.refresh(df, data, path)
+    monkeypatch.undo()
+    assert days() == [1] and len(commits.tidy(spark, path)) == 1 and days() == [1]
+    assert [d.day for d in incremental.refresh(df, data, path)] == [2, 3] and days() == [1, 2, 3]
+    old = commits.state(spark, path)
+    tables.write_statistics(incremental.combined(spark, path).where("start_date = date'2024-01-02'").withColumn("count", F.lit(9).cast("long")), path)
+    assert sorted((r.start_date.day, r["count"]) for r in incremental.combined(spark, path).collect()) == [(1, 1), (2, 9), (3, 1)]
+    with pytest.raises(Exception, match="exist"):  # a writer that began from an older state
+        commits.commit(spark, path, old)
+
+
+def test_large_day_is_dealt(spark, tmp_path):
+    """A day of a hundred times the others' rows is written by many tasks, the others by few."""
+    df = spark.range(0, 104_000, 1, 30).select(F.when(F.col("id") < 100_000, F.lit("2024-01-05")).otherwise(F.concat(F.lit("2024-01-0"), (F.col("id") % 4 + 1).cast("string"))).cast("date").alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("platform"))
+    path, size = str(tmp_path / "e"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        assert tables.write_extract(df, path, "day") == [f"2024-01-0{i}" for i in range(1, 6)]
+    finally:
+        spark.conf.unset(size)
+    stored = tables.read_extract(spark, path, df.schema)
+    files = {r.day.day: r.n for r in stored.groupBy("day").agg(F.count_distinct("_metadata.file_path").alias("n")).collect()}
+    assert files[5] >= 10 and all(files[i] == 1 for i in range(1, 5)) and stored.count() == 104_000
+
+
+def test_second_refresh_reads_nothing(spark, tmp_path):
+    spark.createDataFrame([(date(2024, 1, d), "p") for d in (1, 2)], "day date, platform string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    data, path = Dataset((Rows(),)), str(tmp_path / "stats")
+    read = lambda: spark.read.schema("day date, platform string").parquet(str(tmp_path / "in"))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("refresh"))
+    assert len(incremental.refresh(read(), data, path)) == 2
+    spark.sparkContext.setJobGroup("refresh", "")
+    try:
+        assert incremental.refresh(read(), data, path) == [] and jobs() == 0
+        assert incremental.refresh(read().where("platform = 'p'"), data, path) == [] and jobs() > 0  # another plan
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.createDataFrame([(date(2024, 1, 3), "p")], "day date, platform string").write.mode("append").parquet(str(tmp_path / "in"))
+    assert incremental.refresh(read(), data, path) == [date(2024, 1, 3)]
+
+
+def test_compacted_stream(spark, tmp_path):
+    """Compacted and plain statistics are equal; a batch that comes again after the compaction counts once."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    data, schema = Dataset((Rows(), ListStats("words"))), "day date, platform string, words array<string>"
+    rows = lambda k: spark.createDataFrame([(date(2024, 1, 1 + i % 3), "p", ["a"] * (i % k)) for i in range(10)], schema).coalesce(1)
+    run = lambda: daily.stream_statistics(daily.file_stream(spark, source, rows(2).schema, 1), data, out, str(tmp_path / "check")).awaitTermination()
+    rows(2).write.mode("append").parquet(source)
+    run()
+    rows(3).write.mode("append").parquet(source)
+    run()
+    told = lambda: sorted(map(str, daily.streamed(spark, out).collect()))
+    plain, before = told(), commits.state(spark, out)
+    assert plain == sorted(map(str, finalize(profile(spark.read.schema(schema).parquet(source), data)).collect())) and len(before.batches) == 2
+    assert daily.compact(spark, out) == ["2024-01-01", "2024-01-02", "2024-01-03"] and daily.compact(spark, out) == []
+    assert told() == plain and len(commits.tidy(spark, out)) == 2 and told() == plain
+    # The last batch comes again, as after a failure before the stream's own commit.
+    last = max(f for f in os.listdir(tmp_path / "check" / "commits") if not f.startswith("."))
+    os.remove(tmp_path / "check" / "commits" / last)
+    (tmp_path / "check" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    run()
+    assert told() == plain
+    rows(4).write.mode("append").parquet(source)
+    run()
+    assert len(commits.state(spark, out).batches) == 1 and told() != plain
+
+
+def test_sightings(spark, tmp_path):
+    """A refresh of one day reads one day; what was seen equals the full count, late days and replaced ones included."""
+    df = spark.createDataFrame([(date(2024, 1, d), p, t) for d, p, t in ((1, "a", "x"), (2, "b", None), (2, "a", "y"), (3, "c", "x"))], "day date, platform string, t string")
+    data, path, seen = Dataset((Rows(), TextCounts("t"))), str(tmp_path / "stats"), str(tmp_path / "seen")
+    told = lambda: {(k, v): d.day for k, v, d in map(tuple, sightings.read_sightings(spark, seen).collect())}
+    for days, add in (("2", ["2024-01-02"]), ("2, 3", ["2024-01-03"]), ("1, 2, 3", ["2024-01-01"]), ("1", [])):
+        incremental.refresh(df.where(f"dayofmonth(day) in ({days})"), data, path)
+        assert sightings.refresh_sightings(spark, path, seen) == add
+    want = {("platform", "a"): 1, ("platform", "b"): 2, ("platform", "c"): 3, ("text.t", "x"): 1, ("text.t", "y"): 2}
+    assert told() == want
+    sightings.compact_sightings(spark, seen)
+    assert told() == want and len(commits.state(spark, seen).batches) == 1
+    tables.write_statistics(profile(df.where("day = date'2024-01-01'").withColumn("platform", F.lit("new")), data), path)
+    assert sightings.refresh_sightings(spark, path, seen) == ["2024-01-01"] and told() == want | {("platform", "new"): 1}
+    assert {r.kind: r.n for r in sightings.approximate_counts(sightings.sketches(df, "day", {"p": "platform", "t": "t"})).collect()} == {"p": 3, "t": 2}
