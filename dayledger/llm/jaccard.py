@@ -77,16 +77,25 @@ class Bands:
         return [(band, 0, self.most(n)), *low]
 
 
+def _places(shingles: np.ndarray, count: int) -> np.ndarray:
+    """The segment of each shingle; in order, as sorted hashes are cut into stretches of one width."""
+    return ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+
+
+def _held(shingles: np.ndarray, count: int) -> int:
+    """In how many segments a set has shingles."""
+    at = _places(shingles, count)
+    return 1 + int(np.count_nonzero(at[1:] != at[:-1]))
+
+
 class Segments:
     """A set's segments in the join of a band."""
 
     def __init__(self, shingles: np.ndarray, band: int, count: int):
-        at = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        at = _places(shingles, count)
         self.starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         self.sizes = np.diff(np.r_[self.starts, len(at)])
-        self.tokens = mixed(shingles[order] + np.uint64(0x632BE59BD9B4E019))
+        self.tokens = mixed(shingles + np.uint64(0x632BE59BD9B4E019))
         self.sums = np.add.reduceat(self.tokens, self.starts)
         self.place = mixed(at[self.starts] * np.uint64(1024) + np.uint64(band))
 
@@ -127,11 +136,10 @@ def _describe(width: int, bands: Bands):
                     continue
                 held, asked = [0, 0], []
                 for band, role, most in bands.joins(len(s)):
-                    parts = Segments(s, band, bands.segments(band))
-                    held[role] = len(parts.starts)
-                    which = parts.widened(most)
-                    if which is not None:
-                        asked += parts.keys()[which].view(np.int64).tolist()
+                    held[role] = _held(s, bands.segments(band))
+                    if held[role] <= most:
+                        parts = Segments(s, band, bands.segments(band))
+                        asked += [(band, k) for k in parts.keys()[parts.widened(most)].view(np.int64).tolist()]
                 band = bands.of(len(s))
                 out.append((len(s), *_class_of(s), band, int(bands.edges[band]) - 1, *held, asked or None))
             yield pd.concat([pdf[["doc_id", "id", "th"]], pd.DataFrame(out, columns=["n", "cls", "c", "band", "below", "own", "low", "asked"])], axis=1)
@@ -173,7 +181,7 @@ def _blocks(width: int, bands: Bands, buckets: int, copied, asked):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, first, held, k, c = WordHashes(), copied.value, 0, [], []
-        table = asked.value if asked is not None else None
+        table, asking = asked.value if asked is not None else (None, ())
         for pdf in batches:
             for id_, th, text in zip(pdf["id"].tolist(), pdf["th"].tolist(), pdf["text"]):
                 s = shingle_set(words.of(split_words(text)), width)
@@ -187,11 +195,11 @@ def _blocks(width: int, bands: Bands, buckets: int, copied, asked):
                     keys, which = [parts.keys()], parts.widened(most)
                     if which is not None:
                         keys.append(parts.deletions(which))
-                    if table is not None:
+                    if band in asking:
                         near = parts.deletions(np.ones(len(parts.sizes), bool))
                         bit = (near & np.uint64(8 * len(table) - 1)).view(np.int64)
                         keys.append(near[table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1])
-                    keys = np.unique(np.concatenate(keys))
+                    keys = np.concatenate(keys) if len(keys) > 1 else keys[0]
                     k.append(keys)
                     c.append((number | role, len(keys)))
                     held += len(keys)
@@ -248,7 +256,7 @@ class JaccardJoin(NearDuplicates):
         self.bands = Bands(percent, slack)
         self.texts = docs.select(docs["doc_id"], order_id(docs["doc_id"]).alias("id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text"))
         with Scratch(self.spark) as scratch:
-            every = self.texts.mapInPandas(_describe(width, self.bands), "doc_id long, id long, th long, n long, cls binary, c long, band int, below long, own long, low long, asked array<long>")
+            every = self.texts.mapInPandas(_describe(width, self.bands), "doc_id long, id long, th long, n long, cls binary, c long, band int, below long, own long, low long, asked array<struct<band:int,k:long>>")
             every = scratch(every)
             self.rows = materialise(every.select("doc_id", "id", "th", "n", "cls"))
             facts = [F.min(x).alias(x) for x in ("c", "n", "band", "below", "own", "low", "asked")]
@@ -256,10 +264,11 @@ class JaccardJoin(NearDuplicates):
             self.classes = materialise(some.select("cls", "k.*", *[x for x in some.columns if x not in ("cls", "k")]))
             self.labels = self._labels(scratch)
 
-    def _asked(self) -> np.ndarray | None:
-        """A Bloom filter of the keys whose neighbourhoods are asked for, of 16 MB at most; None if there are none."""
-        keys = self.classes.where("asked is not null").select(F.explode("asked").alias("k"))
-        n = keys.count()
+    def _asked(self) -> tuple[np.ndarray, set[int]] | None:
+        """A Bloom filter of the keys whose neighbourhoods are asked for, of 16 MB at most, and their bands; None if there are none."""
+        keys = self.classes.where("asked is not null").select(F.explode("asked").alias("x")).select("x.band", "x.k")
+        told = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each band
+        n = sum(r.n for r in told)
         if not n:
             return None
         bits = min(27, max(16, (64 * n).bit_length()))
@@ -267,7 +276,7 @@ class JaccardJoin(NearDuplicates):
         words = low.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
         table = np.zeros(1 << (bits - 6), np.int64)
         table[words["w"].to_numpy()] = words["v"].to_numpy()
-        return table.view(np.uint8)
+        return table.view(np.uint8), {r.band for r in told}
 
     def _meetings(self, scratch: Scratch) -> DataFrame:
         sc = self.spark.sparkContext
@@ -298,10 +307,19 @@ class JaccardJoin(NearDuplicates):
         bound = hot.join(facts, "c").where(f"if(role = 0, own <= n * {100 - p} div {p}, low <= (n + below) * {100 - p} div {100 + p})").select("key", "role", "cls")
         bound = scratch(bound)
         often = bound.groupBy("cls").agg(F.count(F.lit(1)).alias("keys"))
-        centre = bound.join(often, "cls").groupBy("key").agg(F.max(F.struct("keys", "cls")).alias("m"), F.min("role").alias("role")).where("role = 0").select("key", F.col("m.cls").alias("a"))
-        spokes = bound.select("key", F.col("cls").alias("b")).join(centre, "key").where("a <> b").select("a", "b").distinct()
+        heads = bound.join(often, "cls").groupBy("key").agg(F.max(F.struct("keys", "cls")).alias("m"), F.min("role").alias("role")).where("role = 0").select("key", F.col("m.cls").alias("a"))
+        chains = bound.select("key", F.col("cls").alias("b")).join(heads, "key").where("a <> b").select("a", "b").distinct()
+        # Sets that dear keys connect have one centre, so no set is compared around two.
+        groups = scratch(components(scratch(chains)).join(often, F.col("v") == F.col("cls")).select("cls", "label", "keys"))
+        centre = groups.groupBy("label").agg(F.max(F.struct("keys", "cls")).alias("m")).select("label", F.col("m.cls").alias("a"))
+        spokes = groups.select("label", F.col("cls").alias("b")).join(centre, "label").where("a <> b").select("a", "b")
         return scratch(pairs), scratch(spokes)
 
+    @staticmethod
+    def _held(flat: DataFrame) -> DataFrame:
+        """Shingles in differences of sets that links don't join; the others tell nothing of a pair that is apart."""
+        return flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("c", "t", "f")
+
     def _labels(self, scratch: Scratch) -> DataFrame:
         pairs, spokes = self._candidates(scratch)
         # First each set's best partner and the pairs with centres, then what these leave apart.

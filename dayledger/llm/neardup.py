@@ -352,7 +352,7 @@ class NearDuplicates:
         owed = ((F.size("diff") - F.lit(k) * F.col("n")) / 2).alias("owed")
         flat = rows.select("c", "x", "label", "inner", need.alias("need"), owed, F.explode("diff").alias("t"))
         # A shingle that no other difference has meets none; such shingles come first in the order.
-        held = flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        held = self._held(flat)
         shared = flat.join(held, ["c", "t"]).groupBy("c", "x").agg(F.first("label").alias("label"), F.first("inner").alias("inner"), F.first("need").alias("need"), F.first("owed").alias("owed"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
         shared = shared.select("c", "x", "label", "inner", "owed", F.size("s").alias("all"), (F.size("s") - F.col("need")).alias("last"), F.posexplode("s").alias("at", "s"))
         tokens = shared.select("c", F.col("s.t").alias("t"), "x", "label", "inner", "owed", (F.col("all") - F.col("at")).alias("left"), (F.col("at") <= F.col("last")).alias("head"))
@@ -364,6 +364,11 @@ class NearDuplicates:
         both = met.join(own("a"), ["c", "a"]).join(own("b"), ["c", "b"])
         return both.select("a", "na", "da", "b", "nb", "db").mapInPandas(_close(self.percent), "a binary, b binary").distinct()
 
+    @staticmethod
+    def _held(flat: DataFrame) -> DataFrame:
+        """(c, t, f): shingles that several differences have."""
+        return flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+
     @staticmethod
     def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs that no links join."""
