@@ -130,7 +130,15 @@ def leaf_blocks(page: str, labelled: bool = False):
             ends[tag] = (m.start() if m else size, close + 1 if close >= 0 else size)
         return ends[tag]
 
-    at, size = 0, len(page)
+    def break_after(at: int) -> int:
+        """Where the next tag of _BREAKS from at on begins; size if there is none."""
+        nonlocal broken
+        if broken < at:
+            m = _BREAKS.search(page, at)
+            broken = m.start() if m else size
+        return broken
+
+    at, size, broken = 0, len(page), -1
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -152,7 +160,7 @@ def leaf_blocks(page: str, labelled: bool = False):
             continue
         if tag in RAW or tag in HIDDEN and not m[0].endswith("/>"):
             start, after = end_of(tag, at)
-            if tag in RAW or start < size and not (tag == "svg" and _BREAKS.search(page, at, start)):
+            if tag in RAW or start < size and not (tag == "svg" and break_after(at) < start):
                 at = after
             add(" ")
             continue

@@ -201,6 +201,10 @@ def test_depth_costs_little(field):
         began = time.process_time()
         html.extract(field, html.Features(), page)
         assert time.process_time() - began < 20
+    for page in ("<svg>" * 100_000 + "<p>x</p></svg>", "<svg><p></svg>" * 50_000):
+        began = time.process_time()
+        html.leaf_blocks(page)
+        assert time.process_time() - began < 5
 
 
 def test_hidden_elements():
