@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from dayledger.llm.common import NULL_ID, materialise, order_id
 
 _SIZE = 200_000
-#: Pre-tokens of more bytes aren't broadcast, however frequent.
-_LONGEST = 64
 _PROBES = ("a b", "  two  words ", "don't\tstop\r\n10 20", "x\x0by\x0cz", "É ç 日本 👍 ", "\n\n", "a.b, c-d (e)\n  f", "The the THE")
 
 
@@ -105,7 +103,7 @@ def _frequencies(head):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head: int = 1 << 18) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head: int = 1 << 18, head_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the library on the whole text without begin, end or added special
@@ -119,16 +117,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     texts = docs.select(order_id(docs["doc_id"]).alias("id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text"))
     units = texts.select("text").mapInPandas(_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = materialise(units.mapInPandas(_pieces(tokenizer_path), "unit binary, n long, pieces int"))
-    # Units by powers of two of their count: the highest powers that head units have at most.
-    short = units.where(F.octet_length("unit") <= _LONGEST)
-    sizes = short.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("units")).collect()  # 64 rows at most
-    held, least = 0, 64
-    for power, count in sorted(sizes, reverse=True):
-        held += count
-        if held > head:
+    # Units by powers of two of their count: the highest powers that hold head units and head_bytes of them at most.
+    sizes = units.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("units"), F.sum(F.octet_length("unit")).alias("bytes")).collect()  # 64 rows at most
+    held, held_bytes, least = 0, 0, 64
+    for power, count, size in sorted(sizes, reverse=True):
+        held, held_bytes = held + count, held_bytes + size
+        if held > head or held_bytes > head_bytes:
             break
         least = power
-    frequent = short.where(F.col("n") >= F.lit(float(2**least))).select("unit", "pieces").toArrow()  # at most head rows of _LONGEST bytes
+    frequent = units.where(F.col("n") >= F.lit(float(2**least))).select("unit", "pieces").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent["unit"].to_pylist(), frequent["pieces"].to_pylist())))
     rows = texts.mapInPandas(_frequencies(sent), "id long, th long, n_bytes long, known long, unit binary, n long")
     joined = rows.join(units.select("unit", "pieces"), "unit", "left")
