@@ -9,7 +9,7 @@ many repositories, is a copied example. Base spans stay either way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayledger.llm.common import materialise, order_id, spread_hot
@@ -70,7 +70,7 @@ def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int =
     it. Live opaque tokens outside base spans are spans of kind owned; n_copied counts the
     other opaque tokens there, n_base_live the base spans whose values are live. A null
     owner or repository is one of its own. Texts are read whole; one with many matches takes
-    time in proportion to them, but that each opaque token is compared with its base spans. Rows alike in doc_id and text get the same result
+    time in proportion to them and a sort. Rows alike in doc_id and text get the same result
     each; other columns, whatever their names, play no part.
     """
     text = F.coalesce(docs["text"], F.lit(""))
@@ -81,9 +81,14 @@ def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int =
         F.filter(spans(text, 3, OPAQUE), lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]")).alias("opaque"),
     )
     rows = materialise(rows)
-    inside = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    told = F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("told"))), F.transform("opaque", lambda x: F.struct(x.alias("x"), (~inside(x)).alias("told"))))
-    cand = rows.select("id", "th", "owner", "repository", F.explode(told).alias("c")).select("id", "th", "owner", "repository", "c.x", "c.told").withColumn("h", F.unhex(F.md5(F.col("x.token").cast("binary"))))
+    marked = lambda spans, base: F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(base).alias("base")))
+    cand = rows.select("id", "th", "owner", "repository", F.explode(F.concat(marked(F.col("base"), True), marked(F.col("opaque"), False))).alias("c")).select("id", "th", "owner", "repository", "c.x", "c.base")
+    # A token overlaps a base span that begins before it and ends after its start, or one that begins inside it.
+    by_start = Window.partitionBy("id", "th").orderBy("x.start")
+    before, later = by_start.rangeBetween(Window.unboundedPreceding, 0), by_start.rangeBetween(0, Window.unboundedFollowing)
+    ended, begins = F.max(F.when(F.col("base"), F.col("x.end"))).over(before), F.min(F.when(F.col("base"), F.col("x.start"))).over(later)
+    clear = ~F.coalesce(ended > F.col("x.start"), F.lit(False)) & ~F.coalesce(begins < F.col("x.end"), F.lit(False))
+    cand = cand.withColumn("told", F.col("base") | clear).withColumn("h", F.unhex(F.md5(F.col("x.token").cast("binary"))))
     held = materialise(cand.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories")))
     judged, held = spread_hot(cand.where("told").select("id", "th", "h", "x"), held, "h", "n", ["id", "th"])
     judged = judged.join(held, ["h", "salt"]).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
