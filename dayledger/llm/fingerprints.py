@@ -9,6 +9,8 @@ similarity. The bid is a function of (word, t, k), so it stands for the winner.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,60 @@ def bid(h: Column, k: int, log_weight: Column) -> Column:
     return log_c - r * (t - b + F.lit(1.0))
 
 
-def _run_bits(ids: DataFrame, run: int) -> int:
-    """How many low bits of ids, dealt as they are, number about ``run`` rows."""
+#: Ranges of ids of about equal rows, at most.
+_RANGES = 1 << 12
+
+
+def _ranges(ids: DataFrame, run: int) -> list[tuple[int, int, int]]:
+    """(lowest id, bits, first bucket) of ranges of the ids, in order.
+
+    Ranges are cut at quantiles of the ids, so each has about as many rows however
+    unevenly ids lie. A range of several ids has a bucket for each stretch of
+    2**bits ids, about ``run`` rows; an id with many rows, as null may be, is a range by itself,
+    whose buckets are told by the -bits highest bits of the texts' hashes.
+    """
     known = F.when(F.col("id") != NULL_ID, F.col("id"))
-    low, high, n = ids.agg(F.min(known), F.max(known), F.count(known)).first()
-    width = 1 if not n else (high - low + 1) * run // n
-    return min(62, max(0, width.bit_length() - 1))
+    n, nulls, low, high = ids.agg(F.count(known), F.count_if(F.col("id") == NULL_ID), F.min(known), F.max(known)).first()
+    pieces = []  # (lowest, highest, rows)
+    if n:
+        count = min(_RANGES, max(1, n // (4 * run)))
+        cuts = ids.agg(F.percentile_approx(known, [k / count for k in range(1, count)], 1 << 14)).first()[0] if count > 1 else []
+        repeats = Counter([low, *cuts])
+        starts = sorted(repeats)
+        for start, end in zip(starts, [*(s - 1 for s in starts[1:]), high]):
+            rows = n // count + 1
+            if repeats[start] > 1:
+                pieces.append((start, start, (repeats[start] - 1) * rows))
+                start += 1
+            if start <= end:
+                pieces.append((start, end, rows))
+    if nulls:
+        pieces.append((NULL_ID, NULL_ID, nulls))
+    out, first = [], 0
+    for low, high, rows in pieces:
+        if low == high:
+            bits = -max(0, (rows // run).bit_length() - 1)
+            out.append((low, bits, first))
+            first += 1 << -bits
+        else:
+            bits = max(0, ((high - low + 1) * run // rows).bit_length() - 1)
+            out.append((low, bits, first))
+            first += (high >> bits) - (low >> bits) + 1
+    return out or [(0, 0, 0)]
+
+
+def _bucket(ranges: list[tuple[int, int, int]]) -> Column:
+    """The bucket of (id, th); buckets follow each other as ids and hashes do."""
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    lows, step = [low for low, _, _ in ranges], 64
+    last = lambda cuts: F.size(F.filter(cuts, lambda x: x <= F.col("id"))) - 1
+    block = F.greatest(last(numbers(lows[::step])), F.lit(0))
+    at = block * step + F.greatest(last(F.slice(numbers(lows), block * step + 1, F.lit(step))), F.lit(0))
+    x = F.struct(*[F.get(numbers(v), at).alias(c) for c, v in zip(("low", "bits", "first"), zip(*ranges))])
+    right = lambda v, n: F.call_function("shiftright", v, n.cast("int"))
+    many = right(F.col("id"), F.greatest(x["bits"], F.lit(0))) - right(x["low"], F.greatest(x["bits"], F.lit(0)))
+    one = right(F.col("th"), x["bits"] + 64) + F.call_function("shiftleft", F.lit(1).cast("long"), (-x["bits"] - 1).cast("int"))
+    return x["first"] + F.when(x["bits"] >= 0, many).otherwise(one)
 
 
 def _heads(base: DataFrame) -> DataFrame:
@@ -75,14 +125,15 @@ def fingerprint(docs: DataFrame, samples: int = 48, run: int = 64) -> DataFrame:
     whole. Repeated ids follow each other by a hash of the text, a null id comes last.
     Other columns of docs, whatever their names, play no part; an empty table gives none.
 
-    The texts are shuffled once, by ranges of ids that hold ``run`` rows on average; words
+    The texts are shuffled once, by ranges of ids that hold about ``run`` rows, however
+    unevenly ids lie (rows alike in id and text stay together); words
     are counted and bids taken within those partitions. A word that weighs the same in
     both texts bids once for both.
     """
     body = F.coalesce(docs["text"], F.lit(""))
-    bits = _run_bits(docs.select(order_id(docs["doc_id"]).alias("id")), run)
+    ranges = _ranges(docs.select(order_id(docs["doc_id"]).alias("id")), run)
     base = docs.select(order_id(docs["doc_id"]).alias("id"), F.xxhash64(body).alias("th"), body.alias("body"))
-    base = base.withColumn("bucket", F.shiftright("id", bits))
+    base = base.withColumn("bucket", _bucket(ranges))
     cols = ["bucket", "id", "th", "body"]
     rows = base.select(*cols, F.lit(0).alias("ghost")).unionByName(_heads(base).select(*cols, F.lit(1).alias("ghost")))
     by_id = Window.partitionBy("bucket").orderBy("ghost", "id", "th")

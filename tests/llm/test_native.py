@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -208,6 +209,33 @@ def test_many_matches(spark):
     assert row.n_assign == 20_000 and row.base == ",".join(found)
 
 
+def test_many_tokens_between_matches(spark):
+    """20,000 opaque tokens between as many base spans, some inside them, in about the time of a sort."""
+    text = "".join(f"secret={'x' * (i % 3 * 9 + 6)}{i:05d} zz{i:020d}yy " for i in range(20_000))
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string"), "source", "doc_id").first()
+    spans = [m.span() for m in BASE[0][0].finditer(text)]
+    own = [m.span() for m in re.finditer(r"zz\d{20}yy", text)]
+    want = sorted([(a, 0, f"assign:{a}:{b}") for a, b in spans] + [(a, 3, f"owned:{a}:{b}") for a, b in own])
+    assert row.n_owned == 20_000 and row.spans == ",".join(x for _, _, x in want)
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan_secrets(odd, "source", "lang").count() == len(ROWS)
     assert secrets.scan_secrets(none, "source", "lang").count() == 0
+
+
+@pytest.mark.parametrize("ids", ["outlier", "late start", "clusters", "null", "equal", "one hot"])
+def test_buckets_of_uneven_ids(spark, ids):
+    """No bucket has over a few times ``run`` rows, whatever ids there are, and buckets are in the order of ids and hashes."""
+    n, run = 20_000, 16
+    i = F.col("i")
+    made = {
+        "outlier": F.when(i == 0, F.lit(2**60)).otherwise(i), "late start": F.when(i == 0, F.lit(1)).otherwise(i + 10**9), "clusters": (i % 7) * 10**15 + i,
+        "null": F.lit(2**63 - 1), "equal": F.lit(5), "one hot": F.when(i % 3 == 0, F.lit(700)).otherwise(i),
+    }[ids]
+    df = spark.range(n).withColumnRenamed("id", "i").select(made.cast("long").alias("id"), F.xxhash64("i").alias("th"))
+    got = df.withColumn("bucket", fingerprints._bucket(fingerprints._ranges(df, run)))
+    sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 16 * run and len(sizes) >= n / run / 8
+    rows = sorted(map(tuple, got.select("bucket", "id", "th").collect()))
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)
