@@ -53,7 +53,8 @@ def _runs(damage: int | None, min_chars: int):
                 if len(held) >= _HELD:
                     yield frame()
                     held.clear()
-        yield frame()
+        if held:
+            yield frame()
 
     return run
 
