@@ -3,33 +3,48 @@
 A source row becomes an array of elements (number of the slot, value, x), which is
 exploded and counted by slot and value, with partial sums before the shuffle; so the
 source is read once whatever the number of declarations, and what is shuffled is the
-result's size rather than the input's. A second, small aggregation over the result
-gives counters that nothing added to their zero.
+result's size rather than the input's. One more element of a row is a mask of the counters
+that it adds to; a group's masks together tell which counters are to show as zero, so
+there is one aggregation.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayledger.functions.stats import COLUMNS
-from dayledger.operators.spec import KINDS, Dataset, Rows, Slot
+from dayledger.functions.stats import COLUMNS, SCHEMA
+from dayledger.operators.spec import KINDS, Dataset, Slot
 
 _BY_VALUE = KINDS[:3]
 
 
+#: Counters in one mask.
+_WORD = 62
+
+
 def _slots(data: Dataset) -> list[tuple[str, Slot]]:
-    """(column, slot) of all specs. The first slot counts all rows of a group; it has no output if no spec has it."""
-    rows = [spec for spec in data.specs if isinstance(spec, Rows)][:1]
+    """(column, slot) of all specs."""
     out = []
-    for spec in rows + [spec for spec in data.specs if not any(spec is r for r in rows)]:
+    for spec in data.specs:
         if not callable(getattr(spec, "slots", None)):
             raise TypeError(f"{spec!r} is no declaration: it has no slots()")
         for slot in spec.slots():
             if bad := {kind for _, kind in slot.outputs} - set(KINDS):
                 raise ValueError(f"{spec!r} has outputs of unknown kinds: {', '.join(sorted(bad))}")
             out.append((spec.column, slot))
-    return out if rows else [("", Slot(())), *out]
+    return out
+
+
+def _hit(slot: Slot, value: str | None) -> Column | None:
+    """Whether a row adds to the slot's counter of a value; None if every row does."""
+    is_value = lambda x: x.isNull() if value is None else x.cast("string").eqNullSafe(F.lit(value))
+    if slot.many is not None:
+        return F.coalesce(F.exists(slot.many, is_value), F.lit(False))
+    tests = [t for t in (slot.when, None if slot.value is None else is_value(slot.value)) if t is not None]
+    return reduce(lambda a, b: a & b, tests) if tests else None
 
 
 def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column | None = None) -> DataFrame:
@@ -48,19 +63,29 @@ def profile(df: DataFrame, data: Dataset, tag: str | None = None, end: Column |
     names, slots = list(keys), _slots(data)
     null = F.lit(None)
     element = lambda k, value, x: F.struct(F.lit(k).alias("k"), (null if value is None else value).cast("string").alias("value"), (null if x is None else x).cast("long").alias("x"))
+    # Counters that show in every group, if only as zero, but for those that all rows add to.
+    must = [(k, v, hit) for k, (_, slot) in enumerate(slots) for v in (slot.known or (() if all(kind in _BY_VALUE for _, kind in slot.outputs) else (None,))) if (hit := _hit(slot, v)) is not None]
+    words = [must[a : a + _WORD] for a in range(0, len(must), _WORD)]
+    mask = lambda word: reduce(lambda a, b: a.bitwiseOR(b), [F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, _, hit) in enumerate(word)])
     single = [element(k, s.value, s.x) if s.when is None else F.when(s.when, element(k, s.value, s.x)) for k, (_, s) in enumerate(slots) if s.many is None]
+    single += [element(-1 - w, None, mask(word)) for w, word in enumerate(words)]
     numbered = lambda k: lambda v: element(k, v, None)
-    added = F.concat(F.array(*single), *[F.transform(s.many, numbered(k)) for k, (_, s) in enumerate(slots) if s.many is not None])
+    arrays = ([F.array(*single)] if single else []) + [F.transform(s.many, numbered(k)) for k, (_, s) in enumerate(slots) if s.many is not None]
+    if not arrays:
+        return df.sparkSession.createDataFrame([], SCHEMA)
+    added = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
     long = rows.select(*[c.alias(k) for k, c in keys.items()], F.explode(added).alias("e")).where("e is not null").select(*names, "e.k", "e.value", "e.x")
-    sums = [F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")]
-    counted = long.groupBy(*names, "k", "value").agg(F.count(F.lit(1)).alias("n"), *sums)
-    # Each group's own counter becomes a zero for every counter that must show.
-    must = [(k, v) for k, (_, slot) in enumerate(slots) if k for v in (slot.known or (() if all(kind in _BY_VALUE for _, kind in slot.outputs) else (None,)))]
-    if must:
-        zero = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).cast("string").alias("value"), F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("long").alias(c) for c in ("s", "lo", "hi")])
-        own = F.array(F.struct("k", "value", "n", "s", "lo", "hi"))
-        filled = counted.select(*names, F.explode(F.when(F.col("k") == 0, F.concat(own, F.array(*[zero(k, v) for k, v in must]))).otherwise(own)).alias("e")).select(*names, "e.*")
-        counted = filled.groupBy(*names, "k", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("k") >= 0, F.col("x"))).alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    if words:
+        counts.append(F.bit_or(F.when(F.col("k") < 0, F.col("x"))).alias("mask"))
+    counted = long.groupBy(*names, "k", "value").agg(*counts)
+    if words:
+        zero = lambda i, k, v: F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(k).alias("k"), F.lit(v).cast("string").alias("value"))
+        every = F.array(*[F.array(*[zero(i, k, v) for i, (k, v, _) in enumerate(word)]) for word in words])
+        none = F.lit(None).cast("long")
+        lacking = F.filter(F.get(every, -1 - F.col("k")), lambda e: e["bit"].bitwiseAND(F.col("mask")) == 0)
+        empty = F.transform(lacking, lambda e: F.struct(e["k"].alias("k"), e["value"].alias("value"), F.lit(0).cast("long").alias("n"), none.alias("s"), none.alias("lo"), none.alias("hi")))
+        counted = counted.select(*names, F.explode(F.when(F.col("k") < 0, empty).otherwise(F.array(F.struct("k", "value", "n", "s", "lo", "hi")))).alias("e")).select(*names, "e.*")
     tell = lambda column, entity, kind: F.struct(F.lit(column).alias("column"), F.lit(entity).cast("string").alias("entity"), F.lit(kind).alias("kind"))
     told = F.array(*[F.array(*[tell(column, *output) for output in slot.outputs]) if slot.outputs else F.slice(F.array(tell("", None, "")), 1, 0) for column, slot in slots])
     out = counted.select(*names, "value", "n", "s", "lo", "hi", F.explode(F.get(told, F.col("k"))).alias("t"))
