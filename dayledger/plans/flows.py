@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayledger.functions.stats import SCHEMA
 from dayledger.operators import checks
 from dayledger.operators.profile import profile
-from dayledger.operators.spec import Dataset, Rows, ValueCounts
+from dayledger.operators.spec import Dataset, Rows, Slot, ValueCounts
 from dayledger.plans import oracle, views
 from dayledger.plans.queries import ORACLES, add
 from dayledger.sources import logs, records, tables
@@ -274,3 +276,45 @@ def sightings_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = sightings.approximate_counts(sightings.sketches(e, "day", {"platform": "platform"})).select(F.col("kind").alias("of"), F.col("n").alias("about"))
     counts = sightings.distinct_values(sightings.read_sightings(spark, seen).where("kind = 'platform'"))
     return counts.join(near, counts["kind"] == near["of"]).select("kind", "n", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near"))
+
+
+@add(
+    "batch_files",
+    "SELECT '2024-01-01' AS release, CAST(NULL AS INT) AS batch, count(*) AS rows, count(DISTINCT part) AS parts FROM H WHERE month(day) % 2 = 0 UNION ALL SELECT '2024-01-02', 1, count(*), count(DISTINCT part) FROM H WHERE month(day) % 2 = 1 AND part % 2 = 1",
+    views.H,
+)
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches of one release, and one batch of another, by the names of their files."""
+    path = tables.shared_path(spark)
+    rows = _statements(spark, sf_dir).withColumns({"month": F.month("day") % 2, "batch": F.col("uuid").cast("long") % 2}).drop("day")
+    for month, release in ((0, "2024-01-01"), (1, "2024-01-02")):
+        for batch in (0, 1):
+            own = rows.where(f"month = {month} and batch = {batch}").drop("month", "batch")
+            own.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/sor-global-{release}-full-{batch:05d}-00000.csv")
+    read = lambda release, batch: records.read_batch(spark, path, release, batch).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("uuid").alias("parts")).select(F.lit(release).alias("release"), F.lit(batch).cast("int").alias("batch"), "rows", "parts")
+    return read("2024-01-01", None).unionByName(read("2024-01-02", 1))
+
+
+@dataclass(frozen=True)
+class _Large:
+    """A declaration of one's own: rows above a bound, and the measure of the whole numbers below the values."""
+
+    column: str
+    bound: float
+
+    def slots(self) -> list[Slot]:
+        return [Slot((("large", "count"),), when=F.col(self.column) > self.bound), Slot(((None, "measure"),), x=F.floor(self.column))]
+
+
+_KEYS = """SELECT day AS start_date, day AS end_date, CAST(NULL AS VARCHAR) AS tag, CAST(platform AS VARCHAR) AS platform, CAST(NULL AS VARCHAR) AS category, 'value' AS "column" """
+
+
+@add(
+    "profile_own_spec",
+    f"""{_KEYS}, 'large' AS entity, CAST(NULL AS VARCHAR) AS variant, CAST(NULL AS VARCHAR) AS text, count(*) FILTER (value > 50) AS count, CAST(NULL AS BIGINT) AS min, CAST(NULL AS BIGINT) AS mean, CAST(NULL AS BIGINT) AS max FROM E GROUP BY ALL
+UNION ALL {_KEYS}, NULL, NULL, NULL, count(*), CAST(min(floor(value)) AS BIGINT), CAST(trunc(avg(floor(value))) AS BIGINT), CAST(max(floor(value)) AS BIGINT) FROM E GROUP BY ALL""",
+    views.E,
+)
+def profile_own_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile by a declaration that isn't the library's."""
+    return profile(views.events(spark, sf_dir), Dataset((_Large("value", 50.0),)))

@@ -75,7 +75,7 @@ def entries(lines: DataFrame) -> DataFrame:
 
 
 def kind(entry: DataFrame) -> Column:
-    """What an entry tells: task start, job start, job done, batch, combined, memory, or null."""
+    """What an entry tells: task start, job start, job done, batch, combined, memory, or null. Prefixes and keys are fixed values of the format."""
     p, has = F.col("prefix"), lambda *keys: F.forall(F.array(*[F.lit(k) for k in keys]), lambda k: F.map_contains_key("props", k))
     return (
         F.when(p.isin("running processor with", "running multiprocessor with") & has("pid", "task"), "task start")
