@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="dayledger-"))
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="dayledger-")
+    return _own_dirs[sc.applicationId]
 
 
 def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:

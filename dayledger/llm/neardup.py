@@ -37,7 +37,8 @@ from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 TOKENS = 64
 TREES = 8
 SMALL = 24
-#: Mean number of children at a root. A pair at the threshold shares about 10 of them.
+#: Mean number of children at a root, before it is raised until each root has one, which makes 24 in
+#: all trees. A child is one token, so a pair at the threshold of 0.8 shares about 19.
 CHOSEN = 1.5
 #: Children of a class in a large node below the root, and steps of the walk to each. What
 #: many classes share in half of their tokens leaves a 16th of a node together.
@@ -229,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's component; edges are (a, b).
 
     Labels fall to a neighbour's smaller one and then to their label's label, until none
-    changes; each round is written to the shared folder, and goes when the next is there.
+    changes; each round is written to the shared folder, and all go at the end.
     """
     with Scratch(edges.sparkSession) as scratch:
         both = scratch(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
