@@ -44,6 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A source of fewer files than the cluster has cores, dealt over all of them; a file may be one row group, and so one task.
+
+    A source of more files is left as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df, if its columns and types are exactly those of schema in any order; nullability doesn't count."""
     want, got = ({f.name: f.dataType.simpleString() for f in s} for s in (schema, df.schema))
