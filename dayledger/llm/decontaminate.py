@@ -175,11 +175,16 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     places = hits.select("id", "th", "segment", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("id", "th", "segment", F.col("x.at").alias("place"), F.col("x.seeds").alias("seed"))
     # A passage that many documents share has hot seeds.
     often = materialise(places.groupBy("seed").agg(F.count(F.lit(1)).alias("rows")).join(item_seeds.select("seed", "item_id", "at"), "seed"))
-    places, often = spread_hot(places, often, "seed", "rows", ["id", "th"])
-    lines = places.join(often, ["seed", "salt"]).groupBy("id", "th", "segment", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.lit(1).alias("one"))
+    places, seeded = spread_hot(places, often, "seed", "rows", ["id", "th"])
+    lines = places.join(seeded, ["seed", "salt"]).groupBy("id", "th", "segment", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.lit(1).alias("one"))
     lines = lines.groupBy("id", "th", "segment", "item_id").agg(F.collect_list("shift").alias("shifts"))
     pairs = lines.join(hits.select("id", "th", "segment", "first", "words"), ["id", "th", "segment"])
-    pairs = pairs.join(item_words, pairs["item_id"].eqNullSafe(item_words["item_id"])).drop(item_words["item_id"])
+    # An item that many documents hold is a hot key as well: its seeds' rows bound the documents that meet it.
+    met = often.groupBy(F.col("item_id").alias("own")).agg(F.sum("rows").alias("rows"))
+    item_words = item_words.join(met, F.col("item_id").eqNullSafe(F.col("own"))).drop("own")
+    pairs, item_words = spread_hot(pairs, materialise(item_words), "item_id", "rows", ["id", "th", "segment"])
+    item_words = item_words.withColumnsRenamed({"item_id": "own", "salt": "own_salt"})
+    pairs = pairs.join(item_words, F.col("item_id").eqNullSafe(F.col("own")) & (F.col("salt") == F.col("own_salt")))
     checked = pairs.select("id", "item_id", "first", "words", "item", "shifts").mapInPandas(_verify(window, min_share), "id long, item_id long, start long, stop long")
     return checked.distinct()
 
