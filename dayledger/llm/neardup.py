@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import NULL_ID, Scratch, materialise, order_id
+from dayledger.llm.common import NULL_ID, Scratch, materialise, order_id, spread_hot
 from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
@@ -176,7 +176,7 @@ def _centre_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lows = _lows(bytes(x) for x in some)
             votes = (lows[:, None, :] == lows[None, :, :]).sum(axis=1)
             out.append(lows[votes.argmax(axis=0), np.arange(TOKENS)].tobytes())
-        yield pd.DataFrame({"node": pdf["node"], "usual": out})
+        yield pdf[["node", "size"]].assign(usual=out)
 
 
 def _agreement(keep: list[str]):
@@ -302,10 +302,9 @@ class NearDuplicates:
         lows, few, spokes = self.classes.select("cls", "low"), [], []
         nodes = self.classes.select("cls", "sig").mapInPandas(_roots, "node long, cls binary")
         while True:
-            sized = nodes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1")
-            held = scratch(sized.join(lows, "cls").select("node", "cls", "low", "size"))
+            held = scratch(self._sized(scratch(nodes), scratch).join(lows, "cls").select("node", "cls", "low", "size"))
             few.append(held.where(F.col("size") <= SMALL).drop("size"))
-            large = held.where(F.col("size") > SMALL).drop("size")
+            large = held.where(F.col("size") > SMALL)
             if large.isEmpty():
                 return _union(few), _union([*spokes, self.classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)]).distinct()
             with Scratch(self.spark) as level:
@@ -315,23 +314,34 @@ class NearDuplicates:
             on = met.where(F.col("same") < (AROUND + 1 - self.least) * TOKENS).join(loose, "node", "left_semi").select("node", "cls")
             nodes = on.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInPandas(_children, "node long, cls binary").distinct()
 
+    @staticmethod
+    def _sized(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+        """The written nodes (node, cls) that hold several classes, with their size; the rows of a hot node are salted."""
+        sizes = scratch(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("size", F.col("rows")))
+        rows, sizes = spread_hot(nodes, sizes, "node", "rows", ["cls"])
+        return rows.join(sizes, ["node", "salt"]).drop("salt")
+
     @staticmethod
     def _around(large: DataFrame, scratch: Scratch) -> DataFrame:
-        """(node, a, cls, same): the classes of large nodes, the node's centre a and their agreement with it.
+        """(node, a, cls, same): the classes of large nodes (node, cls, low, size), the node's centre a and their agreement with it.
 
         Of the classes that agree with a node's commonest tokens nearly as well as any,
         nodes take the one that most nodes could take: a group then has few centres.
+        What a node's rows are compared with goes to each of the salts of a hot node.
         """
         # A dozen classes of each node, by a hash that spreads them, stand for it.
-        some = large.groupBy("node", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node").agg(F.collect_list("m.low").alias("some"))
-        usual = some.mapInPandas(_centre_tokens, "node long, usual binary")
-        agreeing = large.join(usual, "node").select("node", "cls", "low", "usual").mapInPandas(_agreement(["node", "cls", "low"]), "node long, cls binary, low binary, same long")
+        some = large.groupBy("node", "size", F.pmod(F.xxhash64("cls", "node"), F.lit(12)).alias("b")).agg(F.min(F.struct("cls", "low")).alias("m")).groupBy("node", "size").agg(F.collect_list("m.low").alias("some"))
+        usual = scratch(some.mapInPandas(_centre_tokens, "node long, size long, usual binary"))
+        large = large.drop("size")
+        rows, usual = spread_hot(large, usual, "node", "size", ["cls"])
+        agreeing = rows.join(usual, ["node", "salt"]).select("node", "cls", "low", "usual").mapInPandas(_agreement(["node", "cls", "low"]), "node long, cls binary, low binary, same long")
         agreeing = scratch(agreeing)
-        best = scratch(agreeing.groupBy("node").agg(F.max(F.struct("same", "cls")).alias("c")).select("node", F.col("c.same").alias("most"), F.col("c.cls").alias("own")))
+        best = scratch(agreeing.groupBy("node").agg(F.max(F.struct("same", "cls")).alias("c"), F.count(F.lit(1)).alias("size")).select("node", "size", F.col("c.same").alias("most"), F.col("c.cls").alias("own")))
         able = agreeing.join(best.select(F.col("own").alias("cls")).distinct(), "cls").join(best, "node").where("same >= most - 4")
         able = able.withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("cls")))
-        centre = able.groupBy("node").agg(F.max(F.struct("nodes", "cls", "low")).alias("c")).select("node", F.col("c.cls").alias("a"), F.col("c.low").alias("usual"))
-        return large.join(centre, "node").select("node", "a", "cls", "low", "usual").mapInPandas(_agreement(["node", "a", "cls"]), "node long, a binary, cls binary, same long")
+        centre = scratch(able.groupBy("node", "size").agg(F.max(F.struct("nodes", "cls", "low")).alias("c")).select("node", "size", F.col("c.cls").alias("a"), F.col("c.low").alias("usual")))
+        rows, centre = spread_hot(large, centre, "node", "size", ["cls"])
+        return rows.join(centre, ["node", "salt"]).select("node", "a", "cls", "low", "usual").mapInPandas(_agreement(["node", "a", "cls"]), "node long, a binary, cls binary, same long")
 
     def _within(self, around: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
         """The links (a, b) between classes around one centre that labels don't join; exact.
@@ -358,13 +368,18 @@ class NearDuplicates:
         shared = shared.select("c", "x", "label", "inner", "owed", F.size("s").alias("all"), (F.size("s") - F.col("need")).alias("last"), F.posexplode("s").alias("at", "s"))
         tokens = shared.select("c", F.col("s.t").alias("t"), "x", "label", "inner", "owed", (F.col("all") - F.col("at")).alias("left"), (F.col("at") <= F.col("last")).alias("head"))
         tokens = scratch(tokens.where("head or not inner"))
-        one = lambda v: tokens.select("c", "t", F.col("x").alias(v), *[F.col(n).alias(n + v) for n in ("label", "inner", "owed", "left", "head")])
-        met = one("a").join(one("b"), ["c", "t"]).where("a < b and labela <> labelb and (heada and (headb or innera) or headb and innerb) and least(lefta, leftb) + 1e-9 >= oweda + owedb")
-        met = met.select("c", "a", "b").distinct()
+        met = self._met(tokens)
         own = lambda v: rows.select("c", F.col("x").alias(v), F.col("n").alias("n" + v), F.col("diff").alias("d" + v))
         both = met.join(own("a"), ["c", "a"]).join(own("b"), ["c", "b"])
         return both.select("a", "na", "da", "b", "nb", "db").mapInPandas(_close(self.percent), "a binary, b binary").distinct()
 
+    @staticmethod
+    def _met(tokens: DataFrame) -> DataFrame:
+        """(c, a, b): the classes around one centre that share a shingle as _within has it, and have enough left from there on."""
+        one = lambda v: tokens.select("c", "t", F.col("x").alias(v), *[F.col(n).alias(n + v) for n in ("label", "inner", "owed", "left", "head")])
+        met = one("a").join(one("b"), ["c", "t"]).where("a < b and labela <> labelb and (heada and (headb or innera) or headb and innerb) and least(lefta, leftb) + 1e-9 >= oweda + owedb")
+        return met.select("c", "a", "b").distinct()
+
     @staticmethod
     def _held(flat: DataFrame) -> DataFrame:
         """(c, t, f): shingles that several differences have."""

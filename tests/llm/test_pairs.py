@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from dayledger.llm import decontaminate, mixing, neardup, tokencount
-from dayledger.llm.common import table
+from dayledger.llm.common import spread_hot, table
 from dayledger.llm.words import WordHashes, split_words
 from tests.llm.conftest import ROWS
 
@@ -79,6 +80,42 @@ def test_group_around_the_threshold(spark):
     assert got == want and 20 < len({c for i, (_, c) in want.items() if i < 1000}) < 980
 
 
+def test_hot_nodes_are_salted(spark, monkeypatch):
+    """With salts from ten rows on, every large node is hot; the outcome is that of brute force."""
+    monkeypatch.setattr(neardup, "spread_hot", partial(spread_hot, each=10))
+    texts = grown(5, 150, 120, 5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got == plain_components(texts, 3, 85)
+
+
+def test_rows_grow_with_a_group(spark, monkeypatch):
+    """Rows of small nodes, pairs with centres and pairs of differences for each class don't grow with the size of the group."""
+    made = {}
+    walk, met = neardup.NearDuplicates._walk, neardup.NearDuplicates._met
+
+    def walked(self, scratch):
+        few, spokes = walk(self, scratch)
+        made["walk"] = few.count() + spokes.count()
+        return few, spokes
+
+    def paired(tokens):
+        out = met(tokens)
+        made["met"] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.NearDuplicates, "_walk", walked)
+    monkeypatch.setattr(neardup.NearDuplicates, "_met", staticmethod(paired))
+    share = {}
+    for size in (500, 2000):
+        texts = grown(11, size, 150, 12)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+        neardup.near_duplicates(df, 3, 85).count()
+        share[size] = {k: n / size for k, n in made.items()}
+    print(share)
+    assert all(share[2000][k] < 1.5 * share[500][k] + 1 for k in share[500]), share
+
+
 def test_pairs_in_a_large_group(spark):
     """Texts of a large group, below the threshold with the others and above it with one whose signature agrees less than most."""
     rng, words = random.Random(8), WordHashes()
@@ -167,6 +204,16 @@ def test_decontaminate_data(spark, data):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - got.keys()
 
 
+def test_decontaminate_hot_item(spark, monkeypatch):
+    """Items in every document, one of them without an id: they are salted from ten rows on, and all are found."""
+    monkeypatch.setattr(decontaminate, "spread_hot", partial(spread_hot, each=10))
+    item, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(16))
+    docs = [(i, f"own{i} words {item} more{i} {other if i % 2 else ''} end{i}") for i in range(300)] + [(300 + i, f"clean{i} text of its own") for i in range(20)]
+    bench = spark.createDataFrame([(1, item), (None, other), (2, "never seen in any of these documents at all but long enough to count")], "item_id long, text string")
+    got = {r.doc_id: (set(r["items"]), r.n_spans) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
+    assert got == {i: ({1}, 1 + i % 2) for i in range(300)}
+
+
 def test_decontaminate_substitutions(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
