@@ -74,6 +74,16 @@ def test_profile(spark):
     assert got[2, "a", "t", None, None, ""][0] == 1
 
 
+def test_gathered_rows(spark):
+    """Rows of many small strata and of one large one, gathered first: a task counts whole strata, and the statistics are the same."""
+    df = spark.range(0, 6000, numPartitions=8).selectExpr("date'2024-01-01' day", "cast(if(id < 2000, 0, id % 1000) as string) platform", "if(id % 5 = 0, 'x', 'y') c")
+    specs = (Rows(), ValueCounts("c"))
+    plain, gathered = (profile(df, Dataset(specs, gather=g)) for g in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, gathered.collect()))
+    plan = gathered._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "RebalancePartitions" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merge_law(spark):
     """The profile of a whole is the merge of its parts' profiles."""
     whole = st.finalize(profile(table(spark, ROWS * 3), SPECS))
