@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayledger.operators.ordered import last_known, running_sums
+from dayledger.sources.tables import written
 
 SEPARATOR = "︙"
 #: Fixed pattern: key=number or key="text" in a message.
@@ -22,8 +23,9 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _last(pairs: Column) -> Column:
-    """Of a key's pairs the last."""
-    return F.filter(pairs, lambda x, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"]), x["k"]))
+    """Of a key's pairs the last. The array of one binds pairs to a variable, else each element would parse the message again."""
+    last = lambda ps: F.filter(ps, lambda x, i: ~F.array_contains(F.transform(F.slice(ps, i + 2, F.size(ps)), lambda y: y["k"]), x["k"]))
+    return F.get(F.transform(F.array(pairs), last), F.lit(0))
 
 
 def properties(message: Column) -> Column:
@@ -104,14 +106,8 @@ def metrics(log: DataFrame) -> DataFrame:
     it named last.
     """
     e = log.withColumn("kind", kind(log))
-    began = e.where("kind = 'task start'").groupBy(F.col("file").alias("of")).agg(F.max("line").alias("began"))
-    e = e.join(began, e["file"] == began["of"], "left").where("began is null or line >= began").drop("of", "began")
-    named = F.coalesce(F.col("props")["release"], F.nullif(F.regexp_extract(F.coalesce(F.col("props")["file"], F.lit("")), r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    e = last_known(e, ["file", "pid"], "block", ["line"], "release", named)
-    workers = e.groupBy("file", "pid").agg(F.min("line").alias("seen"))
-    workers = workers.withColumn("worker", F.dense_rank().over(Window.partitionBy("file").orderBy("seen")) - 1)
-    e = e.join(workers, ["file", "pid"]).withColumn("worker", F.when(F.col("worker") > 0, F.col("worker")))
     p = F.col("props")
+    named = F.coalesce(p["release"], F.nullif(F.regexp_extract(F.coalesce(p["file"], F.lit("")), r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
     batch = F.coalesce(p["count"], p["file-count"], F.nullif(F.regexp_extract(F.coalesce(p["file"], F.lit("")), r"-full-(\d{5})", 1), F.lit(""))).try_cast("long")
     value = (
         F.when(F.col("kind") == "batch", seconds(p["latency"].try_cast("double"), p["unit"]))
@@ -119,7 +115,15 @@ def metrics(log: DataFrame) -> DataFrame:
         .when(F.col("kind") == "combined", batch.cast("double"))
     )
     metric = F.when(F.col("kind") == "batch", "latency").when(F.col("kind") == "memory", "max-rss").when(F.col("kind") == "combined", "batches")
-    return e.where(metric.isNotNull()).select("file", "timestamp", "pid", "worker", "release", F.when(F.col("kind") != "memory", batch).alias("batch"), metric.alias("metric"), value.alias("value"))
+    # Messages are parsed here and once: filters below would take the whole parse along, and each table its own.
+    e = written(e.select("file", "block", "line", "timestamp", "pid", "kind", named.alias("named"), F.when(F.col("kind") != "memory", batch).alias("batch"), metric.alias("metric"), value.alias("value")))
+    began = e.where("kind = 'task start'").groupBy(F.col("file").alias("of")).agg(F.max("line").alias("began"))
+    e = e.join(began, e["file"] == began["of"], "left").where("began is null or line >= began").drop("of", "began")
+    workers = e.groupBy("file", "pid").agg(F.min("line").alias("seen"))
+    workers = workers.withColumn("worker", F.dense_rank().over(Window.partitionBy("file").orderBy("seen")) - 1)
+    e = last_known(e, ["file", "pid"], "block", ["line"], "release", F.col("named"))
+    e = e.join(workers, ["file", "pid"]).withColumn("worker", F.when(F.col("worker") > 0, F.col("worker")))
+    return e.where("metric is not null").select("file", "timestamp", "pid", "worker", "release", "batch", "metric", "value")
 
 
 def write_metrics(series: DataFrame, path: str) -> None:

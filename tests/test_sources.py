@@ -66,6 +66,14 @@ def test_logs(spark, tmp_path):
     assert sorted(r.value for r in logs.read_metrics(spark, str(tmp_path / "m")).collect()) == [2.0, 90.0]
 
 
+def test_messages_are_parsed_once(spark, tmp_path):
+    """The plan of the metrics holds no parse of messages, which its tables and filters would repeat."""
+    (tmp_path / "x.log").write_text("2024-01-02T00:00:00︙1︙m︙INFO︙running multiprocessor with pid=1, task=\"t\"\n2024-01-02T00:00:01︙2︙m︙INFO︙maximum resident-set-size=2, unit=\"GB\", release=\"2024-01-05\"\n")
+    found = logs.metrics(logs.entries(logs.read_lines(spark, str(tmp_path / "x.log"))))
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.pid, r.worker, r.release, r.metric, r.value) for r in found.collect()] == [(2, 1, "2024-01-05", "max-rss", 2.0)]
+
+
 def test_log_of_many_blocks(spark, tmp_path):
     """One log in many blocks uses many tasks; entries and what a process named last go on over their bounds."""
     head = lambda t, pid, text: f"2024-01-02T00:00:{t % 60:02d}︙{pid}︙m︙INFO︙{text}"
