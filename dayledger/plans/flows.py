@@ -39,7 +39,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = tables.shared_path(spark)
     rows = _statements(spark, sf_dir).drop("day")
-    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    records.write_csv(rows, path)
     aliases = spark.createDataFrame([("Supplier#000000001", "First")], "alias string, canonical string")
     return records.ingest(records.read_csv(spark, path), F.to_date(F.substring("created_at", 1, 10)), aliases)
 
@@ -68,7 +68,7 @@ def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the statements' files: each record's text holds a newline, so it is two of them."""
     path = tables.shared_path(spark)
-    _statements(spark, sf_dir).drop("day").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    records.write_csv(_statements(spark, sf_dir).drop("day"), path)
     return tables.text_row_counts(spark, path, '""ring""').agg(F.sum("rows").alias("rows"), F.sum("rows_with_keywords").alias("rows_with_keywords"))
 
 
@@ -219,10 +219,9 @@ def csv_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of two versions, without and with a product code, as one table."""
     rows = _statements(spark, sf_dir).drop("day").withColumn("content_id_ean", F.lit("4006381333931"))
     old, new = tables.shared_path(spark), tables.shared_path(spark)
-    write = lambda df, path: df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     even = F.col("uuid").cast("long") % 2 == 0
-    write(rows.where(~even).drop("content_id_ean"), old)
-    write(rows.where(even), new)
+    records.write_csv(rows.where(~even).drop("content_id_ean"), old)
+    records.write_csv(rows.where(even), new)
     read = records.read_all_versions(spark, [old], [new])
     return read.groupBy(even.alias("newer")).agg(F.count(F.lit(1)).alias("rows"), F.count("content_id_ean").alias("with_ean"))
 
@@ -286,11 +285,11 @@ def sightings_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches of one release, and one batch of another, by the names of their files."""
     path = tables.shared_path(spark)
-    rows = _statements(spark, sf_dir).withColumns({"month": F.month("day") % 2, "batch": F.col("uuid").cast("long") % 2}).drop("day")
+    rows = tables.written(_statements(spark, sf_dir).withColumns({"month": F.month("day") % 2, "batch": F.col("uuid").cast("long") % 2}).drop("day"))
     for month, release in ((0, "2024-01-01"), (1, "2024-01-02")):
         for batch in (0, 1):
             own = rows.where(f"month = {month} and batch = {batch}").drop("month", "batch")
-            own.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/sor-global-{release}-full-{batch:05d}-00000.csv")
+            records.write_csv(own, f"{path}/sor-global-{release}-full-{batch:05d}-00000.csv")
     read = lambda release, batch: records.read_batch(spark, path, release, batch).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("uuid").alias("parts")).select(F.lit(release).alias("release"), F.lit(batch).cast("int").alias("batch"), "rows", "parts")
     return read("2024-01-01", None).unionByName(read("2024-01-02", 1))
 

@@ -71,6 +71,14 @@ def read_csv(spark: SparkSession, *paths: str, columns: list[str] | None = None)
     return df.select(*text, _CORRUPT, F.col("_metadata.file_path").alias("file"))
 
 
+def write_csv(rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """Text rows as read_csv() has them, in compressed files of at most ``most`` rows, the size of the source's own batches.
+
+    A file whose fields hold newlines is read by one task from end to end.
+    """
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("compression", "gzip").option("maxRecordsPerFile", most).csv(path)
+
+
 def batch_path(root: str, release: date | str, index: int | None = None, name: str = "sor-global") -> str:
     """The pattern of the files of a release, or of one batch of it: name-release-full-index-part.csv."""
     return f"{root.rstrip('/')}/{name}-{release}-full-{'*' if index is None else f'{index:05d}'}-*.csv"

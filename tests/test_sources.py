@@ -43,6 +43,16 @@ def test_ingest(spark, tmp_path):
     assert stats.where("column = 'decision_type' and entity = 'is_null'").agg(F.sum("count")).first()[0] == 2
 
 
+def test_csv_of_bounded_files(spark, tmp_path):
+    """No file, and so no task that reads one, holds more rows than a batch; rows with newlines come back whole."""
+    rows = spark.range(2500).coalesce(1).selectExpr(*[f"concat(id, ',\"\\n', id) {c}" if c == "decision_facts" else f"cast(id as string) {c}" for c in records.FIELDS])
+    records.write_csv(rows, str(tmp_path / "x"), 1000)
+    back = records.read_csv(spark, str(tmp_path / "x"))
+    assert [r["count"] for r in back.groupBy("file").count().orderBy("count").collect()] == [500, 1000, 1000]
+    assert back.select(*rows.columns).exceptAll(rows).isEmpty() and back.count() == 2500
+    assert tables.text_row_counts(spark, str(tmp_path / "x"), "7").agg(F.sum("rows")).first()[0] == 5000
+
+
 def test_check_schema(spark):
     with pytest.raises(TypeError):
         tables.check_schema(spark.range(1), SCHEMA)
