@@ -53,6 +53,17 @@ def test_csv_of_bounded_files(spark, tmp_path):
     assert tables.text_row_counts(spark, str(tmp_path / "x"), "7").agg(F.sum("rows")).first()[0] == 5000
 
 
+def test_files_are_hashed_once(spark):
+    """The query uses the digests three times, and reads no file again for that."""
+    from dayledger.plans.queries import QUERIES
+
+    found = QUERIES["file_digests"](spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = "/root/testdata/sf0.001/lineitem.parquet"
+    if os.path.isfile(own):
+        assert found.where("file = 'lineitem.parquet'").first().digest == hashlib.sha256(open(own, "rb").read()).hexdigest()
+
+
 def test_check_schema(spark):
     with pytest.raises(TypeError):
         tables.check_schema(spark.range(1), SCHEMA)
