@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,22 @@ def spread_hot(left: DataFrame, keys: DataFrame, key: str, count: str, by: list[
     return left, right
 
 
+def bloom(keys: DataFrame, each: int = 64, most: int = 27) -> np.ndarray:
+    """A Bloom filter of the 64-bit numbers ``k`` of keys, packed in bytes: one bit for each, of ``each`` bits a key and 2**most (16 MB) in all, so that is what reaches the driver at most."""
+    bits = min(most, max(16, (each * keys.count()).bit_length()))
+    low = keys.select(F.col("k").bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
+    words = low.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bloom(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Flags: which of the numbers x (uint64) the filter may hold; it holds all that it was made of."""
+    bit = (x & np.uint64(8 * len(known) - 1)).view(np.int64)
+    return known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. In a text of ASCII alone that is what lower() does, and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,7 +12,8 @@
    tokens are joined exactly among each other: two sets differ by what their differences
    to the centre differ, so a prefix-filter join over these differences, rarest shingle
    first, finds every link, and what the whole group has in common meets nobody. The
-   others walk on to children of the node.
+   others walk on to children of the node, and of those around the centre the ones that
+   meet them in a child, which a Bloom filter of these children tells.
 5. What signatures let pass is confirmed on the full sets. Components come from label
    propagation with pointer jumping, all as DataFrames.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayledger.llm.common import NULL_ID, Scratch, materialise, order_id, spread_hot
+from dayledger.llm.common import NULL_ID, Scratch, bloom, in_bloom, materialise, order_id, spread_hot
 from dayledger.llm.words import WordHashes, mixed, odd_numbers, split_words
 
 TOKENS = 64
@@ -107,19 +108,27 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": node.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), len(tree))})
 
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, cls) for BRANCHES children of each class's node; a child is STEPS of the tokens, whose places a hash of the node chooses."""
-    places = odd_numbers(TOKENS, 901)
-    for pdf in batches:
-        if len(pdf):
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
-            node = pdf["node"].to_numpy().view(np.uint64)
-            place = np.argsort(mixed(node[:, None] ^ places[None, :]), axis=1, kind="stable")[:, : BRANCHES * STEPS]
-            token = np.take_along_axis(sigs, place, axis=1)
-            child = np.repeat(node[:, None], BRANCHES, axis=1)
-            for k in range(STEPS):
-                child = mixed(mixed(child + places[place[:, k::STEPS]]) ^ token[:, k::STEPS])
-            yield pd.DataFrame({"node": child.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), BRANCHES)})
+def _children(known=None):
+    """(node, cls) for BRANCHES children of each class's node; a child is STEPS of the tokens, whose places a hash of the node chooses.
+
+    With known, a Bloom filter's broadcast, only for the children that it may hold.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = odd_numbers(TOKENS, 901)
+        for pdf in batches:
+            if len(pdf):
+                sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
+                node = pdf["node"].to_numpy().view(np.uint64)
+                place = np.argsort(mixed(node[:, None] ^ places[None, :]), axis=1, kind="stable")[:, : BRANCHES * STEPS]
+                token = np.take_along_axis(sigs, place, axis=1)
+                child = np.repeat(node[:, None], BRANCHES, axis=1)
+                for k in range(STEPS):
+                    child = mixed(mixed(child + places[place[:, k::STEPS]]) ^ token[:, k::STEPS])
+                out = pd.DataFrame({"node": child.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), BRANCHES)})
+                yield out if known is None else out[in_bloom(known.value, child.ravel())]
+
+    return run
 
 
 def _lows(column) -> np.ndarray:
@@ -295,9 +304,10 @@ class NearDuplicates:
     def _walk(self, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         """(node, cls, low) of the small nodes, and the pairs (a, b) of centres with the classes around them.
 
-        A class that agrees less than AROUND with the centre, and those that agree with the
-        centre little enough to be near such a class, go on to children. The centre stays, so
-        nodes shrink from level to level; few levels have any large node.
+        A class that agrees less than AROUND with the centre goes on to its children, and those
+        that agree with the centre little enough to be near such a class go on to the children
+        where one is. The centre stays, so nodes shrink from level to level; few levels have
+        any large node.
         """
         lows, few, spokes = self.classes.select("cls", "low"), [], []
         nodes = self.classes.select("cls", "sig").mapInPandas(_roots, "node long, cls binary")
@@ -310,9 +320,14 @@ class NearDuplicates:
             with Scratch(self.spark) as level:
                 met = scratch(self._around(large, level))
             spokes.append(met.where((F.col("same") >= AROUND * TOKENS) & (F.col("a") != F.col("cls"))).select("a", F.col("cls").alias("b")))
-            loose = met.where(F.col("same") < AROUND * TOKENS).select("node").distinct()
-            on = met.where(F.col("same") < (AROUND + 1 - self.least) * TOKENS).join(loose, "node", "left_semi").select("node", "cls")
-            nodes = on.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInPandas(_children, "node long, cls binary").distinct()
+            # Classes around the centre are joined there, so a child without a loose class finds nothing new.
+            loose = met.where(F.col("same") < AROUND * TOKENS).select("node", "cls")
+            reach = (F.col("same") >= AROUND * TOKENS) & (F.col("same") < (AROUND + 1 - self.least) * TOKENS)
+            others = met.where(reach).join(loose.select("node").distinct(), "node", "left_semi").select("node", "cls")
+            signed = lambda rows: rows.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig")
+            own = scratch(signed(loose).mapInPandas(_children(), "node long, cls binary"))
+            known = self.spark.sparkContext.broadcast(bloom(own.select(F.col("node").alias("k"))))
+            nodes = own.unionByName(signed(others).mapInPandas(_children(known), "node long, cls binary")).distinct()
 
     @staticmethod
     def _sized(nodes: DataFrame, scratch: Scratch) -> DataFrame:

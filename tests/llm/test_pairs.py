@@ -116,6 +116,31 @@ def test_rows_grow_with_a_group(spark, monkeypatch):
     assert all(share[2000][k] < 1.5 * share[500][k] + 1 for k in share[500]), share
 
 
+def test_children_only_where_a_loose_class_is(spark, monkeypatch):
+    """A few texts that share a third of a large group's text send few of the group on to children, at either size; links among them are found."""
+    levels = []
+    sized = neardup.NearDuplicates._sized
+
+    def counted(nodes, scratch):
+        levels.append(nodes.count())
+        return sized(nodes, scratch)
+
+    monkeypatch.setattr(neardup.NearDuplicates, "_sized", staticmethod(counted))
+    for size in (200, 800):
+        texts, rng = grown(4, size, 150, 12), random.Random(9)
+        word = lambda: "".join(rng.choices("abcdefghij", k=5))
+        for i in range(1000, 1040, 2):  # pairs of loose texts, some of which link
+            w = texts[0].split()[:60] + [word() for _ in range(90)]
+            texts[i], w[100], w[i % 7 + 120] = " ".join(w), word(), word()
+            texts[i + 1] = " ".join(w)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+        levels.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+        want = plain_components(texts, 3, 85)
+        assert got == want and sum(want[i + 1][1] == i for i in range(1000, 1040, 2)) > 10
+        assert 0 < sum(levels[1:]) < 4 * len(texts), (size, levels)
+
+
 def test_pairs_in_a_large_group(spark):
     """Texts of a large group, below the threshold with the others and above it with one whose signature agrees less than most."""
     rng, words = random.Random(8), WordHashes()
