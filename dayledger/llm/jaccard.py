@@ -315,11 +315,6 @@ class JaccardJoin(NearDuplicates):
         spokes = groups.select("label", F.col("cls").alias("b")).join(centre, "label").where("a <> b").select("a", "b")
         return scratch(pairs), scratch(spokes)
 
-    @staticmethod
-    def _held(flat: DataFrame) -> DataFrame:
-        """Shingles in differences of sets that links don't join; the others tell nothing of a pair that is apart."""
-        return flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("c", "t", "f")
-
     def _labels(self, scratch: Scratch) -> DataFrame:
         pairs, spokes = self._candidates(scratch)
         # First each set's best partner and the pairs with centres, then what these leave apart.

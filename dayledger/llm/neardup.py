@@ -235,6 +235,34 @@ def _close(percent: int):
     return run
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From (c, label, diff): (c, t, f, low, high), a row for each distinct shingle of a batch's differences to c: how many have it, and the first and last of their labels."""
+    for pdf in batches:
+        if len(pdf):
+            (centres, c), (labels, label) = (np.unique(pdf[x].to_numpy(), return_inverse=True) for x in ("c", "label"))
+            sizes, t = [len(d) for d in pdf["diff"]], np.concatenate(pdf["diff"].to_list())
+            c, label = np.repeat(c, sizes), np.repeat(label, sizes)
+            order = np.lexsort((t, c))
+            c, t, label = c[order], t[order], label[order]
+            at = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])])[: len(t)]
+            low, high = (labels[least.reduceat(label, at)] for least in (np.minimum, np.maximum))
+            yield pd.DataFrame({"c": centres[c[at]], "t": t[at], "f": np.diff(np.r_[at, len(t)]), "low": low, "high": high})
+
+
+def _told(known):
+    """A row for each shingle t of diff that the Bloom filter known may hold around the centre, whose hash is in hc; other columns stay."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sizes, t = [len(d) for d in pdf["diff"]], np.concatenate(pdf["diff"].to_list())
+                may = in_bloom(known.value, (t ^ np.repeat(pdf["hc"].to_numpy(), sizes)).view(np.uint64))
+                row = np.repeat(np.arange(len(pdf)), sizes)[may]
+                yield pdf.drop(columns=["hc", "diff"]).iloc[row].assign(t=t[may])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's component; edges are (a, b).
 
@@ -375,10 +403,10 @@ class NearDuplicates:
         rows = scratch(rows.join(open_groups, "c", "left_semi"))
         need = F.greatest(F.lit(1), F.floor((F.size("diff") + F.lit(k) * (F.col("nc") - F.col("n"))) / 2 - F.lit(1e-9)) + 1).cast("int")
         # What a class brings to the number that a pair needs in common: half of dx - k nx.
-        owed = ((F.size("diff") - F.lit(k) * F.col("n")) / 2).alias("owed")
-        flat = rows.select("c", "x", "label", "inner", need.alias("need"), owed, F.explode("diff").alias("t"))
-        # A shingle that no other difference has meets none; such shingles come first in the order.
-        held = self._held(flat)
+        owed = (F.size("diff") - F.lit(k) * F.col("n")) / 2
+        # A shingle that no other label's difference has meets none, so it makes no row.
+        held = scratch(self._held(rows))
+        flat = self._flat(rows.withColumn("need", need).withColumn("owed", owed), held)
         shared = flat.join(held, ["c", "t"]).groupBy("c", "x").agg(F.first("label").alias("label"), F.first("inner").alias("inner"), F.first("need").alias("need"), F.first("owed").alias("owed"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
         shared = shared.select("c", "x", "label", "inner", "owed", F.size("s").alias("all"), (F.size("s") - F.col("need")).alias("last"), F.posexplode("s").alias("at", "s"))
         tokens = shared.select("c", F.col("s.t").alias("t"), "x", "label", "inner", "owed", (F.col("all") - F.col("at")).alias("left"), (F.col("at") <= F.col("last")).alias("head"))
@@ -396,9 +424,17 @@ class NearDuplicates:
         return met.select("c", "a", "b").distinct()
 
     @staticmethod
-    def _held(flat: DataFrame) -> DataFrame:
-        """(c, t, f): shingles that several differences have."""
-        return flat.groupBy("c", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    def _held(rows: DataFrame) -> DataFrame:
+        """(c, t, f): shingles in differences of classes that links don't join, and how many have them."""
+        counts = rows.select("c", "label", "diff").mapInPandas(_counted, "c binary, t long, f long, low binary, high binary")
+        return counts.groupBy("c", "t").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("c", "t", "f")
+
+    @staticmethod
+    def _flat(rows: DataFrame, held: DataFrame) -> DataFrame:
+        """(c, x, label, inner, need, owed, t) for the shingles of differences that are held, and a few others that a Bloom filter lets pass."""
+        known = rows.sparkSession.sparkContext.broadcast(bloom(held.select(F.col("t").bitwiseXOR(F.xxhash64("c")).alias("k"))))
+        some = rows.select("c", F.xxhash64("c").alias("hc"), "x", "label", "inner", "need", "owed", "diff")
+        return some.mapInPandas(_told(known), "c binary, x binary, label binary, inner boolean, need int, owed double, t long")
 
     @staticmethod
     def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dayledger.llm import codes, jaccard, spelling
+from dayledger.llm import codes, jaccard, neardup, spelling
 from tests.llm.conftest import ROWS
 from tests.llm.test_pairs import grown, plain_components
 
@@ -59,6 +59,35 @@ def test_join_of_a_large_group(spark):
     assert joined(df) == want and 100 < len({c for _, c in want.values()}) < 500
 
 
+def test_rows_of_differences(spark, monkeypatch):
+    """Shingles of a group's differences are counted before they become rows, and those that meet nothing become none; rows a text don't grow with the group."""
+    within, seen, share = neardup.NearDuplicates._within, {}, {}
+    held, flat = neardup.NearDuplicates._held, neardup.NearDuplicates._flat
+
+    def told(self, around, labels, scratch):
+        seen["all"] = around.agg(F.sum(F.size("diff"))).first()[0]
+        return within(self, around, labels, scratch)
+
+    def kept(rows, met):
+        out = flat(rows, met)
+        counts = rows.select("c", "label", "diff").mapInPandas(neardup._counted, "c binary, t long, f long, low binary, high binary")
+        ones = rows.select("c", "label", F.explode("diff").alias("t")).groupBy("c", "t").agg(F.count("t").alias("f"), F.countDistinct("label").alias("labels")).where("labels > 1")
+        assert {(bytes(r.c), r.t, r.f) for r in held(rows).collect()} == {(bytes(r.c), r.t, r.f) for r in ones.collect()}
+        seen["counts"], seen["rows"] = counts.count(), out.count()
+        return out
+
+    monkeypatch.setattr(neardup.NearDuplicates, "_within", told)
+    monkeypatch.setattr(neardup.NearDuplicates, "_flat", staticmethod(kept))
+    for size in (300, 1200):
+        texts = grown(11, size, 150, 12)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+        assert joined(df) == plain_components(texts, 5, 80)
+        assert seen["counts"] < 0.8 * seen["all"] and seen["rows"] < 0.8 * seen["all"], (size, seen)
+        share[size] = {k: n / size for k, n in seen.items()}
+    print(share)
+    assert all(share[1200][k] < 1.5 * share[300][k] for k in seen), share
+
+
 def test_join_odd(odd, none):
     got = jaccard.jaccard_components(odd).collect()
     assert len(got) == len(ROWS) and all(r.n_shingles == 0 and r.component_id == r.doc_id for r in got if r.doc_id in (3, 4, 5))
