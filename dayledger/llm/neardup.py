@@ -266,22 +266,39 @@ def _told(known):
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's component; edges are (a, b).
 
-    Labels fall to a neighbour's smaller one and then to their label's label, until none
-    changes; each round is written to the shared folder, and all go at the end.
+    In each round every vertex points to its smallest neighbour, if that is smaller; pointers
+    are followed to the roots by doubling, and edges go on between different roots. So an
+    edge is joined only as long as it connects what is apart, not in every round. Rounds are
+    written to the shared folder, and all go at the end.
     """
     with Scratch(edges.sparkSession) as scratch:
-        both = scratch(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-        labels = scratch(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")))
+        edges, labels = scratch(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
         while True:
-            low = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("low"))
-            step = labels.join(low, "v").select("v", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
-            jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
-            new = scratch(step.join(jump, "mid", "left").select("v", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-            labels = new.select("v", "label")
-            if new.where("label <> old").isEmpty():
+            roots = _roots_of(edges, scratch)
+            if labels is None:
+                labels = roots
+            else:
+                far = roots.select(F.col("v").alias("label"), F.col("label").alias("far"))
+                labels = scratch(labels.join(far, "label", "left").select("v", F.coalesce("far", "label").alias("label")))
+            root = lambda x: roots.select(F.col("v").alias(x), F.col("label").alias("root_" + x))
+            apart = edges.where("a <> b").join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b")
+            edges = scratch(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+            if edges.isEmpty():
                 return materialise(labels)
 
 
+def _roots_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, label): where each vertex of the edges (a, b), a <= b, gets by pointers to the smallest neighbours."""
+    both = edges.select(F.col("b").alias("v"), F.col("a").alias("m")).unionByName(edges.select(F.col("a").alias("v"), F.col("b").alias("m")))
+    to = scratch(both.groupBy("v").agg(F.min("m").alias("m")).select("v", F.least("v", "m").alias("label")))
+    while True:
+        far = to.where("label <> v").select(F.col("v").alias("label"), F.col("label").alias("far"))
+        new = scratch(to.join(far, "label", "left").select("v", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")))
+        to = new.select("v", "label")
+        if new.where("moved").isEmpty():
+            return to
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -202,6 +202,39 @@ def test_paths_reach_far(spark):
     assert {bytes(r.v): bytes(r.label) for r in neardup.components(edges).collect()} == {bytes([i]): b"\x00" for i in range(41)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
 
 
+def rows_of_joins(spark, job):
+    """What job returns, and how many rows Spark's joins made in it."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before, out, rows = store.executionsCount(), job(), 0
+    bus.waitUntilEmpty()
+    runs = store.executionsList(before, store.executionsCount() - before)
+    for i in range(runs.size()):
+        known, nodes = store.executionMetrics(runs.apply(i).executionId()), store.planGraph(runs.apply(i).executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and known.contains(m.accumulatorId()):
+                    rows += int(known.apply(m.accumulatorId()).replace(",", ""))
+    return out, rows
+
+
+def test_edges_are_joined_while_apart(spark):
+    """Labels of groups in a chain: joins make a few rows an edge, not two in every round."""
+    rng, edges = random.Random(2), []
+    for g in range(60):
+        own = list(range(15 * g, 15 * g + 15))
+        edges += list(combinations(own, 2)) + ([(own[0], own[0] - rng.randint(1, 15))] if g % 30 else [])
+    name = rng.sample(range(1 << 16), 900)
+    rows = [tuple(name[v].to_bytes(2, "big") for v in (e if rng.random() < 0.5 else e[::-1])) for e in edges]
+    df = spark.createDataFrame(rows + rows[:100] + [(b"\xff\xff\xff",) * 2], "a binary, b binary").repartition(4)
+    got, made = rows_of_joins(spark, lambda: {bytes(r.v): bytes(r.label) for r in neardup.components(df).collect()})
+    half = [[name[v].to_bytes(2, "big") for v in range(k, k + 450)] for k in (0, 450)]
+    assert got == {v: min(vs) for vs in half for v in vs} | {b"\xff\xff\xff": b"\xff\xff\xff"}
+    print(made / len(edges))
+    assert made < 4 * len(edges)
+
+
 def plain_overlaps(text, items, window=13, share=0.8):
     """Every alignment of every item: those with a window that agrees enough."""
     d, out = np.array(WORD.findall(lower(text)), object), set()
