@@ -292,8 +292,10 @@ def _roots_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select(F.col("b").alias("v"), F.col("a").alias("m")).unionByName(edges.select(F.col("a").alias("v"), F.col("b").alias("m")))
     to = scratch(both.groupBy("v").agg(F.min("m").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
+        # Two steps a written table; where the second moves nothing, all are at roots.
         far = to.where("label <> v").select(F.col("v").alias("label"), F.col("label").alias("far"))
-        new = scratch(to.join(far, "label", "left").select("v", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")))
+        one = to.join(far, "label", "left").select("v", F.coalesce("far", "label").alias("label"))
+        new = scratch(one.join(far, "label", "left").select("v", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")))
         to = new.select("v", "label")
         if new.where("moved").isEmpty():
             return to
