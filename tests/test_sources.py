@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import re
 from datetime import date
 
 import pytest
@@ -64,6 +65,23 @@ def test_files_are_hashed_once(spark):
         assert found.where("file = 'lineitem.parquet'").first().digest == hashlib.sha256(open(own, "rb").read()).hexdigest()
 
 
+def test_large_files_are_streamed(spark, tmp_path):
+    """From 32 MB on no file is a value; stores need be such as Spark opens, and names may be odd."""
+    (tmp_path / "a b").mkdir()
+    content = {"x y%20.bin": os.urandom(1 << 25), "s.bin": b"s"}
+    for name, data in content.items():
+        (tmp_path / "a b" / name).write_bytes(data)
+    want = {len(x): hashlib.sha256(x).hexdigest() for x in content.values()}
+    spark.conf.set("fs.viewfs.mounttable.digests.link./in", f"file://{tmp_path}")
+    try:
+        for large in (None, 1, 0):
+            found = tables.file_digests(spark, "viewfs://digests/in/a b", **({} if large is None else {"large": large}))
+            assert {r.bytes: r.digest for r in found.collect()} == want
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.digests.link./in")
+    assert f"length#0L < {1 << 25}" in re.sub(r"length#\d+", "length#0", tables.file_digests(spark, str(tmp_path / "a b"))._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_check_schema(spark):
     with pytest.raises(TypeError):
         tables.check_schema(spark.range(1), SCHEMA)
