@@ -84,6 +84,30 @@ def test_gathered_rows(spark):
     assert "RebalancePartitions" in plan and "RebalancePartitions" not in plain._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_gathered_rows_move_once(spark, monkeypatch):
+    """Gathered counts are whole and need no shuffle after that of the rows; columns made from others are not moved, and strata too large for a task are counted with partial sums."""
+    from dayledger.operators import profile as p
+
+    df = spark.range(0, 9000, numPartitions=8).selectExpr("if(id % 7 = 0, null, date'2024-01-01') day", "cast(if(id < 4000, 0, nullif(id % 1000, 5)) as string) platform", "concat('a b ', id % 3) t", "id unused")
+    made = {"words": F.split("t", " "), "upper": F.upper("t"), "other": F.upper("platform")}
+    specs = (Rows(), ListStats("words"), ValueCounts("upper"), NullPattern("n", ("words", "platform"), ("w", "p")))
+    data = lambda gather: Dataset(specs, gather=gather, made=made)
+    columns, narrow = p.needed(df, data(True))
+    assert columns == ["day", "platform", "t"] and set(narrow.made) == {"words", "upper"}
+    want = sorted(map(str, profile(df, data(False)).collect()))
+    gathered = profile(df, narrow)
+    assert sorted(map(str, gathered.collect())) == want
+    plan = gathered._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    moved = next(line for line in gathered._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in line)
+    assert "unused" not in moved and "words" not in moved and "upper" not in moved
+    monkeypatch.setattr(p, "PART", 1000)  # the stratum of 3,000 rows and more is large
+    assert sorted(map(str, profile(df, data(True)).collect())) == want
+    monkeypatch.setattr(p, "PART", 1)
+    assert sorted(map(str, profile(df, data(True)).collect())) == want
+    assert profile(df.limit(0), data(True)).count() == 0
+
+
 def test_merge_law(spark):
     """The profile of a whole is the merge of its parts' profiles."""
     whole = st.finalize(profile(table(spark, ROWS * 3), SPECS))

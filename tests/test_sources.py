@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 import re
+import time
 from datetime import date
 
 import pytest
@@ -82,6 +83,22 @@ def test_large_files_are_streamed(spark, tmp_path):
     assert f"length#0L < {1 << 25}" in re.sub(r"length#\d+", "length#0", tables.file_digests(spark, str(tmp_path / "a b"))._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_shuffle_files_are_freed(spark):
+    """A written table leaves no shuffle files with free; the setting is as it was afterwards."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in (files.getAllFiles().apply(i) for i in range(files.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    rows, before, setting = spark.range(1000).repartition(4, "id"), shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert written(rows, free=True).count() == 1000
+    found = written(rows, free=True)
+    for _ in range(50):
+        if not {f for f in shuffles() - before if f.endswith(".data")}:
+            break
+        time.sleep(0.2)
+    left = {f for f in shuffles() - before if f.endswith(".data")}
+    assert len(left) <= 1  # of count()
+    assert found.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_check_schema(spark):
     with pytest.raises(TypeError):
         tables.check_schema(spark.range(1), SCHEMA)
