@@ -108,6 +108,22 @@ def test_gathered_rows_move_once(spark, monkeypatch):
     assert profile(df.limit(0), data(True)).count() == 0
 
 
+def test_summary_reads_statistics_once(spark):
+    """All sections come from one scan of the statistics; what they are made of is the size of the summary."""
+    rows = spark.range(0, 600, numPartitions=3).selectExpr("date_add(date'2024-01-01', cast(id % 40 as int)) day", "cast(id % 5 as string) platform", "cast(id % 3 as string) v", "timestamp_seconds(id) s", "timestamp_seconds(id * id) e")
+    stats, scans = profile(rows, Dataset((Rows(), ValueCounts("v"), Duration("d", "s", "e")))), []
+
+    def write(df):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 600"))
+        return written(df)
+
+    got = {(r.section, r.variable): r.value for r in rp.summary(stats, write).collect()}
+    assert sum(scans) == 1
+    assert got[1, "rows"] == "600" and got[1, "v.1"] == "200" and got[2, "platform.3.rows"] == "120" and got[3, "platform.3.start_date"] == "2024-01-04"
+    whole = st.merge(stats, ["column", "variant"])
+    assert checks.same_rows(st.total(st.sums(stats, ["column", "variant", "platform"]), ["column", "variant"]), whole)
+
+
 def test_merge_law(spark):
     """The profile of a whole is the merge of its parts' profiles."""
     whole = st.finalize(profile(table(spark, ROWS * 3), SPECS))
